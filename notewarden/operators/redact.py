@@ -240,6 +240,56 @@ def cleanup_stage(chain: _Chain) -> None:
     )
 
 
+def split_line_stage(chain: _Chain) -> None:
+    """Doctor names on one line with the degree on the next."""
+    described = F.transform(
+        F.col("__hits"),
+        lambda h: F.element_at(
+            F.transform(F.array(names.role_of(h)), lambda role: F.struct(F.concat(F.lit("["), role, F.lit("]")).alias("label"), role.alias("key"))), 1
+        ),
+    )
+    for rule in R.SPLIT_LINE_RULES:
+        chain.labelled(rule, described)
+
+
+def harvest_names(df: DataFrame, text: str = "text", name: str = "candidates", known: list[str] | None = None) -> DataFrame:
+    """Distinct name candidates of each document, longest first."""
+    t = F.col(text)
+    found = [F.regexp_extract_all(t, F.lit("(?id)" + p), F.lit(1)) for p in R.HARVEST_PATTERNS]
+    raw = F.flatten(F.array(*found, F.array(*[F.lit(k) for k in known or []]).cast("array<string>")))
+    trimmed = F.transform(raw, lambda n: F.regexp_replace(n, r"^[ ,.\-]+|[ ,.\-]+$", ""))
+    kept = F.array_except(F.filter(trimmed, lambda n: F.length(n) >= 2), F.array(*[F.lit(n) for n in R.NEVER_NAMES]))
+    return df.withColumn(
+        name,
+        F.array_sort(
+            kept,
+            lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, F.lit(-1)).when(a > b, F.lit(1)).otherwise(F.lit(0)),
+        ),
+    )
+
+
+def replace_harvested(df: DataFrame, text: str = "text", candidates: str = "candidates", label: str = "[NAMA]") -> DataFrame:
+    """Replace a document's own candidates everywhere in it, longest first."""
+    walked = F.aggregate(
+        F.col(candidates),
+        F.col(text),
+        lambda acc, n: F.regexp_replace(
+            acc, F.concat(F.lit(r"(?i)\b"), F.regexp_replace(n, r"([\\.^$|?*+()\[\]{}\-])", r"\\$1"), F.lit(r"\b")), F.lit(label)
+        ),
+    )
+    return df.withColumn(text, F.when(F.size(candidates) > 0, walked).otherwise(F.col(text)))
+
+
+def facility_rules(facilities: list[str]) -> list[Rule]:
+    """Facility names with flexible separators, then the generic patterns."""
+    named = [
+        Rule("RUMAH_SAKIT_ALAMAT_RS", r"(?<![A-Za-z])" + names.variant_pattern(f) + r"(?![A-Za-z])", "[RUMAH_SAKIT]", needles=(f.split()[0].lower(),))
+        for f in facilities
+        if f.strip()
+    ]
+    return named + R.FACILITY_GENERIC_RULES
+
+
 def run_stages(
     df: DataFrame, stages: list[Stage], text: str = "text", counts: str = "counts", active: str | None = None
 ) -> DataFrame:

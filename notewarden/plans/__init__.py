@@ -1,0 +1,15 @@
+"""Queries over the given tables, one module per family."""
+
+from __future__ import annotations
+
+from importlib import import_module
+
+from .registry import REGISTRY, Query
+
+FAMILIES = ["text_queries", "redaction_queries"]
+
+
+def load_all() -> dict[str, Query]:
+    for family in FAMILIES:
+        import_module(f"{__name__}.{family}")
+    return REGISTRY
