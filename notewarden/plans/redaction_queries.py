@@ -140,26 +140,33 @@ def audit_totals(t: Tables):
 
 def _leak_sql() -> str:
     parts = [
-        f"SELECT doc_id, '{r.key}' AS category, unnest(regexp_extract_all(text, {lit('(?i)' + r.pattern)})) AS h FROM documents" for r in R.LEAK_RULES
+        f"SELECT doc_id, '{r.key}' AS category, unnest(regexp_extract_all(text, {lit('(?i)' + r.pattern)})) AS h FROM ascii_docs" for r in R.LEAK_RULES
     ]
-    return f"""SELECT doc_id, category, e AS evidence FROM (SELECT doc_id, category, left(trim(regexp_replace(h, '[ \\t]+', ' ', 'g')), 120) AS e
+    return f"""WITH ascii_docs AS (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM documents)
+      SELECT doc_id, category, e AS evidence FROM (SELECT doc_id, category, left(trim(regexp_replace(h, '[ \\t]+', ' ', 'g')), 120) AS e
       FROM ({" UNION ALL ".join(parts)})) WHERE NOT regexp_matches(e, '\\[.+?\\]')"""
 
 
+def ascii_documents(t: Tables):
+    """Whole texts with letters outside ASCII written as 'x': word boundaries
+    then mean the same in both engines."""
+    return t.spread("documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text"))
+
+
 @query("X-31", _leak_sql())
 def leak_findings(t: Tables):
-    return L.find_leaks(t.spread("documents").select("doc_id", "text"), ["doc_id"])
+    return L.find_leaks(ascii_documents(t), ["doc_id"])
 
 
 @query("A-20 X-31", f"SELECT category AS type, count(*) AS n FROM ({_leak_sql()}) GROUP BY 1")
 def finding_counts(t: Tables):
-    d = L.find_leaks(t.spread("documents").select("doc_id", "text"), ["doc_id"])
+    d = L.find_leaks(ascii_documents(t), ["doc_id"])
     return L.finding_counts(d.withColumnRenamed("category", "type"))
 
 
 @query("A-20 W-07", f"SELECT evidence AS value, count(*) AS n FROM ({_leak_sql()}) GROUP BY 1 ORDER BY n DESC, value LIMIT 100")
 def top_leak_values(t: Tables):
-    d = L.find_leaks(t.spread("documents").select("doc_id", "text"), ["doc_id"])
+    d = L.find_leaks(ascii_documents(t), ["doc_id"])
     return L.top_values(d.withColumnRenamed("evidence", "value"))
 
 
@@ -213,8 +220,7 @@ WITH l AS (SELECT doc_id, i AS line_no, lines[i] AS line FROM (SELECT doc_id, li
 f AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{CAPITAL}', 1)) AS c FROM l WHERE {CONTEXT_WORDS} OR length(trim(line)) <= 60)
 SELECT doc_id, line_no, trim(c) AS value FROM f WHERE NOT {_not_name("trim(c)")}""")
 def capital_names(t: Tables):
-    ascii_text = F.regexp_replace("text", r"[^\x00-\x7F]", "x")
-    d = L.review_lines(t.spread("documents").select("doc_id", ascii_text.alias("text")), ["doc_id"])
+    d = L.review_lines(ascii_documents(t), ["doc_id"])
     return d.filter(F.col("type") == "NAMA_KAPITAL_MUNGKIN_BOCOR").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "value")
 
 
@@ -309,12 +315,12 @@ def identity_rules(t: Tables):
 
 
 @query("X-36", """
-SELECT c_custkey, array_to_string(['No. RM: [NO_RM]', 'NIK: [NIK]', 'Nama Pasien: [NAMA_PASIEN]', 'Tgl Lahir: [TANGGAL_LAHIR]', 'Alamat: [ALAMAT_PASIEN]',
+SELECT c_custkey, array_to_string(['No. RM: [NO_RM]', 'NIK: [NIK]', 'Nama Pasien: [NAMA_PASIEN];', 'Tgl Lahir: [TANGGAL_LAHIR]', 'Alamat: [ALAMAT_PASIEN]',
  'HP [NO_HP] aktif', 'Email: [EMAIL]', 'No. SEP: 0301R0011' || lpad(CAST(c_custkey AS VARCHAR), 9, '0'), 'Penanggung Jawab: [NAMA_STAF].',
  'Telp: 022-5' || lpad(CAST(c_custkey AS VARCHAR), 9, '0')], chr(10)) AS text FROM customer""")
 def keep_field_names(t: Tables):
     d = identity_notes(t).withColumn("text", F.regexp_replace("text", r"\n(Dirawat|Keluhan)[^\n]*", ""))
-    d = d.withColumn("text", F.regexp_replace("text", r"\nTelp", "\n:Telp"))
+    d = d.withColumn("text", F.regexp_replace(F.regexp_replace("text", r"\nTelp", "\n:Telp"), r"(Nama Pasien: [^\n]*)", "$1;"))
     d = X.apply_rules(d, R.KEEP_FIELD_RULES)
     return d.select("c_custkey", F.replace("text", F.lit("[NAMA_STAF]:Telp"), F.lit("[NAMA_STAF].\nTelp")).alias("text"))
 
