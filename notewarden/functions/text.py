@@ -22,6 +22,16 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once (also inside lambdas)."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def strip(text: Column | str) -> Column:
+    """Trim all white space, line ends included."""
+    return F.regexp_replace(col(text), r"^\s+|\s+$", "")
+
+
 def quote_regex(literal: str) -> str:
     """Escape a literal for use inside a Java (or RE2) pattern."""
     return re.sub(r"([\\.^$|?*+()\[\]{}\-])", r"\\\1", literal)

@@ -319,7 +319,7 @@ def value_with_source(
     for p in patterns:
         rule = FieldRule("", p)
         hit = F.regexp_extract(t, f"(?imsd){p}", 1 if rule.has_group else 0)
-        values.append(F.nullif(F.trim(F.regexp_replace(hit, "[ \t]+", " ")), F.lit("")))
+        values.append(F.nullif(T.strip(F.regexp_replace(hit, "[ \t]+", " ")), F.lit("")))
     pref = F.array_position(F.array(*[F.lit(p) for p in preferred]), F.col(doc_type))
     pref = F.when(pref > 0, pref).otherwise(F.lit(len(preferred) + 1)).cast("int")
     rows = docs.select(patient, pref.alias("pref"), F.col(order).alias("ord"), F.coalesce(*values).alias("value"), F.col(doc_type).alias("dt"))

@@ -282,3 +282,120 @@ def notes_to_pathway(t: Tables):
     target = V.StayTarget(2, 6)
     facts = V.compare(run_profile(clinical_notes(t), PROFILE, DRUGS), standards, target)
     return V.patient_summary(facts, "Stroke", target).select("patient_id", "total_standards", "compliant", "deviation", "missing")
+
+
+# ---------------------------------------------------------------------------
+# Value/source variables, nested extracts, radiology sections
+# ---------------------------------------------------------------------------
+CONTENT_TYPES = {"resume": "RESUME", "cppt_igd": "CPPT IGD", "cppt_ranap": "CPPT RANAP", "lab": "LAB", "radiology": "RAD"}
+
+
+def typed_notes(t: Tables):
+    kinds = F.create_map(*[F.lit(x) for kv in CONTENT_TYPES.items() for x in kv])
+    return clinical_notes(t).withColumn("doc_type", F.element_at(kinds, F.col("doc_type")))
+
+
+# An unbounded 'SH' in the last diagnosis pattern also hits "shift" in a report.
+VARIABLES = dict(
+    diagnosis_stroke=f"CASE WHEN {R} THEN 'Stroke ' || ['infark','hemoragik','infark hemoragik'][k % 3 + 1] || ' akut' WHEN {CT} AND k % 5 <= 1 THEN 'sh' ELSE '' END",
+    diagnosis_stroke_source=f"CASE WHEN {R} THEN 'RESUME' WHEN {CT} AND k % 5 <= 1 THEN 'RAD' ELSE '' END",
+    onset="'2 jam lalu'", onset_source="'CPPT IGD'",
+    gcs="CASE k % 4 WHEN 0 THEN '15' WHEN 1 THEN 'E4M5V' || (1 + k % 5) WHEN 2 THEN '' ELSE '14' END",
+    gcs_source="CASE k % 4 WHEN 2 THEN '' WHEN 3 THEN 'CPPT RANAP' ELSE 'CPPT IGD' END",
+    tekanan_darah_awal="CASE WHEN k % 6 = 0 THEN '' ELSE (100 + k % 120) || '/' || (60 + k % 50) || ' mmHg' END",
+    hasil_ct_scan=f"CASE WHEN {CT} THEN 'kepala' ELSE '' END", hasil_laboratorium="'Leukosit ' || (5000 + k) || ' /uL'",
+    terapi_antiplatelet=f"CASE WHEN {R} THEN 'aspilet' ELSE '' END", terapi_antiplatelet_source=f"CASE WHEN {R} THEN 'RESUME' ELSE '' END",
+    statin=f"CASE WHEN {R} AND k % 2 = 0 THEN 'atorvastatin' ELSE '' END", komorbid=f"CASE WHEN {R} THEN ['hipertensi','diabetes',''][k % 3 + 1] ELSE '' END",
+    lama_rawat=f"CASE WHEN {R} THEN CASE WHEN k % 5 = 0 THEN (k % 9) || ' hari' ELSE (k % 10) || ' hari (dihitung: 3 Mei 2026 → ' || (3 + k % 10) || ' Mei 2026)' END ELSE '' END",
+    lama_rawat_source=f"CASE WHEN {R} THEN CASE WHEN k % 5 = 0 THEN 'RESUME' ELSE 'Dihitung otomatis' END ELSE '' END",
+    kondisi_pulang=f"CASE WHEN {R} THEN ['membaik sekali.','stabil saja.','meninggal dunia.','rawat jalan.'][k % 4 + 1] ELSE '' END", mrs="''",
+)
+
+
+@query("E-33 E-30 E-31 E-32 P-15", expect(**VARIABLES))
+def clinical_variables(t: Tables):
+    from ..operators import nested as N
+
+    return N.clinical_variables(typed_notes(t)).select("patient_id", *VARIABLES)
+
+
+@query("E-34", expect(diagnosis_stroke=VARIABLES["diagnosis_stroke"], kondisi_pulang=VARIABLES["kondisi_pulang"], statin=VARIABLES["statin"], mrs="''"))
+def resume_rows(t: Tables):
+    from ..operators import nested as N
+
+    return N.resume_rows(N.clinical_variables(typed_notes(t))).select("patient_id", "diagnosis_stroke", "kondisi_pulang", "statin", "mrs")
+
+
+@query("A-22 E-33", f"""
+WITH v AS ({expect(**{n: VARIABLES[n] for n in ("diagnosis_stroke", "gcs", "statin")})})
+SELECT patient_id, 'Diagnosis stroke tercatat' AS item, CASE WHEN diagnosis_stroke <> '' THEN 'Terpenuhi' ELSE 'Belum ditemukan' END AS status, diagnosis_stroke AS note FROM v
+UNION ALL SELECT patient_id, 'GCS tercatat & valid', CASE WHEN gcs <> '' THEN 'Terpenuhi' ELSE 'Belum ditemukan' END, gcs FROM v
+UNION ALL SELECT patient_id, 'Statin tercatat', CASE WHEN statin <> '' THEN 'Terpenuhi' ELSE 'Belum ditemukan' END, statin FROM v""")
+def pathway_audit(t: Tables):
+    from ..operators import audit as A, nested as N
+
+    items = [i for i in A.AUDIT_ITEMS if i[1] in ("diagnosis_stroke", "gcs", "statin")]
+    return A.documentation_audit(N.clinical_variables(typed_notes(t)), ["patient_id"], items)
+
+
+NESTED_SQL = f"""
+WITH e AS (SELECT c_custkey AS k FROM customer),
+d AS (SELECT k, 'resume' AS stem, 'resume' AS role FROM e WHERE {R} UNION ALL SELECT k, 'cppt_igd', 'cppt_igd' FROM e UNION ALL SELECT k, 'cppt_ranap', 'cppt_ranap' FROM e WHERE k % 2 = 1
+ UNION ALL SELECT k, 'lab_1', 'lab' FROM e UNION ALL SELECT k, 'lab_2', 'lab' FROM e WHERE k % 3 = 0 UNION ALL SELECT k, 'rad_ct', 'radiologi' FROM e WHERE {CT}
+ UNION ALL SELECT k, 'rad_thorax', 'radiologi' FROM e WHERE k % 5 = 0)
+SELECT k AS patient_id, stem, role AS jenis_file,
+ CASE WHEN stem = 'resume' AND k % 3 = 2 THEN 'berarti' END AS keluhan_utama,
+ CASE WHEN stem = 'resume' THEN 'Dahulu: ' || ['hipertensi sejak lama tanpa kontrol','diabetes melitus lama sekali','tidak ada keluhan berarti'][k % 3 + 1] END AS anamnesis,
+ CASE WHEN stem = 'resume' THEN 'Stroke ' || ['infark','hemoragik','infark hemoragik'][k % 3 + 1] || ' akut' END AS diagnosis,
+ CASE WHEN stem = 'resume' THEN 'aspilet 80mg/24 jam selama 5 hari' || CASE WHEN k % 2 = 0 THEN '; atorvastatin 20 mg malam' ELSE '' END WHEN stem = 'cppt_ranap' THEN 'pasif' END AS terapi,
+ CASE WHEN stem = 'cppt_igd' THEN '2 jam lalu' END AS onset,
+ CASE WHEN stem = 'cppt_ranap' THEN 'an lanjut di bangsal' || CASE WHEN k % 5 = 1 THEN '; ul gizi' ELSE '' END WHEN stem = 'resume' AND k % 3 = 0 THEN 'i sejak lama tanpa kontrol' WHEN stem = 'cppt_igd' THEN 'et: 2 jam lalu' END AS perawat,
+ CASE stem WHEN 'lab_1' THEN 'Hemoglobin=' || (10 + k % 6) || ',' || (k % 10) || ' g/dL; Leukosit=' || (5000 + k) || ' /uL; Kreatinin=0,' || (k % 10) || ' mg/dL'
+  WHEN 'lab_2' THEN 'Leukosit=9999 /uL; Ureum=33 mg/dL' END AS items,
+ CASE stem WHEN 'rad_ct' THEN 'CT Scan kepala' WHEN 'rad_thorax' THEN 'Foto Thorax' END AS jenis,
+ CASE stem WHEN 'rad_ct' THEN 'lesi lama pada hemisfer kiri' WHEN 'rad_thorax' THEN 'cor dan pulmo dalam batas normal' END AS kesan,
+ CASE stem WHEN 'resume' THEN CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END WHEN 'cppt_ranap' THEN 2 WHEN 'cppt_igd' THEN 2 ELSE 1 END AS n_entitas FROM d"""
+
+
+@query("E-38 E-39 E-40 E-41 E-42 E-19 P-20 P-21 S-17", NESTED_SQL)
+def nested_extract(t: Tables):
+    from ..operators import nested as N
+
+    notes = clinical_notes(t).withColumn("stem", F.replace("source_file", F.lit(".txt"), F.lit("")))
+    d = N.extract_nested(notes, ["patient_id", "stem"])
+    items = F.transform("laboratorium.items", lambda r: F.concat(r["nama"], F.lit("="), r["nilai"], F.lit(" "), r["satuan"]))
+    return d.select(
+        "patient_id", "stem", "jenis_file", "klinis.keluhan_utama", "klinis.anamnesis",
+        F.array_join("klinis.diagnosis", "; ").alias("diagnosis"), F.array_join("klinis.terapi", "; ").alias("terapi"),
+        F.array_join("onset", "; ").alias("onset"), F.array_join(F.try_element_at("staf", F.lit("perawat")), "; ").alias("perawat"),
+        F.array_join(items, "; ").alias("items"), F.array_join("radiologi.jenis_pemeriksaan", "; ").alias("jenis"),
+        F.array_join("radiologi.kesan", "; ").alias("kesan"), "n_entitas",
+    )
+
+
+FINDINGS = ["Tampak infark lacunar di thalamus kiri", "Tampak perdarahan ICH di lobus frontal", "Tidak tampak perdarahan maupun lesi baru", "Tampak midline shift dan hidrosefalus ringan"]
+
+
+@query("E-12 E-13 U-06", f"""
+SELECT c_custkey AS patient_id, {FINDINGS!r}[c_custkey % 4 + 1] AS ct_scan_result_text, CASE c_custkey % 4 WHEN 0 THEN 'thalamus' WHEN 1 THEN 'frontal, lobus' ELSE 'unknown' END AS ct_scan_location,
+ CASE WHEN c_custkey % 4 = 0 THEN 'yes' ELSE 'unknown' END AS infarct_present, ['unknown','yes','no','unknown'][c_custkey % 4 + 1] AS bleeding_present,
+ CASE WHEN c_custkey % 4 = 1 THEN 'yes' ELSE 'unknown' END AS ich_present, CASE WHEN c_custkey % 4 = 3 THEN 'yes' ELSE 'unknown' END AS midline_shift_present,
+ CASE WHEN c_custkey % 4 = 3 THEN 'yes' ELSE 'unknown' END AS hydrocephalus_present, CAST(1 + CASE WHEN c_custkey % 2 = 0 THEN 1 ELSE 0 END AS BIGINT) AS n_candidates FROM customer""")
+def radiology_sections(t: Tables):
+    from ..operators import nested as N
+
+    k = F.col("c_custkey")
+    finding = F.element_at(F.array(*[F.lit(x) for x in FINDINGS]), (k % 4 + 1).cast("int"))
+    text_ = F.concat(F.lit("Nama Pasien: uji\nHASIL: "), finding, F.lit("\nDokter: pemeriksa"))
+    docs = F.array_compact(
+        F.array(
+            F.struct(F.lit("rad_1.txt").alias("source_file"), F.lit("radiology").alias("doc_type"), text_.alias("text")),
+            F.when(k % 2 == 0, F.struct(F.lit("resume.txt").alias("source_file"), F.lit("resume").alias("doc_type"), F.lit("KESAN: temuan lama tanpa perubahan").alias("text"))),
+        )
+    )
+    d = t.customer.select(k.alias("patient_id"), F.explode(docs).alias("d")).select("patient_id", "d.*")
+    r = N.radiology_report(d)
+    return r.select(
+        "patient_id", "ct_scan_result_text", "ct_scan_location", "infarct_present", "bleeding_present", "ich_present", "midline_shift_present",
+        "hydrocephalus_present", F.col("n_candidates").cast("long").alias("n_candidates"),
+    )
