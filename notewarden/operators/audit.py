@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..rows import explode_map
 
 # The ten items of the documentation audit and its two states.
 AUDIT_ITEMS = [
@@ -26,7 +27,7 @@ FEW_VALUES = 5
 
 
 def count_rows(df: DataFrame, counts: str = "counts", keys: list[str] | None = None) -> DataFrame:
-    return df.select(*(keys or []), F.explode(counts).alias("key", "n"))
+    return explode_map(df, keys or [], counts)
 
 
 def totals_by_key(df: DataFrame, counts: str = "counts") -> DataFrame:

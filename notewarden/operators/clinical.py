@@ -7,11 +7,13 @@ get their default from a spine of the patients.  Patterns do not span two files.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..rows import explode_structs
 from . import extract as E
 from .extract import ABSENT, PRESENT, candidate
 
@@ -170,25 +172,46 @@ def _first_of(text: Column, patterns: list[str], i: int = 1) -> Column:
     return F.coalesce(*[_group(text, p, i) for p in patterns])
 
 
-def _when(value: Column, name: str, prio=0, pos=0) -> Column:
-    """Candidate of a field when its value is not NULL."""
-    prio = F.lit(prio) if isinstance(prio, int) else prio
-    pos = F.lit(pos) if isinstance(pos, int) else pos
-    return F.when(value.isNotNull(), candidate(name, prio, pos, F.col(FILE), value))
+@dataclass(frozen=True)
+class Found:
+    """A candidate of a document: its value, and where it ranks."""
 
+    name: str
+    value: Column
+    prio: Column | int = 0
+    pos: Column | int = 0
+    by_file: bool = True
 
-def _flag(test: Column, name: str, value: str = PRESENT) -> Column:
-    return F.when(test, candidate(name, F.lit(0), F.lit(0), F.lit(""), F.lit(value)))
+
+def _flag(test: Column, name: str, value: str = PRESENT) -> Found:
+    return Found(name, F.when(test, F.lit(value)), by_file=False)
 
 
 def _priority(table: dict[str, int]) -> Column:
     return reduce(lambda rest, kv: F.when(F.col(TYPE) == kv[0], F.lit(kv[1])).otherwise(rest), table.items(), F.lit(9))
 
 
-def _pick(docs: DataFrame, found: list[Column], last: tuple[str, ...] = ()) -> DataFrame:
+def _when(value: Column, name: str, prio: Column | int = 0, pos: Column | int = 0) -> Found:
+    return Found(name, value, prio, pos)
+
+
+def _pick(docs: DataFrame, found: list[Found], last: tuple[str, ...] = ()) -> DataFrame:
     """Best candidate per (patient, field): the smallest (prio, pos, file), or
     for the fields in ``last`` the largest."""
-    rows = docs.select(PATIENT, F.explode(F.array_compact(F.array(*found))).alias("c")).select(PATIENT, "c.*")
+    # values first, as plain columns: each regular expression runs once, in codegen
+    staged = docs.select(PATIENT, FILE, TYPE, TEXT, *[f.value.alias(f"__v{i}") for i, f in enumerate(found)])
+
+    def number(x: Column | int) -> Column:
+        return F.lit(x) if isinstance(x, int) else x
+
+    items = [
+        F.when(
+            F.col(f"__v{i}").isNotNull(),
+            candidate(f.name, number(f.prio), number(f.pos), F.col(FILE) if f.by_file else F.lit(""), F.col(f"__v{i}")),
+        )
+        for i, f in enumerate(found)
+    ]
+    rows = explode_structs(staged, [PATIENT], F.array_compact(F.array(*items)))
     key = F.struct("prio", "pos", "ord", "value")
     picked = rows.groupBy(PATIENT, "field").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
     value = F.when(F.col("field").isin(*last), F.col("hi.value")).otherwise(F.col("lo.value")) if last else F.col("lo.value")
@@ -322,7 +345,7 @@ def lab_dates(docs: DataFrame) -> DataFrame:
     found = [
         _when(F.when(urgent, day), "lab_tanggal_igd"),
         _when(F.when(~urgent, day), "lab_tanggal_ranap"),
-        F.when(day.isNotNull(), candidate("lab_tanggal_pertama", F.lit(0), F.lit(0), F.lit(""), day)),
+        Found("lab_tanggal_pertama", day, by_file=False),
     ]
     return _pick(_of_types(docs, ["lab"]), found, ("lab_tanggal_igd",))
 
@@ -337,10 +360,7 @@ def fever(docs: DataFrame) -> DataFrame:
     found = [
         _flag(spoken | (top >= FEVER_FROM), "demam_selama_rawat"),
         _flag(spoken & (F.col(TYPE) == "cppt_igd"), "demam_saat_masuk"),
-        F.when(
-            top.isNotNull(),
-            candidate("suhu_tertinggi", F.lit(0), (-top * 10).cast("int"), F.lit(""), F.format_string("%.1f", top)),
-        ),
+        Found("suhu_tertinggi", F.when(top.isNotNull(), F.format_string("%.1f", top)), pos=(-F.col("__v2").cast("double") * 10).cast("int"), by_file=False),
     ]
     picked = _pick(_of_types(docs, ["cppt_igd", "cppt_ranap"]), found)
     return with_defaults(docs, picked, {"demam_saat_masuk": ABSENT, "demam_selama_rawat": ABSENT, "suhu_tertinggi": None})
@@ -411,8 +431,10 @@ def outcome(docs: DataFrame) -> DataFrame:
         "cara_keluar": way, "keterangan_pulang": way_class, "kondisi_pulang": condition,
         "rencana_kontrol": _group(t, CONTROL_DATE), "lama_rawat_hari": stay,
     }
-    found = [candidate(n, F.lit(0), F.lit(0), F.col(FILE), v.cast("string")) for n, v in fields.items()]
-    return _pick(_of_types(docs, ["resume"]), found)
+    # only the first resume counts, also where it lacks a field
+    resumes = _of_types(docs, ["resume"]).select(PATIENT, FILE, *[v.cast("string").alias(n) for n, v in fields.items()])
+    first = resumes.groupBy(PATIENT).agg(F.min_by(F.struct(*fields), FILE).alias("r")).select(PATIENT, "r.*")
+    return first.unpivot([PATIENT], list(fields), "field", "value").filter(F.col("value").isNotNull())
 
 
 def nihss(docs: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from dataclasses import dataclass, field as dc_field
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
+from ..rows import explode_rows, explode_structs
 from ..skew import neighbour_items
 
 # Fixed values of the negation test and the drug windows.
@@ -79,7 +80,7 @@ def best_candidates(docs: DataFrame, patient: str, found: list[Column]) -> DataF
     """Explode the candidates of each document; best per (patient, field) by
     (priority, position, order)."""
     some = F.filter(F.array(*found), lambda c: c.isNotNull())
-    rows = docs.select(patient, F.explode(some).alias("c")).select(patient, "c.*")
+    rows = explode_structs(docs, [patient], some)
     return (
         rows.groupBy(patient, "field")
         .agg(F.min(F.struct("prio", "pos", "ord", "value")).alias("best"))
@@ -175,9 +176,7 @@ def keyword_hits(
         lead, follow = F.col("items_before"), F.col("items_after")
     else:
         lead = follow = F.array().cast("array<string>")
-    rows = staged.filter(F.size("__hits") > 0).select(
-        patient, lead.alias("__lead"), follow.alias("__follow"), F.explode("__hits").alias("h")
-    )
+    rows = explode_rows(staged, [patient, lead.alias("__lead"), follow.alias("__follow")], "__hits", "h")
 
     def full_before(w: Column) -> Column:
         joined = F.concat(F.col("__lead"), w["before"])
@@ -262,7 +261,7 @@ def term_presence(
             )
     from pyspark.sql import Window
 
-    rows = docs.select(patient, F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())).alias("h")).select(patient, "h.*")
+    rows = explode_structs(docs, [patient], F.array_compact(F.array(*hits)))
     w = Window.partitionBy(patient, "field").orderBy("source", "term_pos")
     top = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= keep)
     return top.groupBy(patient, "field").agg(
@@ -292,7 +291,7 @@ def terms_with_source(
             ]
         )
     )
-    rows = docs.select(patient, pref.alias("pref"), F.col(order).alias("ord"), F.col(doc_type).alias("dt"), F.explode(hits).alias("h"))
+    rows = explode_rows(docs, [patient, pref.alias("pref"), F.col(order).alias("ord"), F.col(doc_type).alias("dt")], hits, "h")
     # first place of each term and each type: bounded by the lists themselves
     firsts = rows.groupBy(patient, "h.term", "dt").agg(F.min(F.struct("pref", "ord", "h.term_pos")).alias("at"))
     term_first = firsts.groupBy(patient, "term").agg(F.min("at").alias("at")).groupBy(patient).agg(
@@ -392,7 +391,7 @@ def medications(
                     ),
                 )
             )
-    rows = staged.select(patient, "__ord", F.explode(F.array_compact(F.array(*hits))).alias("h")).select(patient, "__ord", "h.*")
+    rows = explode_structs(staged, [patient, "__ord"], F.array_compact(F.array(*hits)))
     first = rows.groupBy(patient, "drug_key", "term_pos", "term").agg(
         F.min(F.struct("__ord", "dose", "duration")).alias("m")
     )

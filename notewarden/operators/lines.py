@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
+from ..rows import explode_rows, posexplode_rows
 from ..skew import running_total
 from .leaks import lines_of
 
@@ -59,7 +60,7 @@ def categorized_lines(
     staged = df.select(
         *keys, F.transform(lines, lambda x: F.struct(x.alias("line"), line_categories(x, keywords, patterns).alias("cats"))).alias("__l")
     )
-    rows = staged.select(*keys, "__l", F.posexplode("__l").alias("pos", "item"))
+    rows = posexplode_rows(staged, [*keys, "__l"], "__l")
     none = F.array().cast("array<string>")
     around = F.array_distinct(
         F.concat(
@@ -69,8 +70,9 @@ def categorized_lines(
         )
     )
     line = F.col("item.line")
-    picked = rows.filter((line != "") & ~(is_low_value(line) & (F.size("item.cats") == 0))).select(
-        *keys, F.explode(around).alias("category"), dedup_key(line).alias("key"), (F.col("pos") + 1).alias("line_no"), line.alias("line")
+    kept = rows.filter((line != "") & ~(is_low_value(line) & (F.size("item.cats") == 0)))
+    picked = explode_rows(kept, [*keys, (F.col("pos") + 1).alias("line_no"), line.alias("line")], around, "category").withColumn(
+        "key", dedup_key(F.col("line"))
     )
     return (
         picked.groupBy(*keys, "category", "key")
@@ -156,18 +158,17 @@ def compact_snippets(
 ) -> DataFrame:
     """Hit block with its neighbours per keyword group, capped, first of equal
     snippets per document: ``(keys, group, block_no, matched, snippet, hash)``."""
-    blocks = df.select(*keys, soft_paragraphs(text).alias("__b")).select(
-        *keys, "__b", F.posexplode("__b").alias("pos", "block")
-    )
+    blocks = posexplode_rows(df.select(*keys, soft_paragraphs(text).alias("__b")), [*keys, "__b"], "__b", "block")
     entries = [
         F.struct(F.lit(g).alias("group"), F.array_sort(F.array_distinct(keywords_found("block", words))).alias("matched"))
         for g, words in groups.items()
     ]
     joined = F.array_join(F.slice("__b", F.greatest(F.col("pos"), F.lit(1)), F.when(F.col("pos") > 0, 3).otherwise(2)), " ")
     snippet = F.when(F.length(joined) > max_chars, F.concat(F.substring(joined, 1, max_chars), F.lit(T.TRUNCATED))).otherwise(joined)
-    rows = blocks.select(
-        *keys, F.col("pos").alias("block_no"), F.explode(F.filter(F.array(*entries), lambda e: F.size(e["matched"]) > 0)).alias("e"), snippet.alias("snippet")
-    ).select(*keys, "e.group", "block_no", "e.matched", "snippet", snippet_hash(F.col("snippet")).alias("hash"))
+    found = F.filter(F.array(*entries), lambda e: F.size(e["matched"]) > 0)
+    rows = explode_rows(blocks, [*keys, "__b", "pos"], found, "e").select(
+        *keys, "e.group", F.col("pos").alias("block_no"), "e.matched", snippet.alias("snippet")
+    ).withColumn("hash", snippet_hash(F.col("snippet")))
     return (
         rows.groupBy(*keys, "group", "hash")
         .agg(F.min(F.struct("block_no", "matched", "snippet")).alias("m"))

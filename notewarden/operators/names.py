@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import rules as R
 from ..functions import text as T
+from ..rows import explode_rows
 from ..rules import Rule
 from ..session import MAX_RULE_ROWS, bounded_rows
 
@@ -102,7 +103,7 @@ def staff_variants(staff: DataFrame) -> DataFrame:
         F.trim("name").alias("name"),
         F.coalesce(F.nullif(F.trim("role"), F.lit("")), role_of(F.trim("name"))).alias("role"),
     )
-    exploded = named.select(F.explode(name_variants(name_tokens("name"))).alias("variant"), "role")
+    exploded = explode_rows(named, ["role"], name_variants(name_tokens("name")), "variant")
     return exploded.groupBy(F.lower("variant").alias("key"), "role").agg(F.min("variant").alias("variant")).select("variant", "role")
 
 
@@ -115,11 +116,27 @@ def variant_pattern(variant: str) -> str:
 
 
 def alternation(variants: list[str]) -> str:
-    ordered = sorted(variants, key=lambda v: (-len(v), v))
-    return r"(?<![A-Za-z])(?:" + "|".join(variant_pattern(v) for v in ordered) + r")(?![A-Za-z])"
-
-
-def role_rules(rows: list[tuple[str, str]], chunk_chars: int = 30_000) -> list[Rule]:
+    """One pattern for many names, factored by common prefixes: at a position
+    the cost follows the letters of the text, not the number of names.  Longer
+    names come first, as in a longest-first alternation."""
+    tree: dict = {}
+    for v in variants:
+        node = tree
+        for ch in " ".join(v.lower().split()):
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def pattern(node: dict) -> str:
+        parts = [(SEPARATOR if ch == " " else T.quote_regex(ch)) + pattern(node[ch]) for ch in sorted(node) if ch]
+        if not parts:
+            return ""
+        body = parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
+        return body + "?" if "" in node else body
+
+    return r"(?<![A-Za-z])" + pattern(tree) + r"(?![A-Za-z])"
+
+
+def role_rules(rows: list[tuple[str, str]]) -> list[Rule]:
     """One alternation per role.  Needles are the shortest first words, so a
     text without any of a role's first names skips its alternation."""
     by_role: dict[str, list[str]] = {}
@@ -149,21 +166,18 @@ def redact_staff_join(
     are equi-joined with the variants' leading pair; only variants that can occur
     in a document reach it.  Per document and role they become the same
     longest-first alternation as in the compiled way."""
-    pairs_of = docs.select(key, F.split(F.lower(F.col(text)), r"[\s,.\-_]+").alias("__w")).select(
-        key,
-        F.explode(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size("__w") - 1, F.lit(1))),
-                    lambda i: F.concat_ws(
-                        " ",
-                        F.regexp_replace(F.try_element_at("__w", i), r"^[^a-z]+", ""),
-                        F.regexp_replace(F.try_element_at("__w", i + 1), r"[^a-z'`à-öø-ÿ].*$", ""),
-                    ),
-                )
-            )
-        ).alias("pair"),
+    words = docs.select(key, F.split(F.lower(F.col(text)), r"[\s,.\-_]+").alias("__w"))
+    pairs = F.array_distinct(
+        F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size("__w") - 1, F.lit(1))),
+            lambda i: F.concat_ws(
+                " ",
+                F.regexp_replace(F.try_element_at("__w", i), r"^[^a-z]+", ""),
+                F.regexp_replace(F.try_element_at("__w", i + 1), r"[^a-z'`à-öø-ÿ].*$", ""),
+            ),
+        )
     )
+    pairs_of = explode_rows(words, [key], pairs, "pair")
     keyed = variants.select(
         "variant",
         "role",
