@@ -27,11 +27,12 @@ LAB_PRIORITY = {"lab": 1, "resume": 2, "cppt_ranap": 3, "cppt_igd": 4}
 AGE = r"(?i)(?:Umur|Usia)\s*[:=]?\s*(\d+)\s*(?:Tahun|th|thn)?"
 GENDER = r"(?i)(?:JK|Jenis\s*Kelamin|Kelamin)\s*[:=]?\s*(L(?:aki[\s-]*laki)?|P(?:erempuan|ria)?)"
 DIAGNOSIS = [
-    r"(?is).{0,80}(?:diagnosis|diagnosa|assessment|asesmen|kesimpulan).{0,200}(?:stroke|infark|iskemik|hemoragik|ICH|PIS).{0,200}",
-    r"(?is).{0,80}(stroke\s+infark|infark\s+cerebri|stroke\s+iskemik|stroke\s+non\s+hemoragik|SNH|cerebral\s+infarct).{0,150}",
-    r"(?is).{0,80}(stroke\s+lakunar|lakunar\s+infark|infark\s+lakuner|small\s+vessel).{0,150}",
-    r"(?is).{0,80}(stroke\s+hemoragik|ICH|PIS|perdarahan\s+intraserebral|perdarahan\s+intracerebral).{0,150}",
+    (r"(?:diagnosis|diagnosa|assessment|asesmen|kesimpulan).{0,200}(?:stroke|infark|iskemik|hemoragik|ICH|PIS)", r".{0,200}"),
+    (r"(stroke\s+infark|infark\s+cerebri|stroke\s+iskemik|stroke\s+non\s+hemoragik|SNH|cerebral\s+infarct)", r".{0,150}"),
+    (r"(stroke\s+lakunar|lakunar\s+infark|infark\s+lakuner|small\s+vessel)", r".{0,150}"),
+    (r"(stroke\s+hemoragik|ICH|PIS|perdarahan\s+intraserebral|perdarahan\s+intracerebral)", r".{0,150}"),
 ]
+DIAGNOSIS_LEAD = 80
 INFARCT_TERMS = ["infark", "infarct", "iskemik", "ischemic", "lakunar", "lacunar", "snh", "non hemoragik"]
 BLEED_TERMS = ["hemoragik", "hemorrhagic", "ich", "pis", "perdarahan intraserebral", "perdarahan intracerebral"]
 GCS_TOTAL = r"(?i)\bGCS\s*[:=]?\s*(1[0-5]|[3-9])\b"
@@ -256,18 +257,25 @@ def _stroke_type(evidence: Column) -> Column:
 
 
 def diagnosis(docs: DataFrame) -> DataFrame:
-    """Best evidence by document priority, then position."""
+    """Best evidence by document priority, then position.
+
+    The evidence starts up to 80 characters before a mention.  The mention is
+    searched first and the lead is cut out around it: a pattern that begins with
+    the lead would be tried 80 times at every letter of the text."""
     t = F.col(TEXT)
     found = []
-    for p in DIAGNOSIS:
-        evidence = F.when(t.rlike(p), T.clean_snippet(F.regexp_extract(t, p, 0), 450))
-        found.append(_when(evidence, "diagnosis_text", _priority(DIAGNOSIS_PRIORITY), F.regexp_instr(t, F.lit(p))))
+    for core, tail in DIAGNOSIS:
+        at = F.regexp_instr(t, F.lit(f"(?is){core}"))
+        start = F.greatest(at - DIAGNOSIS_LEAD, F.lit(1))
+        window = F.substring(t, start, F.lit(1000))
+        evidence = F.when(at > 0, T.clean_snippet(F.regexp_extract(window, f"(?is)^.{{0,{DIAGNOSIS_LEAD}}}{core}{tail}", 0), 450))
+        found.append(_when(evidence, "diagnosis_text", _priority(DIAGNOSIS_PRIORITY), start))
     best = _pick(docs, found)
     both = F.array(
         F.struct(F.lit("diagnosis_text").alias("field"), F.col("value").alias("value")),
         F.struct(F.lit("stroke_type").alias("field"), _stroke_type(F.col("value")).alias("value")),
     )
-    return best.select(PATIENT, F.explode(both).alias("r")).select(PATIENT, "r.*")
+    return explode_structs(best, [PATIENT], both)
 
 
 def gcs(docs: DataFrame) -> DataFrame:
@@ -298,8 +306,9 @@ def ct_scan(docs: DataFrame) -> DataFrame:
     sites = []
     for s in CT_SITES:
         around = F.regexp_extract(low, r"(?d).{0,40}" + s + r".{0,60}", 0)
-        sites.append(F.when(T.any_contains(around, SITE_TERMS), F.lit(s.replace(r"\s*", " "))))
-    located = F.nullif(F.array_join(F.array_sort(F.array_compact(F.array(*sites))), ", "), F.lit(""))
+        sites.append(F.when(low.rlike(s), F.when(T.any_contains(around, SITE_TERMS), F.lit(s.replace(r"\s*", " ")))))
+    listed = F.array_join(F.array_sort(F.array_compact(F.array(*sites))), ", ")
+    located = F.when(T.any_contains(low, SITE_TERMS), F.nullif(listed, F.lit("")))
     bleeding = F.when(low.rlike(NO_BLEED), "tidak_ada").when(low.rlike(BLEED), "ada")
     shift = F.when(low.rlike(SHIFT), F.when(low.rlike(NO_SHIFT), "tidak_ada").otherwise("ada"))
     found = [
@@ -360,7 +369,7 @@ def fever(docs: DataFrame) -> DataFrame:
     found = [
         _flag(spoken | (top >= FEVER_FROM), "demam_selama_rawat"),
         _flag(spoken & (F.col(TYPE) == "cppt_igd"), "demam_saat_masuk"),
-        Found("suhu_tertinggi", F.when(top.isNotNull(), F.format_string("%.1f", top)), pos=(-F.col("__v2").cast("double") * 10).cast("int"), by_file=False),
+        Found("suhu_tertinggi", F.when(top.isNotNull(), F.format_string("%.1f", top)), pos=(-top * 10).cast("int"), by_file=False),
     ]
     picked = _pick(_of_types(docs, ["cppt_igd", "cppt_ranap"]), found)
     return with_defaults(docs, picked, {"demam_saat_masuk": ABSENT, "demam_selama_rawat": ABSENT, "suhu_tertinggi": None})

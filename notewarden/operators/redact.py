@@ -78,10 +78,10 @@ class _Chain:
         t = F.col(self.text)
         hits = F.regexp_count(t, F.lit(rule.java))
         guard = self._guard(has_needle(t, rule))
-        self.df = self.df.withColumn(name, hits if guard is None else F.when(guard, hits).otherwise(F.lit(0)))
-        self.df = self.df.withColumn(
-            self.text,
-            F.when(F.col(name) > 0, F.regexp_replace(t, rule.java, rule.replacement)).otherwise(t),
+        n = hits if guard is None else F.when(guard, hits).otherwise(F.lit(0))
+        # one projection per rule; the count is a common subexpression of both
+        self.df = self.df.withColumns(
+            {name: n, self.text: F.when(n > 0, F.regexp_replace(t, rule.java, rule.replacement)).otherwise(t)}
         )
         self.counters.append((rule.key, name))
 

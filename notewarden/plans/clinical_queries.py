@@ -85,7 +85,7 @@ def clinical_notes(t: Tables):
             doc("lab_1.txt", lab), doc("lab_2.txt", lab2, k % 3 == 0), doc("rad_ct.txt", ct, k % 3 != 0), doc("rad_thorax.txt", chest, k % 5 == 0),
         )
     )
-    d = t.customer.select(k.alias("patient_id"), F.explode(docs).alias("d")).select("patient_id", "d.*")
+    d = t.spread("customer").select(k.alias("patient_id"), F.explode(docs).alias("d")).select("patient_id", "d.*")
     return d.withColumn("doc_type", C.doc_type_by_name("source_file"))
 
 
@@ -393,7 +393,7 @@ def radiology_sections(t: Tables):
             F.when(k % 2 == 0, F.struct(F.lit("resume.txt").alias("source_file"), F.lit("resume").alias("doc_type"), F.lit("KESAN: temuan lama tanpa perubahan").alias("text"))),
         )
     )
-    d = t.customer.select(k.alias("patient_id"), F.explode(docs).alias("d")).select("patient_id", "d.*")
+    d = t.spread("customer").select(k.alias("patient_id"), F.explode(docs).alias("d")).select("patient_id", "d.*")
     r = N.radiology_report(d)
     return r.select(
         "patient_id", "ct_scan_result_text", "ct_scan_location", "infarct_present", "bleeding_present", "ich_present", "midline_shift_present",

@@ -37,7 +37,7 @@ SELECT conv_id AS patient_id, field, v AS value FROM (SELECT *, row_number() OVE
 
 
 def ascii_conversations(t: Tables):
-    return t.conversations.select(
+    return t.spread("conversations").select(
         F.col("conv_id").alias("patient_id"), "turn", F.col("role").alias("doc_type"), F.regexp_replace("text", r"[^\x00-\x7F]", "x").alias("text")
     )
 

@@ -299,7 +299,7 @@ def identity_notes(t: Tables):
         F.lit("Keluhan nyeri kepala sejak 2 hari."),
         F.concat(F.lit("Telp: 022-5"), digits),
     )
-    return t.customer.select("c_custkey", F.array_join(lines, "\n").alias("text"))
+    return t.spread("customer").select("c_custkey", F.array_join(lines, "\n").alias("text"))
 
 
 IDENTITY_KEYS = ["mrn", "nik_labeled", "birthdate", "patient_name", "address", "phone", "email", "sep", "family_name", "hospital", "rs_phone"]
@@ -337,7 +337,7 @@ def doctor_notes(t: Tables):
         F.concat(F.lit("- Radiografer: "), name),
         F.lit("- kesadaran baik, obat lanjut."),
     )
-    return t.customer.select("c_custkey", F.array_join(lines, "\n").alias("text"))
+    return t.spread("customer").select("c_custkey", F.array_join(lines, "\n").alias("text"))
 
 
 DOCTOR_SQL = """SELECT c_custkey, array_to_string(['DPJP: [' || ['DOKTER_SPESIALIS_NEUROLOGI','DOKTER_SPESIALIS_RADIOLOGI','DOKTER_SPESIALIS_PENYAKIT_DALAM',
@@ -382,7 +382,7 @@ def consult_notes(t: Tables):
         .when(k % 3 == 1, F.concat_ws(", ", first_name(s), word_of("Nur", s)))
         .otherwise(F.upper(F.concat_ws(" ", word_of("Mir", s), word_of("Nur", s))))
     )
-    return t.customer.select("c_custkey", F.concat(F.lit("Dikonsulkan ke "), spoken, F.lit(" pagi ini; keluhan membaik.")).alias("text"))
+    return t.spread("customer").select("c_custkey", F.concat(F.lit("Dikonsulkan ke "), spoken, F.lit(" pagi ini; keluhan membaik.")).alias("text"))
 
 
 CONSULT_SQL = f"""
@@ -417,7 +417,7 @@ def header_notes(t: Tables):
         .when(k % 5 == 3, F.concat(name, F.lit(", dr., Sp.N")))
         .otherwise(name)
     )
-    return t.customer.select(
+    return t.spread("customer").select(
         "c_custkey", F.concat(F.lit("Catatan:\n12/05/2024\n08:30\n"), block, F.lit("\nS\nKeluhan berkurang")).alias("text")
     )
 
@@ -443,7 +443,7 @@ def label_cleanup(t: Tables):
         first_name(k), F.lit(" "), word_of("N", k), F.lit(", [PERAWAT] hadir"),
     )
     text = F.when(k % 2 == 0, F.replace(text, F.lit(" Sp.N"), F.lit(""))).otherwise(text)
-    return X.run_stages(t.customer.select("c_custkey", text.alias("text")), [X.cleanup_stage]).select("c_custkey", "text")
+    return X.run_stages(t.spread("customer").select("c_custkey", text.alias("text")), [X.cleanup_stage]).select("c_custkey", "text")
 
 
 @query("X-22", """
@@ -451,7 +451,7 @@ SELECT c_custkey, 'Oleh [PERAWAT] jam ' || CAST(c_custkey % 24 AS VARCHAR) AS te
 def duplicate_label_collapse(t: Tables):
     k = F.col("c_custkey")
     text = F.concat(F.lit("Oleh [PERAWAT]"), F.repeat(F.lit(", [PERAWAT]"), (k % 4).cast("int")), F.lit(" jam "), (k % 24).cast("string"))
-    d = X.apply_rules(t.customer.select("c_custkey", text.alias("text")), [R.CLEANUP_RULES[-1]])
+    d = X.apply_rules(t.spread("customer").select("c_custkey", text.alias("text")), [R.CLEANUP_RULES[-1]])
     return d.select("c_custkey", "text", F.coalesce(F.try_element_at("counts", F.lit("cleanup_duplicate_labels")), F.lit(0)).cast("long").alias("n"))
 
 
@@ -461,7 +461,7 @@ def split_line_doctors(t: Tables):
     k = F.col("c_custkey")
     name = F.concat_ws(" ", first_name(k), word_of("N", k))
     text = F.concat(F.lit("1. visite\n"), name, F.lit(",\n"), F.when(k % 2 == 0, "dr, Sp.N").otherwise("dr."), F.lit("\n2. obat lanjut"))
-    return X.run_stages(t.customer.select("c_custkey", text.alias("text")), [X.split_line_stage]).select("c_custkey", "text")
+    return X.run_stages(t.spread("customer").select("c_custkey", text.alias("text")), [X.split_line_stage]).select("c_custkey", "text")
 
 
 @query("X-05 X-06 P-02", """
@@ -471,7 +471,7 @@ def footer_lines(t: Tables):
     text = F.concat(
         F.lit("No. Foto: F-"), k, F.lit("\nRuangan: Mawar "), k, F.lit("\nKesan: infark lama.\nLokasi Bandung - Jawa Barat."),
     )
-    d = X.apply_rules(t.customer.select("c_custkey", text.alias("text")), R.FOOTER_RULES)
+    d = X.apply_rules(t.spread("customer").select("c_custkey", text.alias("text")), R.FOOTER_RULES)
     return d.select("c_custkey", T.squeeze_blank_lines(F.regexp_replace(F.regexp_replace("text", r"^\[NO_FOTO\]", ""), r"^\n*", "\n\n")).alias("text"))
 
 
@@ -484,7 +484,7 @@ def mask_identity(t: Tables):
         F.lit("Telp Fax bagian umum\nNama: "), first_name(k), F.lit(" "), word_of("N", k), F.lit("\nKontak u"), k.cast("string"),
         F.lit("@mail.example\nKeluhan pusing berat"), F.repeat(F.lit("\nTindak lanjut rutin"), 12),
     )
-    d = X.mask_identity(t.customer.select("c_custkey", text.alias("text")))
+    d = X.mask_identity(t.spread("customer").select("c_custkey", text.alias("text")))
     return d.select("c_custkey", "text", F.coalesce(F.try_element_at("counts", F.lit("header_footer_rs")), F.lit(0)).cast("long").alias("n_header"))
 
 
@@ -494,7 +494,7 @@ def facility_names(t: Tables):
     k = F.col("c_custkey")
     sep = F.element_at(F.array(F.lit(" "), F.lit("-"), F.lit("  ")), (k % 3 + 1).cast("int"))
     text = F.concat(F.lit("Rujukan dari Bina"), sep, F.lit("Sehat"), sep, F.lit("Mulia; alamat Jl. Kenanga No. "), k.cast("string"))
-    return X.apply_rules(t.customer.select("c_custkey", text.alias("text")), X.facility_rules(["Bina Sehat Mulia"])).select("c_custkey", "text")
+    return X.apply_rules(t.spread("customer").select("c_custkey", text.alias("text")), X.facility_rules(["Bina Sehat Mulia"])).select("c_custkey", "text")
 
 
 @query("X-26 U-04 U-05", f"""
@@ -504,7 +504,7 @@ def harvested_names(t: Tables):
     nurse = F.concat_ws(" ", F.concat(F.lit("Per"), F.lower(first_name(k))), word_of("Nab", k))
     doctor = F.concat(F.lit("Doc"), F.translate(k.cast("string"), "0123456789", LETTERS))
     text = F.concat(F.lit("Perawat: "), nurse, F.lit(";\nkonsul ke "), doctor, F.lit("; "), nurse, F.lit(" setuju"))
-    d = X.harvest_names(t.customer.select("c_custkey", text.alias("text")))
+    d = X.harvest_names(t.spread("customer").select("c_custkey", text.alias("text")))
     return X.replace_harvested(d).select("c_custkey", "text", F.size("candidates").cast("long").alias("n"))
 
 
@@ -514,7 +514,7 @@ def light_chain(t: Tables):
     k = F.col("c_custkey")
     text = F.concat(F.lit("Ns. "), first_name(k), F.lit(" "), word_of("N", k), F.lit("; lapor dr. "), word_of("Qar", k), F.lit("; obat lanjut"))
     stages = X.light_stages(X.literal_rules(["Bidan Mawar"], "[BIDAN]", "STAFF_EXACT_BIDAN", 5))
-    return X.run_stages(t.customer.select("c_custkey", T.normalize(text).alias("text")), stages).select("c_custkey", "text")
+    return X.run_stages(t.spread("customer").select("c_custkey", T.normalize(text).alias("text")), stages).select("c_custkey", "text")
 
 
 @query("X-28", """
@@ -524,7 +524,7 @@ def older_leftovers(t: Tables):
     k = F.col("c_custkey")
     text = F.element_at(F.array(F.lit("jaga: Ners malam"), F.lit("oleh Apt. jaga"), F.lit("lihat No. Foto lama")), (k % 3 + 1).cast("int"))
     rules = R.OLDER_LEFTOVER_RULES + R.POSSIBLE_LEFTOVER_RULES
-    d = X.scan_leftovers(t.customer.select("c_custkey", text.alias("text")), rules)
+    d = X.scan_leftovers(t.spread("customer").select("c_custkey", text.alias("text")), rules)
     return d.select(
         "c_custkey",
         *[F.coalesce(F.try_element_at("leftovers", F.lit(c)), F.lit(0)).cast("long").alias(c) for c in ["sisa_ners", "sisa_apt", "possible_no_foto_leftover"]],
@@ -538,7 +538,7 @@ def excused_specialists(t: Tables):
     pad = F.when(k % 3 == 1, F.repeat(F.lit("- "), 60)).otherwise("")
     label = F.when(k % 3 == 2, "[PERAWAT]").otherwise("[DOKTER_UMUM]")
     text = F.concat(label, F.lit(" "), pad, F.lit("Sp.Rad selesai"))
-    d = X.scan_leftovers(t.customer.select("c_custkey", text.alias("text")))
+    d = X.scan_leftovers(t.spread("customer").select("c_custkey", text.alias("text")))
     return d.select("c_custkey", F.coalesce(F.try_element_at("leftovers", F.lit("leftover_sp")), F.lit(0)).cast("long").alias("leftover_sp"))
 
 
@@ -556,7 +556,7 @@ def full_redaction(t: Tables):
         F.concat(F.lit("- Ns. "), name),
         F.lit("- keluhan pusing berkurang, makan baik."),
     )
-    d = X.redact(t.customer.select("c_custkey", F.array_join(lines, "\r\n").alias("text")))
+    d = X.redact(t.spread("customer").select("c_custkey", F.array_join(lines, "\r\n").alias("text")))
     return d.select("c_custkey", "text", "needs_manual_review")
 
 
