@@ -7,7 +7,8 @@ get their default from a spine of the patients.  Patterns do not span two files.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, field as dc_field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -161,10 +162,6 @@ PATIENT, FILE, TYPE, TEXT = "patient_id", "source_file", "doc_type", "text"
 # ---------------------------------------------------------------------------
 # Shared steps
 # ---------------------------------------------------------------------------
-def _of_types(docs: DataFrame, types) -> DataFrame:
-    return docs.filter(F.col(TYPE).isin(*types))
-
-
 def _group(text: Column, pattern: str, i: int = 1) -> Column:
     return F.nullif(F.regexp_extract(text, pattern, i), F.lit(""))
 
@@ -182,6 +179,22 @@ class Found:
     prio: Column | int = 0
     pos: Column | int = 0
     by_file: bool = True
+    types: tuple[str, ...] | None = None
+
+
+@dataclass(frozen=True)
+class Extractor:
+    """What one built-in looks for: candidates, the types it reads, the fields in
+    which the last file wins, defaults, and fields derived from a winner."""
+
+    found: Callable[[], list[Found]]
+    types: tuple[str, ...] | None = None
+    last: tuple[str, ...] = ()
+    defaults: dict[str, str] = dc_field(default_factory=dict)
+    derive: dict[str, Callable[[Column], dict[str, Column]]] = dc_field(default_factory=dict)
+
+    def __call__(self, docs: DataFrame) -> DataFrame:
+        return run_extractors(docs, [self])
 
 
 def _flag(test: Column, name: str, value: str = PRESENT) -> Found:
@@ -192,40 +205,67 @@ def _priority(table: dict[str, int]) -> Column:
     return reduce(lambda rest, kv: F.when(F.col(TYPE) == kv[0], F.lit(kv[1])).otherwise(rest), table.items(), F.lit(9))
 
 
-def _when(value: Column, name: str, prio: Column | int = 0, pos: Column | int = 0) -> Found:
-    return Found(name, value, prio, pos)
+def run_extractors(docs: DataFrame, extractors: list[Extractor]) -> DataFrame:
+    """Long ``(patient, field, value)`` of any number of extractors: one scan of
+    the documents and one aggregation over their candidates.
 
+    Per (patient, field) the smallest (prio, pos, file) wins; in ``last`` fields
+    the largest, unless all its candidates rank 0 and a field may rank higher."""
+    found, last, defaults, derive = [], set(), {}, {}
+    for e in extractors:
+        found += [(f, f.types or e.types) for f in e.found()]
+        last |= set(e.last)
+        defaults.update(e.defaults)
+        derive.update(e.derive)
 
-def _pick(docs: DataFrame, found: list[Found], last: tuple[str, ...] = ()) -> DataFrame:
-    """Best candidate per (patient, field): the smallest (prio, pos, file), or
-    for the fields in ``last`` the largest."""
-    # values first, as plain columns: each regular expression runs once, in codegen
-    staged = docs.select(PATIENT, FILE, TYPE, TEXT, *[f.value.alias(f"__v{i}") for i, f in enumerate(found)])
+    def typed(value: Column, types: tuple[str, ...] | None) -> Column:
+        return value if types is None else F.when(F.col(TYPE).isin(*types), value)
 
     def number(x: Column | int) -> Column:
         return F.lit(x) if isinstance(x, int) else x
 
+    # values first, as plain columns: each regular expression runs once, in codegen
+    staged = docs.select(PATIENT, FILE, TYPE, TEXT, *[typed(f.value, types).alias(f"__v{i}") for i, (f, types) in enumerate(found)])
     items = [
         F.when(
             F.col(f"__v{i}").isNotNull(),
             candidate(f.name, number(f.prio), number(f.pos), F.col(FILE) if f.by_file else F.lit(""), F.col(f"__v{i}")),
         )
-        for i, f in enumerate(found)
+        for i, (f, _) in enumerate(found)
     ]
     rows = explode_structs(staged, [PATIENT], F.array_compact(F.array(*items)))
     key = F.struct("prio", "pos", "ord", "value")
     picked = rows.groupBy(PATIENT, "field").agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
-    value = F.when(F.col("field").isin(*last), F.col("hi.value")).otherwise(F.col("lo.value")) if last else F.col("lo.value")
-    return picked.select(PATIENT, "field", value.alias("value"))
-
-
-def with_defaults(docs: DataFrame, found: DataFrame, defaults: dict[str, str | None]) -> DataFrame:
-    """Every patient gets every field; missing ones take their default."""
-    spine = docs.select(PATIENT).distinct().select(
-        PATIENT,
-        F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(d).cast("string").alias("d")) for f, d in defaults.items()])).alias("s"),
-    ).select(PATIENT, "s.field", "s.d")
-    return spine.join(found, [PATIENT, "field"], "left").select(PATIENT, "field", F.coalesce("value", "d").alias("value"))
+    ranked = sorted({f.name for f, _ in found if isinstance(f.prio, int) and f.prio > 0} & last)
+    value = F.col("lo.value")
+    if last:
+        value = F.when(F.col("field").isin(*sorted(last)), F.col("hi.value")).otherwise(value)
+    if ranked:
+        value = F.when(F.col("field").isin(*ranked) & (F.col("hi.prio") == 0), F.col("lo.value")).otherwise(value)
+    out = picked.select(PATIENT, "field", value.alias("value"))
+    if derive:
+        own = F.array(F.struct(F.col("field").alias("field"), F.col("value").alias("value")))
+        pairs = reduce(
+            lambda rest, kv: F.when(
+                F.col("field") == kv[0],
+                F.array(*[F.struct(F.lit(n).alias("field"), v.cast("string").alias("value")) for n, v in kv[1](F.col("value")).items()]),
+            ).otherwise(rest),
+            derive.items(),
+            own,
+        )
+        out = explode_structs(out, [PATIENT], pairs).filter(F.col("value").isNotNull())
+    return with_defaults(docs, out, defaults) if defaults else out
+
+
+def with_defaults(docs: DataFrame, found: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """Every patient gets the fields that have a default; the others stay as
+    found.  The spine reads only the patient column."""
+    rows = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(d).alias("value")) for f, d in defaults.items()])
+    spine = explode_structs(docs.select(PATIENT).distinct(), [PATIENT], rows)
+    return (
+        spine.withColumn("rank", F.lit(1)).unionByName(found.withColumn("rank", F.lit(0)))
+        .groupBy(PATIENT, "field").agg(F.min_by("value", "rank").alias("value"))
+    )
 
 
 # ---------------------------------------------------------------------------
@@ -256,10 +296,8 @@ def _stroke_type(evidence: Column) -> Column:
     return F.when(infarct & bleed, "MIXED").when(infarct, "INFARK").when(bleed, "HEMORAGIK").otherwise("UNCLEAR")
 
 
-def diagnosis(docs: DataFrame) -> DataFrame:
-    """Best evidence by document priority, then position.
-
-    The evidence starts up to 80 characters before a mention.  The mention is
+def _diagnosis() -> list[Found]:
+    """The evidence starts up to 80 characters before a mention.  The mention is
     searched first and the lead is cut out around it: a pattern that begins with
     the lead would be tried 80 times at every letter of the text."""
     t = F.col(TEXT)
@@ -269,25 +307,20 @@ def diagnosis(docs: DataFrame) -> DataFrame:
         start = F.greatest(at - DIAGNOSIS_LEAD, F.lit(1))
         window = F.substring(t, start, F.lit(1000))
         evidence = F.when(at > 0, T.clean_snippet(F.regexp_extract(window, f"(?is)^.{{0,{DIAGNOSIS_LEAD}}}{core}{tail}", 0), 450))
-        found.append(_when(evidence, "diagnosis_text", _priority(DIAGNOSIS_PRIORITY), start))
-    best = _pick(docs, found)
-    both = F.array(
-        F.struct(F.lit("diagnosis_text").alias("field"), F.col("value").alias("value")),
-        F.struct(F.lit("stroke_type").alias("field"), _stroke_type(F.col("value")).alias("value")),
-    )
-    return explode_structs(best, [PATIENT], both)
+        found.append(Found("diagnosis_text", evidence, _priority(DIAGNOSIS_PRIORITY), start))
+    return found
 
 
-def gcs(docs: DataFrame) -> DataFrame:
+def _gcs() -> list[Found]:
     t = F.col(TEXT)
-    found = [_when(_group(t, GCS_TOTAL), "gcs", _priority(NOTE_PRIORITY), F.regexp_instr(t, F.lit(GCS_TOTAL)))]
+    found = [Found("gcs", _group(t, GCS_TOTAL), _priority(NOTE_PRIORITY), F.regexp_instr(t, F.lit(GCS_TOTAL)))]
     for p in GCS_PARTS:
         total = reduce(lambda a, b: a + b, [F.regexp_extract(t, p, i).try_cast("int") for i in (1, 2, 3)])
-        found.append(_when(total.cast("string"), "gcs", _priority(NOTE_PRIORITY), F.regexp_instr(t, F.lit(p))))
-    return _pick(_of_types(docs, NOTE_PRIORITY), found)
+        found.append(Found("gcs", total.cast("string"), _priority(NOTE_PRIORITY), F.regexp_instr(t, F.lit(p))))
+    return found
 
 
-def vitals(docs: DataFrame) -> DataFrame:
+def _vitals() -> list[Found]:
     """First file with a plausible value, per sign."""
     t = F.col(TEXT)
     pairs = F.arrays_zip(
@@ -296,12 +329,11 @@ def vitals(docs: DataFrame) -> DataFrame:
     good = F.try_element_at(
         F.filter(pairs, lambda p: p["s"].cast("int").between(*SYSTOLIC) & p["d"].cast("int").between(*DIASTOLIC)), F.lit(1)
     )
-    found = [_when(good["s"], "td_sistol"), _when(good["d"], "td_diastol")]
-    found += [_when(F.replace(_group(t, p), F.lit(","), F.lit(".")), name) for name, p in VITALS.items()]
-    return _pick(_of_types(docs, NOTE_PRIORITY), found)
+    signs = [Found(name, F.replace(_group(t, p), F.lit(","), F.lit("."))) for name, p in VITALS.items()]
+    return [Found("td_sistol", good["s"]), Found("td_diastol", good["d"]), *signs]
 
 
-def ct_scan(docs: DataFrame) -> DataFrame:
+def _ct_scan() -> list[Found]:
     t, low = F.col(TEXT), F.lower(TEXT)
     sites = []
     for s in CT_SITES:
@@ -311,68 +343,56 @@ def ct_scan(docs: DataFrame) -> DataFrame:
     located = F.when(T.any_contains(low, SITE_TERMS), F.nullif(listed, F.lit("")))
     bleeding = F.when(low.rlike(NO_BLEED), "tidak_ada").when(low.rlike(BLEED), "ada")
     shift = F.when(low.rlike(SHIFT), F.when(low.rlike(NO_SHIFT), "tidak_ada").otherwise("ada"))
-    found = [
+    return [
         _flag(low.rlike(CT_WORDS), "ct_documented"),
-        _when(located, "ct_infark_lokasi"),
-        _when(_group(t, ASPECTS), "ct_aspects"),
-        _when(bleeding, "ct_perdarahan"),
-        _when(shift, "ct_midline_shift"),
+        Found("ct_infark_lokasi", located),
+        Found("ct_aspects", _group(t, ASPECTS)),
+        Found("ct_perdarahan", bleeding),
+        Found("ct_midline_shift", shift),
         _flag(low.rlike(HYDROCEPHALUS), "ct_hidrosefalus"),
         _flag(low.rlike(ATROPHY), "ct_atrofi"),
-        _when(T.clean_snippet(_first_of(t, CONCLUSIONS), 600), "ct_result"),
-        _when(T.parse_date_text(_group(t, DONE_DATE)), "ct_tanggal"),
+        Found("ct_result", T.clean_snippet(_first_of(t, CONCLUSIONS), 600)),
+        Found("ct_tanggal", T.parse_date_text(_group(t, DONE_DATE))),
     ]
-    last = ("ct_infark_lokasi", "ct_aspects", "ct_perdarahan", "ct_midline_shift", "ct_result", "ct_tanggal")
-    picked = _pick(_of_types(docs, ["radiology", "resume"]), found, last)
-    return with_defaults(docs, picked, {"ct_documented": ABSENT, **{f: None for f in (*last, "ct_hidrosefalus", "ct_atrofi")}})
 
 
-def thorax(docs: DataFrame) -> DataFrame:
+def _thorax() -> list[Found]:
     t, low = F.col(TEXT), F.lower(TEXT)
     impression = _group(t, IMPRESSION)
     chest = impression.isNotNull() & T.any_contains(F.lower(impression), CHEST_TERMS)
     documented = (low.rlike(THORAX_WORDS) & ~low.rlike(CT_EXCLUDES)) | low.rlike(THORAX_STRONG) | chest
-    found = [
+    return [
         _flag(documented, "thorax_documented"),
-        _when(F.when(chest, T.clean_snippet(impression, 400)), "thorax_kesan"),
-        _when(T.parse_date_text(_group(t, DONE_DATE)), "thorax_tanggal"),
-        _when(T.parse_date_text(_group(t, EXAM_DATE)), "thorax_tanggal_pmk"),
+        Found("thorax_kesan", F.when(chest, T.clean_snippet(impression, 400))),
+        # the last completion date wins over the first examination date
+        Found("thorax_tanggal", T.parse_date_text(_group(t, DONE_DATE)), prio=1),
+        Found("thorax_tanggal", T.parse_date_text(_group(t, EXAM_DATE))),
     ]
-    picked = _pick(_of_types(docs, ["radiology", "resume"]), found, ("thorax_kesan", "thorax_tanggal"))
-    # the last completion date wins over the first examination date
-    named = picked.withColumn("rank", F.when(F.col("field") == "thorax_tanggal_pmk", 1).otherwise(0)).withColumn(
-        "field", F.replace("field", F.lit("thorax_tanggal_pmk"), F.lit("thorax_tanggal"))
-    )
-    single = named.groupBy(PATIENT, "field").agg(F.min_by("value", "rank").alias("value"))
-    return with_defaults(docs, single, {"thorax_documented": ABSENT, "thorax_kesan": None, "thorax_tanggal": None})
 
 
-def lab_dates(docs: DataFrame) -> DataFrame:
+def _lab_dates() -> list[Found]:
     t = F.col(TEXT)
     day = F.coalesce(*[T.parse_date_text(_group(t, p)) for p in LAB_DATES])
     urgent = F.lower(FILE).contains("igd") | t.rlike(EMERGENCY)
-    found = [
-        _when(F.when(urgent, day), "lab_tanggal_igd"),
-        _when(F.when(~urgent, day), "lab_tanggal_ranap"),
+    return [
+        Found("lab_tanggal_igd", F.when(urgent, day)),
+        Found("lab_tanggal_ranap", F.when(~urgent, day)),
         Found("lab_tanggal_pertama", day, by_file=False),
     ]
-    return _pick(_of_types(docs, ["lab"]), found, ("lab_tanggal_igd",))
 
 
-def fever(docs: DataFrame) -> DataFrame:
+def _fever() -> list[Found]:
     t, low = F.col(TEXT), F.lower(TEXT)
     numbers = F.transform(
         F.regexp_extract_all(t, F.lit(TEMPERATURE), F.lit(1)), lambda x: F.replace(x, F.lit(","), F.lit(".")).try_cast("double")
     )
     top = F.array_max(F.filter(numbers, lambda x: x.between(*TEMPERATURE_RANGE)))
     spoken = low.rlike(FEVER_WORDS)
-    found = [
+    return [
         _flag(spoken | (top >= FEVER_FROM), "demam_selama_rawat"),
         _flag(spoken & (F.col(TYPE) == "cppt_igd"), "demam_saat_masuk"),
         Found("suhu_tertinggi", F.when(top.isNotNull(), F.format_string("%.1f", top)), pos=(-top * 10).cast("int"), by_file=False),
     ]
-    picked = _pick(_of_types(docs, ["cppt_igd", "cppt_ranap"]), found)
-    return with_defaults(docs, picked, {"demam_saat_masuk": ABSENT, "demam_selama_rawat": ABSENT, "suhu_tertinggi": None})
 
 
 def _lab_value(text: Column, names: list[str]) -> Column:
@@ -380,87 +400,93 @@ def _lab_value(text: Column, names: list[str]) -> Column:
     return F.replace(F.coalesce(*values), F.lit(","), F.lit("."))
 
 
-def lab_values(docs: DataFrame) -> DataFrame:
-    """First laboratory file with a hit; within it the first name pattern."""
-    t = F.col(TEXT)
-    return _pick(_of_types(docs, ["lab"]), [_when(_lab_value(t, names), f) for f, names in LAB_TESTS.items()])
+def _lab_values(prio: Column | int = 0) -> list[Found]:
+    """First file with a hit; within it the first name pattern."""
+    return [Found(f, _lab_value(F.col(TEXT), names), prio) for f, names in LAB_TESTS.items()]
 
 
-def lab_values_by_priority(docs: DataFrame) -> DataFrame:
-    """As :func:`lab_values` over all note types, laboratory files first."""
-    t = F.col(TEXT)
-    prio = _priority(LAB_PRIORITY)
-    return _pick(_of_types(docs, LAB_PRIORITY), [_when(_lab_value(t, names), f, prio) for f, names in LAB_TESTS.items()])
+def _flags(patterns: dict[str, str], value: str = PRESENT) -> list[Found]:
+    return [_flag(F.col(TEXT).rlike(p), name, value) for name, p in patterns.items()]
 
 
-def _flags(docs: DataFrame, patterns: dict[str, str], default: str = ABSENT, value: str = PRESENT) -> DataFrame:
-    """Flags over all of a patient's documents: one boolean aggregate each,
-    turned to long rows after the reduction."""
-    t = F.col(TEXT)
-    names = list(patterns)
-    agg = docs.groupBy(PATIENT).agg(*[F.bool_or(t.rlike(patterns[n])).alias(n) for n in names])
-    rows = F.array(*[F.struct(F.lit(n).alias("field"), F.when(F.col(n), value).otherwise(default).alias("value")) for n in names])
-    return agg.select(PATIENT, F.explode(rows).alias("r")).select(PATIENT, "r.*")
-
-
-def risk_factors(docs: DataFrame) -> DataFrame:
-    flags = _flags(docs, RISKS)
-    history = _pick(_of_types(docs, ["resume"]), [_when(T.clean_snippet(_group(F.col(TEXT), PAST_HISTORY), 400), "rpd_text")])
-    return flags.unionByName(history)
-
-
-def actions(docs: DataFrame) -> DataFrame:
-    return _flags(docs, ACTIONS)
-
-
-def drug_flags(docs: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
-    return _flags(docs, patterns or DRUG_FLAGS, NOT_RECORDED, GIVEN)
+def _risk_factors() -> list[Found]:
+    history = T.clean_snippet(_group(F.col(TEXT), PAST_HISTORY), 400)
+    return [*_flags(RISKS), Found("rpd_text", history, types=("resume",))]
 
 
 def _first_match(raw: Column, classes: list[tuple[str, str]]) -> Column:
     return reduce(lambda rest, kv: F.when(raw.contains(kv[0]), kv[1]).otherwise(rest), reversed(classes), F.lit(None))
 
 
-def outcome(docs: DataFrame) -> DataFrame:
-    """Discharge facts of a patient's first resume."""
+OUTCOME_FIELDS = ["cara_keluar", "keterangan_pulang", "kondisi_pulang", "rencana_kontrol", "lama_rawat_hari"]
+
+
+def _outcome() -> list[Found]:
+    """Discharge facts of a patient's first resume - only the first counts, also
+    where it lacks a field, so its facts travel as one value."""
     t = F.col(TEXT)
-    way = F.trim(F.regexp_replace(_group(t, WAY_OUT), r"^\s+|\s+$", ""))
+    way = T.strip(_group(t, WAY_OUT))
     low_way = F.lower(way)
     way_class = reduce(
         lambda rest, kv: F.when(T.any_contains(low_way, kv[1]), kv[0]).otherwise(rest), reversed(WAY_CLASSES), F.lit(None)
     )
-    raw = F.lower(F.regexp_replace(_group(t, CONDITION), r"^\s+|\s+$", ""))
+    raw = F.lower(T.strip(_group(t, CONDITION)))
     condition = F.coalesce(
         _first_match(raw, CONDITION_CLASSES), F.concat(F.upper(F.substring(raw, 1, 1)), F.substring(raw, F.lit(2), F.length(raw)))
     )
     d_in, d_out = (F.try_to_date(T.parse_date_text(_group(t, p)), "yyyy-MM-dd") for p in (DATE_IN, DATE_OUT))
     days = F.datediff(d_out, d_in)
     stay = F.coalesce(_group(t, STATED_STAY), F.when(days >= 0, days.cast("string")))
-    fields = {
-        "cara_keluar": way, "keterangan_pulang": way_class, "kondisi_pulang": condition,
-        "rencana_kontrol": _group(t, CONTROL_DATE), "lama_rawat_hari": stay,
-    }
-    # only the first resume counts, also where it lacks a field
-    resumes = _of_types(docs, ["resume"]).select(PATIENT, FILE, *[v.cast("string").alias(n) for n, v in fields.items()])
-    first = resumes.groupBy(PATIENT).agg(F.min_by(F.struct(*fields), FILE).alias("r")).select(PATIENT, "r.*")
-    return first.unpivot([PATIENT], list(fields), "field", "value").filter(F.col("value").isNotNull())
+    values = [way, way_class, condition, _group(t, CONTROL_DATE), stay]
+    return [Found("__outcome", F.to_json(F.struct(*[v.cast("string").alias(n) for n, v in zip(OUTCOME_FIELDS, values)])))]
 
 
-def nihss(docs: DataFrame) -> DataFrame:
+def _nihss() -> list[Found]:
     t = F.col(TEXT)
     score = _group(t, NIHSS)
     ok = F.when(score.cast("int").between(*NIHSS_RANGE), score)
-    picked = _pick(_of_types(docs, NOTE_PRIORITY), [_when(ok, "nihss", _priority(NOTE_PRIORITY), F.regexp_instr(t, F.lit(NIHSS)))])
-    documented = picked.select(PATIENT, F.lit("nihss_documented").alias("field"), F.lit("yes").alias("value"))
-    return with_defaults(docs, picked.unionByName(documented), {"nihss": None, "nihss_documented": "no"})
+    return [Found("nihss", ok, _priority(NOTE_PRIORITY), F.regexp_instr(t, F.lit(NIHSS)))]
 
 
-def onset_text(docs: DataFrame) -> DataFrame:
+def _onset() -> list[Found]:
     t = F.col(TEXT)
-    found = [_when(T.clean_snippet(_group(t, p), 450), "onset", _priority(NOTE_PRIORITY), F.regexp_instr(t, F.lit(p))) for p in ONSET]
-    return _pick(_of_types(docs, NOTE_PRIORITY), found)
+    return [Found("onset", T.clean_snippet(_group(t, p), 450), _priority(NOTE_PRIORITY), F.regexp_instr(t, F.lit(p))) for p in ONSET]
+
+
+NOTES = tuple(NOTE_PRIORITY)
+diagnosis = Extractor(_diagnosis, derive={"diagnosis_text": lambda v: {"diagnosis_text": v, "stroke_type": _stroke_type(v)}})
+gcs = Extractor(_gcs, NOTES)
+vitals = Extractor(_vitals, NOTES)
+ct_scan = Extractor(
+    _ct_scan, ("radiology", "resume"),
+    ("ct_infark_lokasi", "ct_aspects", "ct_perdarahan", "ct_midline_shift", "ct_result", "ct_tanggal"), {"ct_documented": ABSENT},
+)
+thorax = Extractor(_thorax, ("radiology", "resume"), ("thorax_kesan", "thorax_tanggal"), {"thorax_documented": ABSENT})
+lab_dates = Extractor(_lab_dates, ("lab",), ("lab_tanggal_igd",))
+fever = Extractor(_fever, ("cppt_igd", "cppt_ranap"), defaults={"demam_saat_masuk": ABSENT, "demam_selama_rawat": ABSENT})
+lab_values = Extractor(_lab_values, ("lab",))
+lab_values_by_priority = Extractor(lambda: _lab_values(_priority(LAB_PRIORITY)), tuple(LAB_PRIORITY))
+risk_factors = Extractor(_risk_factors, defaults={n: ABSENT for n in RISKS})
+actions = Extractor(lambda: _flags(ACTIONS), defaults={n: ABSENT for n in ACTIONS})
+drug_flags = Extractor(lambda: _flags(DRUG_FLAGS, GIVEN), defaults={n: NOT_RECORDED for n in DRUG_FLAGS})
+outcome = Extractor(
+    _outcome, ("resume",), derive={"__outcome": lambda v: {n: F.get_json_object(v, f"$.{n}") for n in OUTCOME_FIELDS}}
+)
+nihss = Extractor(
+    _nihss, NOTES, defaults={"nihss_documented": "no"}, derive={"nihss": lambda v: {"nihss": v, "nihss_documented": F.when(v.isNotNull(), "yes")}}
+)
+onset_text = Extractor(_onset, NOTES)
+
+
+def medication_fields(docs: DataFrame, drugs: dict[str, list[str]]) -> DataFrame:
+    found = E.medications(docs, drugs, PATIENT, FILE, TEXT)
+    parts = [("value", ""), ("detail", "_detail"), ("dose", "_dosis"), ("duration", "_durasi")]
+    rows = F.array(*[F.struct(F.concat("drug_key", F.lit(s)).alias("field"), F.col(c).alias("value")) for c, s in parts])
+    return explode_structs(found, [PATIENT], rows)
 
 
+#: Names as rule files use them.  ``demographics`` and ``medications`` reduce in
+#: their own way; all others can share one scan (:func:`run_extractors`).
 BUILTINS = {
     "demographics": demographics,
     "diagnosis": diagnosis,
@@ -471,15 +497,23 @@ BUILTINS = {
     "lab_dates": lab_dates,
     "lab_values": lab_values,
     "demam": fever,
-    "medications": lambda docs, drugs: _medication_fields(docs, drugs),
+    "medications": medication_fields,
     "risk_factors": risk_factors,
     "actions": actions,
     "outcome": outcome,
 }
 
 
-def _medication_fields(docs: DataFrame, drugs: dict[str, list[str]]) -> DataFrame:
-    found = E.medications(docs, drugs, PATIENT, FILE, TEXT)
-    parts = [("value", ""), ("detail", "_detail"), ("dose", "_dosis"), ("duration", "_durasi")]
-    rows = F.array(*[F.struct(F.concat("drug_key", F.lit(s)).alias("field"), F.col(c).alias("value")) for c, s in parts])
-    return found.select(PATIENT, F.explode(rows).alias("r")).select(PATIENT, "r.*")
+def regex_extractor(rules: list[E.FieldRule]) -> Extractor:
+    """Regex fields as an extractor; '' stands for a match without a value."""
+
+    def found() -> list[Found]:
+        t = F.col(TEXT)
+        out = []
+        for r in rules:
+            prio = E.type_priority(F.col(TYPE), r.doc_types)
+            hit = T.clean_snippet(F.regexp_extract(t, r.java, 1), 500) if r.has_group else F.lit(PRESENT)
+            out.append(Found(r.field, F.when(prio.isNotNull() & t.rlike(r.java), hit), prio))
+        return out
+
+    return Extractor(found)

@@ -11,10 +11,12 @@ from .. import rules as R
 from ..functions import text as T
 from ..rows import explode_rows
 from ..rules import Rule
-from ..session import MAX_RULE_ROWS, bounded_rows
+from ..session import MAX_RULE_ROWS, bounded_rows, broadcast_if_small
 
 SEPARATOR = r"(?:\s|,|\.|\-|_)+"
 MIN_VARIANT_CHARS = 7
+#: 8-byte hashes up to this many are broadcast to thin the pairs of documents.
+MAX_PAIR_HASHES = 2_000_000
 
 # What is stripped from a staff name, in this order.
 NAME_NOISE = [
@@ -187,6 +189,9 @@ def redact_staff_join(
             SEPARATOR,
         ).alias("alt"),
     )
+    # pairs no name starts with (nearly all) leave before the shuffle
+    known = keyed.select(F.xxhash64("pair").alias("__h")).distinct()
+    pairs_of = pairs_of.withColumn("__h", F.xxhash64("pair")).join(broadcast_if_small(known, MAX_PAIR_HASHES), "__h", "left_semi").drop("__h")
     found = (
         pairs_of.join(keyed, "pair")
         .groupBy(key, "role")

@@ -9,34 +9,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as T
 from ..sources.profiles import Profile
-from . import extract as E, records as Rec
+from . import clinical as K, extract as E, records as Rec
 
 LONG = ["patient_id", "field", "value"]
 
 
 def extract_long(docs: DataFrame, profile: Profile, drugs: dict[str, list[str]] | None = None, order: str | None = None) -> DataFrame:
-    """``(patient_id, field, value)`` of every category.  All regex categories
-    share one scan, all keyword categories another, each built-in its own."""
-    from .clinical import BUILTINS
-
-    parts = []
+    """``(patient_id, field, value)`` of every category.  Regex fields and nearly
+    all built-ins share one scan of the documents and one aggregation."""
+    shared, parts = [], []
+    for c in profile.categories:
+        builtin = K.BUILTINS.get(c.builtin) if c.kind == "builtin" else None
+        if isinstance(builtin, K.Extractor):
+            shared.append(builtin)
+        elif c.builtin == "medications" and builtin:
+            parts.append(builtin(docs, drugs or {}))
+        elif builtin:
+            parts.append(builtin(docs))
     regex = [r for c in profile.categories if c.kind == "regex" for r in c.regex]
     keyword = [r for c in profile.categories if c.kind == "keyword" for r in c.keywords]
     if regex:
-        parts.append(E.regex_fields(docs, regex).select(*LONG))
+        shared.append(K.regex_extractor(regex))
+    if shared:
+        parts.append(K.run_extractors(docs, shared))
     if keyword:
-        parts.append(E.keyword_fields(docs, keyword, order=order).select(*LONG))
-    for c in profile.categories:
-        if c.kind != "builtin" or c.builtin not in BUILTINS:
-            continue
-        if c.builtin == "medications":
-            parts.append(BUILTINS[c.builtin](docs, drugs or {}).select(*LONG))
-        else:
-            found = Rec.with_aliases(BUILTINS[c.builtin](docs).select(*LONG))
-            parts.append(found.filter(F.col("field").isin(*c.fields)) if c.fields else found)
+        parts.append(E.keyword_fields(docs, keyword, order=order))
     if not parts:
-        return docs.select("patient_id", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("value")).filter(F.lit(False))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+        none = F.lit(None).cast("string")
+        return docs.select("patient_id", none.alias("field"), none.alias("value")).filter(F.lit(False))
+    return Rec.with_aliases(reduce(lambda a, b: a.unionByName(b), [p.select(*LONG) for p in parts]))
 
 
 def run_profile(

@@ -345,16 +345,14 @@ def redact(
 
 
 def route_by_length(
-    df: DataFrame,
-    short: Callable[[DataFrame], DataFrame],
-    long: Callable[[DataFrame], DataFrame],
-    limit: int = R.LONG_DOCUMENT_CHARS,
-    text: str = "text",
+    df: DataFrame, short: list[Stage], long: list[Stage], limit: int = R.LONG_DOCUMENT_CHARS, text: str = "text", counts: str = "counts"
 ) -> DataFrame:
-    """Long texts take the lighter chain; both filters are pushed to the scan
-    side and the two branches are united by name."""
-    size = F.length(text)
-    return short(df.filter(size <= limit)).unionByName(long(df.filter((size > limit) | size.isNull())), allowMissingColumns=True)
+    """Long texts take the lighter stages, the others the full ones.  Both chains
+    run over the same scan; each touches only the rows of its route."""
+    size = F.coalesce(F.length(text), F.lit(0))
+    out = df.withColumns({"__short": size <= limit, "__long": size > limit})
+    out = run_stages(run_stages(out, short, text, counts, "__short"), long, text, counts, "__long")
+    return out.withColumn("route", F.when(F.col("__long"), "long").otherwise("short")).drop("__short", "__long")
 
 
 def mask_page_edges(df: DataFrame, text: str = "text", counts: str = "counts", label: str = "[HEADER_FOOTER_RS]") -> DataFrame:

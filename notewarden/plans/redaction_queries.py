@@ -229,12 +229,7 @@ SELECT doc_id, CASE WHEN length(text) > 2000 THEN {_replace_chain('text', R.GENE
  CASE WHEN length(text) > 2000 THEN 'long' ELSE 'short' END AS route FROM documents""")
 def length_router(t: Tables):
     d = t.spread("documents").select("doc_id", "text")
-    out = X.route_by_length(
-        d,
-        lambda x: X.apply_rules(x, R.GENERAL_RULES).withColumn("route", F.lit("short")),
-        lambda x: X.apply_rules(x, R.GENERAL_RULES[:1]).withColumn("route", F.lit("long")),
-        limit=2000,
-    )
+    out = X.route_by_length(d, [X.rules_stage(R.GENERAL_RULES)], [X.rules_stage(R.GENERAL_RULES[:1])], limit=2000)
     return out.select("doc_id", "text", "route")
 
 

@@ -132,7 +132,7 @@ def running_chars(t: Tables):
 
 
 @query("S-14", """
-SELECT source, lang, doc_id // 4096 AS part, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text, count(*) AS n_items FROM documents GROUP BY 1, 2, 3""")
+SELECT source, lang, doc_id // 256 AS part, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text, count(*) AS n_items FROM documents GROUP BY 1, 2, 3""")
 def concat_by_type(t: Tables):
     return concat_parts(t.documents, ["source", "lang"], "doc_id", F.col("text"), "\n\n")
 
@@ -146,7 +146,7 @@ def page_assembly(t: Tables):
 
 
 @query("S-24", """
-SELECT source, doc_id // 4096 AS part, string_agg(chr(10) || chr(10) || '===== SUMBER FILE: ' || doc_id || '.txt =====' || chr(10) || trim(text), chr(10) ORDER BY doc_id) AS text, count(*) AS n_items
+SELECT source, doc_id // 256 AS part, string_agg(chr(10) || chr(10) || '===== SUMBER FILE: ' || doc_id || '.txt =====' || chr(10) || trim(text), chr(10) ORDER BY doc_id) AS text, count(*) AS n_items
 FROM documents WHERE trim(text) <> '' GROUP BY 1, 2""")
 def source_tagged_text(t: Tables):
     d = t.documents.withColumn("text", F.trim("text")).filter(F.col("text") != "")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .session import materialise
 
 SPAN = 4096
+CONCAT_SPAN = 256
 
 
 def assign_sequence(df: DataFrame, keys: list[str], order: list[str], name: str = "doc_seq", partitions: int | None = None) -> DataFrame:
@@ -106,7 +107,7 @@ def neighbour_items(
 
 
 def concat_parts(
-    df: DataFrame, keys: list[str], order: str, text: Column, separator: str, span: int = SPAN, name: str = "text"
+    df: DataFrame, keys: list[str], order: str, text: Column, separator: str, span: int = CONCAT_SPAN, name: str = "text"
 ) -> DataFrame:
     """Ordered concatenation in parts: part ``p`` of a key joins the rows whose
     integer order lies in ``[p*span, (p+1)*span)``.  A usual group is one part; a

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from notewarden import rules as R
 from notewarden.operators import leaks as L, names as N, redact as X
+from notewarden.rules import Rule
 
 
 def frame(spark, *texts):
@@ -96,7 +97,6 @@ def test_factored_pattern_equals_plain_alternation():
     plain = "(?<![A-Za-z])(?:" + "|".join(N.variant_pattern(n) for n in sorted(names, key=len, reverse=True)) + ")(?![A-Za-z])"
     tree = N.alternation(names)
     for text in ["ana bela cita", "Ana Belax", "ana_bel, budi  ana bela", "xAna Bela", "ana b-ela cita"]:
-        assert re.findall(plain, text, re.I) and True or True
         assert [m.span() for m in re.finditer(plain, text, re.I)] == [m.span() for m in re.finditer(tree, text, re.I)], text
 
 
@@ -137,5 +137,8 @@ def test_counts_merge(spark):
 
 def test_router_keeps_every_row(spark):
     d = frame(spark, "x" * 10, "y" * 100, None)
-    out = X.route_by_length(d, lambda x: x.withColumn("r", F.lit("s")), lambda x: x.withColumn("r", F.lit("l")), 50)
-    assert sorted((r["id"], r["r"]) for r in out.collect()) == [(0, "s"), (1, "l"), (2, "l")]
+    rule = lambda c: [X.rules_stage([Rule("k", "[xy]", c, "")])]
+    out = X.route_by_length(d, rule("s"), rule("l"), 50)
+    assert sorted((r["id"], r["route"], (r["text"] or "")[:1], sum(r["counts"].values())) for r in out.collect()) == [
+        (0, "short", "s", 10), (1, "long", "l", 100), (2, "short", "", 0)
+    ]
