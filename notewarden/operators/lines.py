@@ -177,7 +177,7 @@ def compact_snippets(
 
 
 def top_snippets(snippets: DataFrame, keys: list[str], limits: dict[str, int], default: int = 3) -> DataFrame:
-    """First N snippets per document and group (the reference's top-N)."""
+    """First N snippets per document and group."""
     limit = reduce(lambda rest, kv: F.when(F.col("group") == kv[0], F.lit(kv[1])).otherwise(rest), limits.items(), F.lit(default))
     w = Window.partitionBy(*keys, "group").orderBy("block_no")
     return snippets.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit)

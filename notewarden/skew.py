@@ -1,6 +1,6 @@
 """Order-dependent steps that stay parallel when one key holds most rows.
 
-The reference semantics need file order inside a patient (neighbouring text,
+The semantics need file order inside a patient (neighbouring text,
 running budgets, concatenation).  Each helper splits a key's rows into buckets
 of consecutive order numbers, works inside buckets, and carries a small
 per-bucket summary across - never a whole group in one task."""
