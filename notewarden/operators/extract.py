@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..rows import explode_rows, explode_structs
+from ..session import pin_if_configured
 from ..skew import neighbour_items
 
 # Fixed values of the negation test and the drug windows.
@@ -172,7 +173,7 @@ def keyword_hits(
         hits.alias("__hits"),
     )
     if order:
-        staged = neighbour_items(staged, [patient], order, "__head", "__tail", n)
+        staged = neighbour_items(pin_if_configured(staged), [patient], order, "__head", "__tail", n)
         lead, follow = F.col("items_before"), F.col("items_after")
     else:
         lead = follow = F.array().cast("array<string>")

@@ -61,6 +61,31 @@ def profile_run(t: Tables):
     return run_profile(docs, profile, wide=True)
 
 
+CATEGORIES = {"Dasar": {"type": "regex", "fields": ["a1", "a2"], "patterns": {"a1": "\\shein\\s", "a2": "zzzz"}, "desc": "dasar"}}
+EXTRA_CATEGORIES = {
+    "Dasar": {"fields": ["a1"], "desc": "diganti", "patterns": {"a1": "tidak dipakai"}},
+    "Baru": {"type": "regex", "fields": ["b1"], "patterns": {"b1": {"pattern": "\\s(nich[a-z]+)\\s", "doc_types": ["de"]}}},
+}
+
+
+@query("S-12 S-09 P-10", f"""
+WITH d AS (SELECT source, doc_id, lang, text FROM {ASCII_DOCS}), p AS (SELECT DISTINCT source FROM d),
+b AS (SELECT source, arg_min(lower(regexp_extract(text, '(?i)\\s(nich[a-z]+)\\s', 1)), doc_id) AS b1 FROM d WHERE lang = 'de' AND regexp_matches(text, '(?i)\\s(nich[a-z]+)\\s') GROUP BY 1),
+a AS (SELECT source, 'ada' AS a1 FROM d WHERE regexp_matches(text, '(?i)\\shein\\s') GROUP BY 1)
+SELECT p.source AS patient_id, a1, b1 FROM p LEFT JOIN a ON a.source = p.source LEFT JOIN b ON b.source = p.source""")
+def overlaid_categories(t: Tables):
+    """User categories over the base ones: fields replaced, extractor kept, new
+    categories added; a catalogue of profiles picks the one to run."""
+    from ..operators.profile_run import run_profile
+    from ..sources.profiles import overlay_categories, parse_profile, select
+
+    profile = parse_profile({"name": "Uji", "categories": overlay_categories(CATEGORIES, EXTRA_CATEGORIES)})
+    docs = ascii_docs(t).select(
+        F.col("source").alias("patient_id"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("source_file"), F.col("lang").alias("doc_type"), F.lower("text").alias("text")
+    )
+    return run_profile(docs, select(profile, ["Dasar", "Baru"]), wide=True)
+
+
 # ---------------------------------------------------------------------------
 # Keywords with negation
 # ---------------------------------------------------------------------------

@@ -95,7 +95,7 @@ def extraction_log(t: Tables):
 # ---------------------------------------------------------------------------
 # Merging and ordering
 # ---------------------------------------------------------------------------
-@query("U-01 W-03", """
+@query("U-01 U-02 W-03", """
 WITH b AS (SELECT o_custkey AS patient_id, o_orderkey, o_orderstatus AS status, NULL AS prioritas, 1 AS batch FROM orders WHERE o_orderkey % 3 <> 0
  UNION ALL SELECT o_custkey, o_orderkey, NULL, o_orderpriority, 2 FROM orders WHERE o_orderkey % 3 = 0)
 SELECT patient_id, o_orderkey, status, prioritas, batch FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY batch DESC, o_orderkey DESC) AS rn FROM b) WHERE rn = 1""")
