@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..rows import explode_map
@@ -56,8 +54,10 @@ def wide_counts(df: DataFrame, keys: list[str], columns: list[str], counts: str
 
 def count_keys(df: DataFrame, counts: str = "counts", limit: int = 10_000) -> list[str]:
     """Sorted union of the dynamic count keys (bounded by the rule list)."""
-    rows = df.select(F.explode(F.map_keys(counts)).alias("k")).distinct().orderBy("k").limit(limit).collect()
-    return [r["k"] for r in rows]
+    rows = df.select(F.explode(F.map_keys(counts)).alias("k")).distinct().limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} count keys: these are not rule keys")
+    return sorted(r["k"] for r in rows)
 
 
 def audit_totals(df: DataFrame, status: str = "status", patient: str = "patient_id") -> DataFrame:

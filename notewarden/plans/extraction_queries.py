@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import extract as E, lines as L
 from ..operators.extract import FieldRule, KeywordRule
-from .redaction_queries import ascii_documents
 from .registry import Tables, query
 
 ASCII_DOCS = "(SELECT doc_id, source, lang, regexp_replace(text, '[^\\x00-\\x7F]', 'x', 'g') AS text FROM documents)"

@@ -38,3 +38,17 @@ def incremental_merge(t: Tables):
     stream = I.read_new_files(t.spark, t.sf_dir, t.orders.schema, glob="orders.parquet")
     I.append_batches(stream.select("o_custkey", "o_orderkey", "o_orderstatus"), out + "/rows", out + "/_state")
     return I.latest_rows(t.spark, out + "/rows", ["o_custkey"], ["o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
+
+
+@query("S-01 S-02 S-13", """
+SELECT 'source=' || source AS patient_id, CAST(sum(length(replace(text, chr(10), ' ')) + 1) AS BIGINT) AS n_chars FROM documents GROUP BY 1""")
+def folder_scan(t: Tables):
+    """A folder tree of text files, written from the documents and scanned back:
+    the first part of a file's path is its patient."""
+    from ..sources.documents import read_text_folder, with_path_keys
+
+    out = scratch(t, "tree")
+    d = t.spread("documents").select("source", F.replace("text", F.lit("\n"), F.lit(" ")).alias("value"))
+    d.write.partitionBy("source").option("maxRecordsPerFile", 10_000).text(out)
+    files = with_path_keys(read_text_folder(t.spark, out))
+    return files.groupBy("patient_id").agg(F.sum(F.length("text")).alias("n_chars"))

@@ -194,16 +194,10 @@ WITH d(drug_key, term_pos, term) AS (VALUES ('med_a',0,'baru'),('med_b',0,'lama'
 SELECT p_partkey, d.drug_key, d.term FROM part, d WHERE p_partkey % 3 = CASE d.drug_key WHEN 'med_a' THEN 0 WHEN 'med_b' THEN 1 ELSE 2 END""")
 def drug_dictionary(t: Tables):
     """User lists over default lists, joined with the rows that use a class."""
-    import json
-    import tempfile
-
     from ..session import broadcast_if_small
-    from ..sources.profiles import drug_frame, load_drugs
+    from ..sources.profiles import drug_frame, merge_drugs
 
-    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
-        json.dump({"_note": "x", "med_a": ["baru"], "med_b": [], "med_c": ["tambahan"]}, f)
-        f.flush()
-        drugs = load_drugs(f.name, {"med_a": ["asal"], "med_b": ["lama"]})
+    drugs = merge_drugs({"med_a": ["asal"], "med_b": ["lama"]}, {"_note": "x", "med_a": ["baru"], "med_b": [], "med_c": ["tambahan"]})
     used = t.part.select("p_partkey", F.element_at(F.array(F.lit("med_a"), F.lit("med_b"), F.lit("med_c")), (F.col("p_partkey") % 3 + 1).cast("int")).alias("drug_key"))
     return used.join(broadcast_if_small(drug_frame(t.spark, drugs)), "drug_key").select("p_partkey", "drug_key", "term")
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
@@ -14,8 +16,10 @@ def read_text_folder(spark: SparkSession, folder: str, glob: str = "*.txt") -> D
     raw = (
         spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
     )
-    base = folder.rstrip("/") + "/"
-    path = F.regexp_replace(F.col("path"), "^file:/+", "/")
+    # scheme and host are left out on both sides: file:/a, file:///a and /a are one
+    scheme = "^[A-Za-z0-9+.-]+:(//[^/]*)?"
+    base = re.sub(scheme, "", folder).rstrip("/") + "/"
+    path = F.regexp_replace(F.col("path"), scheme, "")
     rel = F.when(path.startswith(base), F.substring(path, F.lit(len(base) + 1), F.length(path))).otherwise(path)
     return raw.select(rel.alias("path"), T.decode_bytes("content").alias("text"), F.col("length").alias("n_bytes"), F.col("modificationTime").alias("modified"))
 

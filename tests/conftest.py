@@ -19,8 +19,6 @@ def spark():
 @pytest.fixture
 def one(spark):
     """Evaluate a column expression on one text."""
-    from pyspark.sql import functions as F
-
     def run(expr, text="", name="text"):
         return spark.createDataFrame([(text,)], f"{name} string").select(expr.alias("x")).first()["x"]
 

@@ -1,8 +1,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from notewarden.operators import clinical as K, extract as E, lines as L, nested as N
 from notewarden.operators.extract import FieldRule, KeywordRule
 
