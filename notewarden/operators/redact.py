@@ -113,24 +113,24 @@ class _Chain:
                 "__keys": F.when(some, F.concat(keys, counted)).otherwise(keys),
                 self.text: F.when(some, interleaved).otherwise(t),
             }
-        ).drop("__hits", "__marks")
+        )
         self.keyed = True
 
     def finish(self, counts: str) -> DataFrame:
-        merged = F.col(counts) if counts in self.df.columns else empty_counts()
-        drop = [n for _, n in self.counters]
+        columns = self.df.columns
+        merged = F.col(counts) if counts in columns else empty_counts()
+        drop = {n for _, n in self.counters} | {"__hits", "__marks", "__keys", counts}
         if self.counters:
             by_key: dict[str, Column] = {}
             for key, name in self.counters:
                 by_key[key] = by_key[key] + F.col(name) if key in by_key else F.col(name)
             pairs = [x for k, v in by_key.items() for x in (F.lit(k), v.cast("int"))]
             fixed = F.map_filter(F.create_map(*pairs), lambda _, v: v > 0)
-            total = reduce(lambda a, b: a + b, [F.col(n) for n in drop])
+            total = reduce(lambda a, b: a + b, [F.col(n) for _, n in self.counters])
             merged = F.when(total > 0, merge_counts(merged, fixed)).otherwise(merged)
         if self.keyed:
             merged = F.when(F.size("__keys") > 0, merge_counts(merged, histogram(F.col("__keys")))).otherwise(merged)
-            drop.append("__keys")
-        return self.df.withColumn(counts, merged).drop(*drop)
+        return self.df.select(*[c for c in columns if c not in drop], merged.alias(counts))
 
 
 def apply_rules(
