@@ -6,11 +6,12 @@ import os
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
-from ..session import ensure_checkpoint_dir
+from ..session import broadcast_if_small, ensure_checkpoint_dir
 
 #: Bytes of the mapped columns that a Python worker handles at a time.
 SLICE_BYTES = 8_000_000
@@ -49,17 +50,17 @@ def model_bytes(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about SLICE_BYTES; a longer row stands alone."""
+def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about `size` bytes; a longer row stands alone."""
     if not batch.num_rows:
         return
     per_row = max(1, batch.nbytes // batch.num_rows)
-    step = max(1, SLICE_BYTES // per_row)
+    step = max(1, size // per_row)
     for at in range(0, batch.num_rows, step):
         yield batch.slice(at, step)
 
 
-def with_arrow(df: DataFrame, inputs: list[str], outs: dict[str, str], make: Callable, drop: tuple[str, ...] = ()) -> DataFrame:
+def with_arrow(df: DataFrame, inputs: list[str], outs: dict[str, str], make: Callable, drop: tuple[str, ...] = (), slice_bytes: int = SLICE_BYTES) -> DataFrame:
     """`df` with columns computed in Arrow batches.
 
     `make()` runs once per task and returns a function from the input arrays to
@@ -76,7 +77,7 @@ def with_arrow(df: DataFrame, inputs: list[str], outs: dict[str, str], make: Cal
     def run(batches):
         fn = make()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, slice_bytes):
                 cols = part.columns
                 yield pa.RecordBatch.from_arrays([*cols[:n_keep], *fn(*cols[n_keep:])], names=names)
 
@@ -87,5 +88,33 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def empty_like(df: DataFrame) -> DataFrame:
-    return df.limit(0)
+def tally(df: DataFrame, inputs: list[str], size: int, make: Callable, slice_bytes: int = 2_000_000) -> np.ndarray:
+    """Two counts for each of `size` buckets over all rows: an array (2, size).
+
+    `make()` returns a function from the input arrays to an array (2, size) to be
+    added.  Tasks add up what they read, Spark adds the tasks' non-zero buckets,
+    and the driver gets `size` rows at most, whatever the input."""
+    importable(df.sparkSession)
+
+    def run(batches):
+        total, add = np.zeros((2, size), np.int64), make()
+        for batch in batches:
+            for part in slices(batch, slice_bytes):
+                total += add(*part.columns)
+        found = np.flatnonzero(total.any(axis=0))
+        for at in range(0, len(found), 1 << 16):
+            k = found[at : at + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[0, k]), pa.array(total[1, k])], names=["k", "a", "b"])
+
+    rows = df.select(*inputs).mapInArrow(run, "k long, a long, b long")
+    summed = rows.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
+    out = np.zeros((2, size), np.int64)
+    k = summed["k"].to_numpy()
+    out[0, k], out[1, k] = summed["a"].to_numpy(), summed["b"].to_numpy()
+    return out
+
+
+def with_labels(docs: DataFrame, labels: DataFrame, key: str, columns: list[str], max_rows: int = 500_000) -> DataFrame:
+    """`docs` with one label row per key (left join).  Up to `max_rows` labels are
+    broadcast; more are joined by a shuffle with the same result."""
+    return docs.join(broadcast_if_small(labels.select(key, *columns), max_rows), key, "left")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_blocks, token_counts, warc
+from . import bpe, chat, html_blocks, quality_rules, token_counts, warc, weak_quality
 from .common import scratch
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -25,6 +25,12 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "quality", "toxic")
+    judged = quality_rules.judge(docs, labels)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     vocabulary = public_tokenizers.path(WORD_VOCABULARY)
@@ -53,6 +59,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic")
+    return weak_quality.judge(docs, weak_quality.fit(docs, labels)).select("doc_id", "score", "kept")
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     text = "<|im_end|><|im_start|>assistant ok"
@@ -79,8 +90,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op3_warc": op3_warc,
+    "op4_weak_quality": op4_weak_quality,
     "op5_chat_format": op5_chat_format,
     "op7_main_text": op7_main_text,
+    "op8_quality_rules": op8_quality_rules,
     "op10_bpe_codec": op10_bpe_codec,
 }
 ORACLE_SQL: dict[str, str] = {
