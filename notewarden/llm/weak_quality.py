@@ -66,7 +66,7 @@ def votes(data: np.ndarray, edges: np.ndarray, flagged: np.ndarray) -> np.ndarra
     return np.stack(columns, axis=1)
 
 
-def flagged_buckets(docs: DataFrame, labels: DataFrame, least: int = 6, share: float = 0.8) -> np.ndarray:
+def flagged_buckets(docs: DataFrame, labels: DataFrame, least: int = 5, share: float = 0.8) -> np.ndarray:
     """Word buckets that stand in at least `least` documents labelled toxic, which
     are at least `share` of the labelled documents they stand in."""
     toxic = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg((F.max("toxic") == 1).alias("toxic_label"))
@@ -84,48 +84,58 @@ def flagged_buckets(docs: DataFrame, labels: DataFrame, least: int = 6, share: f
     return (bad >= least) & (bad >= share * (bad + fine))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of "good" for each vote pattern, and the table
-    [class, labeller, vote + 1] of vote probabilities.
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, false_alarms: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of "good" for each vote pattern, and the labellers' accuracies:
+    [0] how often each says "bad" of a bad document, [1] of a good one, among the
+    documents it votes on.  An abstention says nothing.
 
-    Starts from "bad if any labeller says so"; votes are independent given the class."""
-    good = np.where((patterns == BAD).any(axis=1), 0.05, 0.95)
-    onehot = np.stack([patterns == v for v in (BAD, ABSTAIN, GOOD)], axis=2).astype(float)
-    table = np.zeros((2, patterns.shape[1], 3))
+    Starts from "bad if any labeller says so"; votes are independent given the
+    class.  Accuracies are estimated under the constraint that a labeller calls at
+    most a share of `false_alarms` of the good documents bad: labellers look for
+    different faults, and one that finds its own must not be outvoted by those
+    that look for others."""
+    good = np.where((patterns == BAD).any(axis=1), 0.02, 0.98)
+    bad_vote, good_vote = (patterns == BAD).astype(float), (patterns == GOOD).astype(float)
     for _ in range(rounds):
         both = np.stack([1 - good, good]) * counts
-        prior = (both.sum(axis=1) + 1) / (both.sum() + 2)
-        table = np.einsum("cp,plv->clv", both, onehot) + 0.5
-        table /= table.sum(axis=2, keepdims=True)
-        log = np.log(prior)[:, None] + np.einsum("plv,clv->cp", onehot, np.log(table))
+        share = (both.sum(axis=1) + 1) / (both.sum() + 2)
+        says, denies = both @ bad_vote + 0.5, both @ good_vote + 0.5
+        accuracy = says / (says + denies)
+        accuracy[1] = np.minimum(accuracy[1], false_alarms)
+        log = np.log(share)[:, None] + np.log(accuracy) @ bad_vote.T + np.log(1 - accuracy) @ good_vote.T
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
-        if np.abs(new - good).max() < 1e-9:
+        done, good = np.abs(new - good).max() < 1e-9, new
+        if done:
             break
-        good = new
-    return good, table
+    return good, accuracy
 
 
-def hashed_features(data: np.ndarray, edges: np.ndarray, cast: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each feature: distinct words, and each labeller's vote."""
+def hashed_features(data: np.ndarray, edges: np.ndarray, cast: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, bucket and value of each feature: a text's distinct words, scaled to
+    unit length together, and each labeller's vote (always the last ones of a row)."""
     row, word = word_buckets(data, edges)
     n, m = cast.shape
     vote = mix((np.arange(m) * 3 + cast + 1).astype(np.int64).view(U64) + U64(1 << 40)) % U64(FEATURE_BUCKETS)
-    return np.concatenate([row, np.repeat(np.arange(n), m)]), np.concatenate([word % FEATURE_BUCKETS, vote.ravel().astype(np.int64)])
+    scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=n)))
+    return (
+        np.concatenate([row, np.repeat(np.arange(n), m)]),
+        np.concatenate([word % FEATURE_BUCKETS, vote.ravel().astype(np.int64)]),
+        np.concatenate([scale[row], np.ones(n * m)]),
+    )
 
 
-def train_linear(rows: list[np.ndarray], target: np.ndarray, epochs: int = 6, rate: float = 0.3) -> np.ndarray:
-    """Logistic regression over hashed features on soft labels, by AdaGrad over
-    batches in a fixed order; each row's features are scaled to unit length."""
+def train_linear(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = 10, rate: float = 0.3) -> np.ndarray:
+    """Logistic regression over hashed features (buckets and values of each row) on
+    soft labels, by AdaGrad over batches in a fixed order."""
     weights, squares = np.zeros(FEATURE_BUCKETS + 1), np.full(FEATURE_BUCKETS + 1, 1e-6)
     for _ in range(epochs):
         for at in range(0, len(rows), 64):
             part = rows[at : at + 64]
-            sizes = np.array([len(r) for r in part])
-            flat, owner = np.concatenate(part), np.repeat(np.arange(len(part)), sizes)
-            scale = 1 / np.sqrt(np.maximum(1, sizes))
-            z = np.bincount(owner, weights=weights[flat], minlength=len(part)) * scale + weights[-1]
+            flat, value = (np.concatenate(x) for x in zip(*part))
+            owner = np.repeat(np.arange(len(part)), [len(b) for b, _ in part])
+            z = np.bincount(owner, weights=weights[flat] * value, minlength=len(part)) + weights[-1]
             error = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - target[at : at + 64]
-            slope = np.bincount(flat, weights=(error * scale)[owner], minlength=len(weights)) / len(part)
+            slope = np.bincount(flat, weights=error[owner] * value, minlength=len(weights)) / len(part)
             slope[-1] = error.mean()
             slope += 1e-6 * weights
             squares += slope * slope
@@ -137,7 +147,7 @@ def train_linear(rows: list[np.ndarray], target: np.ndarray, epochs: int = 6, ra
 class QualityModel:
     flagged: np.ndarray
     posteriors: dict[bytes, float]
-    vote_table: np.ndarray
+    accuracies: np.ndarray
     weights: np.ndarray
 
 
@@ -166,10 +176,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> QualityMo
     voted = cast_votes(docs.select("doc_id", "text"), flagged)
     found = voted.groupBy("votes").count().collect()
     if not found:
-        return QualityModel(flagged, {}, np.zeros((2, len(LABELLERS), 3)), np.zeros(FEATURE_BUCKETS + 1))
+        return QualityModel(flagged, {}, np.zeros((2, len(LABELLERS))), np.zeros(FEATURE_BUCKETS + 1))
     patterns = np.array([np.frombuffer(bytes(r["votes"]), np.uint8) for r in found]).astype(int) - 1
     counts = np.array([r["count"] for r in found])
-    good, table = estimate(patterns, counts)
+    good, accuracies = estimate(patterns, counts)
     posteriors = {bytes(r["votes"]): float(g) for r, g in zip(found, good)}
     part = max(1, -(-int(counts.sum()) // train_rows))
     sample = voted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
@@ -177,17 +187,17 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> QualityMo
     def make():
         def fn(column, cast):
             votes_ = np.array([np.frombuffer(v, np.uint8) for v in cast.to_pylist()]).astype(int) - 1
-            row, bucket = hashed_features(*raw_bytes(column), votes_)
+            row, bucket, value = hashed_features(*raw_bytes(column), votes_)
             order = np.argsort(row, kind="stable")
-            ends = np.searchsorted(row[order], np.arange(len(column) + 1)).astype(np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket[order].astype(np.int32)))]
+            ends = pa.array(np.searchsorted(row[order], np.arange(len(column) + 1)).astype(np.int32))
+            return [pa.ListArray.from_arrays(ends, pa.array(bucket[order].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value[order].astype(np.float32)))]
 
         return fn
 
-    features = with_arrow(sample, ["text", "votes"], {"features": "array<int>"}, make, drop=("text",), slice_bytes=SLICE)
-    rows = sorted(features.select("doc_id", "votes", "features").toArrow().to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["features"]))
-    weights = train_linear([np.array(r["features"], np.int64) for r in rows], np.array([posteriors[r["votes"]] for r in rows])) if rows else np.zeros(FEATURE_BUCKETS + 1)
-    return QualityModel(flagged, posteriors, table, weights)
+    features = with_arrow(sample, ["text", "votes"], {"buckets": "array<int>", "weights": "array<float>"}, make, drop=("text",), slice_bytes=SLICE)
+    rows = sorted(features.select("doc_id", "votes", "buckets", "weights").toArrow().to_pylist(), key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["buckets"]))
+    weights = train_linear([(np.array(r["buckets"], np.int64), np.array(r["weights"])) for r in rows], np.array([posteriors[r["votes"]] for r in rows])) if rows else np.zeros(FEATURE_BUCKETS + 1)
+    return QualityModel(flagged, posteriors, accuracies, weights)
 
 
 def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -202,10 +212,8 @@ def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
 
         def fn(column):
             data, edges = raw_bytes(column)
-            row, bucket = hashed_features(data, edges, votes(data, edges, bits).astype(int))
-            n = len(edges) - 1
-            size = np.maximum(1, np.bincount(row, minlength=n))
-            z = np.bincount(row, weights=weights[bucket], minlength=n) / np.sqrt(size) + weights[-1]
+            row, bucket, value = hashed_features(data, edges, votes(data, edges, bits).astype(int))
+            z = np.bincount(row, weights=weights[bucket] * value, minlength=len(edges) - 1) + weights[-1]
             return [pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))]
 
         return fn
