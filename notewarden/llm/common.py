@@ -8,13 +8,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..session import broadcast_if_small, ensure_checkpoint_dir
 
 #: Bytes of the mapped columns that a Python worker handles at a time.
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 2_000_000
+#: Rows of an Arrow batch at most, so that batches of long texts stay small.
+BATCH_ROWS = 1000
 #: Largest model file that is broadcast to the executors.
 MAX_MODEL_BYTES = 64_000_000
 
@@ -28,6 +31,12 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder that spark.checkpoint.dir names."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -67,6 +76,7 @@ def with_arrow(df: DataFrame, inputs: list[str], outs: dict[str, str], make: Cal
     one array per entry of `outs` (name to DDL type).  Columns of the same name
     (in any case) are replaced, as withColumn does; `drop` are left out."""
     importable(df.sparkSession)
+    small_batches(df.sparkSession)
     gone = {x.lower() for x in (*outs, *drop)}
     keep = [f for f in df.schema.fields if f.name.lower() not in gone]
     schema = StructType([*(StructField(f.name, f.dataType, True) for f in keep), *(StructField(k, _parse_datatype_string(v), True) for k, v in outs.items())])
@@ -88,6 +98,21 @@ def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def packed(df: DataFrame, text: str) -> DataFrame:
+    """`df` with the column `text` as compressed bytes in `packed`, so that a join
+    on a key moves less."""
+
+    def make():
+        codec = zstandard.ZstdCompressor(level=3)
+        return lambda column: [pa.array([codec.compress(t.encode()) for t in texts_of(column)], pa.binary())]
+
+    return with_arrow(df, [text], {"packed": "binary"}, make, drop=(text,))
+
+
+def unpack(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def tally(df: DataFrame, inputs: list[str], size: int, make: Callable, slice_bytes: int = 2_000_000) -> np.ndarray:
     """Two counts for each of `size` buckets over all rows: an array (2, size).
 
@@ -95,6 +120,7 @@ def tally(df: DataFrame, inputs: list[str], size: int, make: Callable, slice_byt
     added.  Tasks add up what they read, Spark adds the tasks' non-zero buckets,
     and the driver gets `size` rows at most, whatever the input."""
     importable(df.sparkSession)
+    small_batches(df.sparkSession)
 
     def run(batches):
         total, add = np.zeros((2, size), np.int64), make()

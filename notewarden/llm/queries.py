@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_blocks, quality_rules, token_counts, warc, weak_quality
+from . import bpe, chat, html_blocks, ngram_join, quality_rules, suffix_dedup, token_counts, warc, weak_quality
 from .common import scratch
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -31,6 +31,11 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return suffix_dedup.remove_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     vocabulary = public_tokenizers.path(WORD_VOCABULARY)
@@ -82,6 +87,11 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = ngram_join.join(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return members.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     return html_blocks.extract_text(pages).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
@@ -92,8 +102,10 @@ QUERIES = {
     "op3_warc": op3_warc,
     "op4_weak_quality": op4_weak_quality,
     "op5_chat_format": op5_chat_format,
+    "op6_ngram_join": op6_ngram_join,
     "op7_main_text": op7_main_text,
     "op8_quality_rules": op8_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_bpe_codec": op10_bpe_codec,
 }
 ORACLE_SQL: dict[str, str] = {
