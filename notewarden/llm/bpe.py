@@ -60,7 +60,6 @@ class ForcedBoundaryBpe:
         split = spec["pre_tokenizer"]["pretokenizers"][0]
         self.words = regex.compile(split["pattern"]["Regex"])
         self.split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
-        self.names = {i: t for t, i in self.vocab.items()} | {i: s for s, i in self.special.items()}
         self.cache: dict[str, bytes] = {}
 
     def seen_pairs(self, byte_of: dict[str, int]) -> np.ndarray:
@@ -125,10 +124,22 @@ class ForcedBoundaryBpe:
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.encode_all([text])[0], np.int32).tolist()
 
-    def decode(self, ids) -> str:
-        """Token strings with a space between, as a vocabulary without a decoder
-        is decoded; ids outside the vocabulary are left out."""
-        return " ".join([self.names[i] for i in ids if i in self.names])
+
+def token_names(data: bytes) -> dict[int, str]:
+    """The string of each id; special tokens included."""
+    spec = json.loads(data)
+    return {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+
+
+def decode(names: dict[int, str], ids) -> str:
+    """Token strings with a space between, as a vocabulary without a decoder is
+    decoded; ids outside the vocabulary are left out."""
+    return " ".join([names[i] for i in ids if i in names])
+
+
+@lru_cache(maxsize=2)
+def _names(data: bytes) -> dict[int, str]:
+    return token_names(data)
 
 
 @lru_cache(maxsize=2)
@@ -161,13 +172,13 @@ def decode_ids(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str =
     data = model_bytes(df.sparkSession, vocabulary_path)
 
     def make():
-        codec = _codec(data.value)
+        names = _names(data.value)
 
-        def decode(column):
+        def fn(column):
             ends = np.concatenate([[0], np.cumsum(np.array(column.value_lengths().fill_null(0)))])
             flat = column.flatten().to_pylist()
-            return [pa.array([codec.decode(flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())]
+            return [pa.array([decode(names, flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())]
 
-        return decode
+        return fn
 
     return with_arrow(df, [ids], {out: "string"}, make)
