@@ -1,10 +1,70 @@
 """The corpus pipeline: quality, near copies, repeated passages, benchmark
-passages, tokens.  Each stage reads what its predecessor kept."""
+passages, tokens.  Each stage reads what its predecessor kept, and all but the last
+return the columns of documents."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from notewarden.llm import bpe, decontaminate, ngram_join, suffix_dedup, weak_quality
+from notewarden.llm.common import stored
+from notewarden.llm.queries import WORD_VOCABULARY
+
+
+def same_columns(result: DataFrame, docs: DataFrame) -> DataFrame:
+    return result.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps; it is fitted on `docs` themselves."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    judged = weak_quality.judge(docs, weak_quality.fit(docs, labels))
+    return same_columns(judged.filter("kept"), docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: the one with the least doc_id."""
+    return ngram_join.keep_one(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the byte strings of 200 and more that occur twice;
+    n_chars is the length of what is left."""
+    cut = suffix_dedup.decoded(suffix_dedup.remove_repeats(docs))
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return same_columns(cut, docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated by benchmark items."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return same_columns(decontaminate.mark(docs, items).filter(~F.col("contaminated")), docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and the digest of what they decode to."""
+    vocabulary = public_tokenizers.path(WORD_VOCABULARY)
+    named = docs.select("doc_id", "lang", "source", "text")
+    coded = bpe.decode_ids(bpe.encode_texts(named, vocabulary).drop("text"), vocabulary)
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("n-gram Jaccard join", near_copies),
+    ("suffix-array dedup", repeated_passages),
+    ("benchmark decontamination", benchmark_passages),
+    ("BPE encoding and decoding", tokens),
+]
+#: The classifier and the tokenizer have no SQL form; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order; the result of each is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -245,15 +245,16 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
 def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """Membership and links of near copies among `doc_id, text` rows.
 
-    The first result has one row per document: doc_id, n_shingles, set_id (equal
-    sets are one class; null for an empty set) and component_id, the least doc_id
-    that links reach.  The second has the verified links between classes (a, b)
-    that join the components.
+    The first result has one row per document: doc_id, uid (a hash of id and text),
+    n_shingles, set_id (equal sets are one class; null for an empty set), label
+    (the component as a class id) and component_id, the least doc_id that links
+    reach.  The second has the verified links between classes (a, b) that join
+    the components.
 
     Null and empty texts have an empty set and are their own component; rows that
     repeat, with or without the same id, are in one class; a null doc_id takes part
     and is never the least unless it stands alone; other columns are not read."""
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("uid", F.xxhash64("doc_id", "text"))
+    keyed = with_uid(docs).select("doc_id", "uid", F.coalesce("text", F.lit("")).alias("text"))
     joiner = Joiner(keyed, percent, width)
     members = stored(joiner.sets(keyed), "members")
     entries = joiner.shared_prefixes()
@@ -266,5 +267,28 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     labels = stored(components(links), "labels")
     labelled = members.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
-    placed = labelled.join(least, "label", "left").select("doc_id", "n_shingles", "set_id", F.coalesce("least", "doc_id").alias("component_id"))
-    return placed, links
+    placed = labelled.join(least, "label", "left")
+    return placed.select("doc_id", "uid", "n_shingles", "set_id", "label", F.coalesce("least", "doc_id").alias("component_id")), links
+
+
+def with_uid(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("uid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+
+
+def keep_one(docs: DataFrame, percent: int = 80, width: int = 5) -> DataFrame:
+    """`docs` with one row of each component: the one with the least doc_id (nulls
+    last; ties by hash of id and text; of equal rows one).  Documents without words
+    are linked with nothing and all stay.
+
+    Only ids of rows that go, or that occur twice, are joined to the texts."""
+    columns = docs.columns
+    members = stored(join(docs, percent, width)[0].select("doc_id", "uid", "label"), "members")
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "uid")
+    best = members.filter("label IS NOT NULL").groupBy("label").agg(F.min(rank).alias("best")).select("label", F.col("best.uid").alias("kept"))
+    beaten = members.join(best, "label").filter("uid <> kept").select("uid").distinct()
+    twice = members.filter("label IS NOT NULL").groupBy("uid").agg(F.count("*").alias("n")).filter("n > 1").select("uid").join(beaten, "uid", "left_anti")
+    twice = stored(twice, "twice")
+    keyed = with_uid(docs)
+    single = keyed.join(beaten.union(twice), "uid", "left_anti")
+    doubled = keyed.join(twice, "uid", "left_semi").dropDuplicates(["uid"])
+    return single.unionByName(doubled).select(*(F.col(f"`{c}`") for c in columns))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, chat, html_blocks, ngram_join, quality_rules, suffix_dedup, token_counts, warc, weak_quality
+from . import bpe, chat, decontaminate, html_blocks, ngram_join, quality_rules, suffix_dedup, token_counts, warc, weak_quality
 from .common import scratch
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -48,6 +48,13 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text")
+    return decontaminate.mark(docs, items).select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated"
+    )
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     path = scratch(spark, "warc")
@@ -99,6 +106,7 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_decontaminate": op2_decontaminate,
     "op3_warc": op3_warc,
     "op4_weak_quality": op4_weak_quality,
     "op5_chat_format": op5_chat_format,
@@ -109,6 +117,32 @@ QUERIES = {
     "op10_bpe_codec": op10_bpe_codec,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op2_decontaminate": r"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents
+        ), i AS (
+            SELECT item_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                   '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM benchmark
+        ), w AS (
+            SELECT item_id, least(len(words), 13) AS k, unnest(range(1, greatest(len(words) - 12, 1) + 1)) AS s, words FROM i WHERE len(words) > 0
+        ), windows AS (
+            SELECT DISTINCT item_id, k, array_to_string(words[s : s + k - 1], ' ') AS phrase FROM w
+        ), lengths AS (
+            SELECT DISTINCT k FROM windows
+        ), p AS (
+            SELECT doc_id, k, unnest(range(1, len(words) - k + 2)) AS s, words FROM d, lengths WHERE len(words) >= k
+        ), m AS (
+            SELECT doc_id, p.s, p.k, item_id FROM p JOIN windows ON windows.k = p.k AND phrase = array_to_string(words[p.s : p.s + p.k - 1], ' ')
+        ), hit AS (
+            SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS pos FROM m) GROUP BY 1
+        ), items AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM m) GROUP BY 1
+        )
+        SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(words) AS contaminated
+        FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+    """,
     "op3_warc": """
         WITH p AS (
             SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages

@@ -210,3 +210,13 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text") -> Da
     joined = packed(keyed.drop(text), "body").join(ranges, "uid", "left")
     outs = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long"}
     return with_arrow(joined, ["packed", "ranges"], outs, make, drop=("uid", "packed", "ranges"), slice_bytes=SLICE)
+
+
+def decoded(df: DataFrame, kept: str = "kept", out: str = "text") -> DataFrame:
+    """`df` with the kept bytes as text; what is left of a character that a cut went
+    through is dropped."""
+
+    def make():
+        return lambda column: [pa.array([(b or b"").decode("utf-8", "ignore") for b in column.to_pylist()], pa.string())]
+
+    return with_arrow(df, [kept], {out: "string"}, make, drop=(kept,))
