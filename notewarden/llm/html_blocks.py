@@ -71,6 +71,8 @@ LABELLED_BLOCKS = [
     (8, 0.0, 0, 1, 1.0, 2, 70, 0.0, 0, 1), (18, 0.0, 0, 0, 0.0, 0, 22, 0.0, 0, 1), (22, 0.0, 0, 18, 0.0, 0, 0, 0.0, 0, 1), (26, 0.3, 0, 33, 0.0, 0, 41, 0.0, 0, 1),
     (2, 1.0, 0, 1, 1.0, 0, 2, 1.0, 0, 0), (1, 1.0, 0, 0, 0.0, 0, 1, 1.0, 0, 0), (3, 0.9, 0, 40, 0.0, 0, 4, 1.0, 0, 0), (12, 0.9, 0, 4, 1.0, 0, 3, 1.0, 0, 0),
     (2, 0.0, 0, 1, 1.0, 0, 1, 1.0, 0, 0), (4, 0.0, 0, 2, 1.0, 0, 0, 0.0, 0, 0), (30, 0.85, 0, 3, 1.0, 0, 2, 1.0, 0, 0), (3, 0.0, 0, 1, 1.0, 2, 2, 1.0, 0, 0),
+    (1, 1.0, 0, 1, 1.0, 0, 30, 0.0, 0, 0), (2, 1.0, 0, 3, 1.0, 0, 70, 0.0, 0, 0), (4, 0.95, 0, 60, 0.0, 0, 45, 0.0, 0, 0), (1, 1.0, 0, 50, 0.0, 0, 25, 0.0, 0, 0),
+    (70, 0.0, 0, 2, 1.0, 0, 45, 0.05, 0, 1), (33, 0.0, 0, 1, 1.0, 0, 1, 1.0, 0, 1), (25, 0.0, 0, 3, 0.9, 0, 2, 1.0, 0, 1), (40, 0.1, 0, 1, 1.0, 0, 0, 0.0, 0, 1),
 ]
 
 
