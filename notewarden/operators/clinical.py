@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..rows import explode_structs
-from ..session import pin_if_configured
 from . import extract as E
 from .extract import ABSENT, PRESENT, candidate
 
@@ -280,7 +279,6 @@ def demographics(docs: DataFrame) -> DataFrame:
     hits = docs.select(PATIENT, FILE, _group(t, AGE).alias("age"), gender.alias("gender")).filter(
         F.col("age").isNotNull() | F.col("gender").isNotNull()
     )
-    hits = pin_if_configured(hits)
     complete = hits.groupBy(PATIENT).agg(
         F.min(F.when(F.col("age").isNotNull(), F.col(FILE))).alias("a"), F.min(F.when(F.col("gender").isNotNull(), F.col(FILE))).alias("g")
     ).select(PATIENT, F.when(F.col("a").isNotNull() & F.col("g").isNotNull(), F.greatest("a", "g")).alias("stop"))

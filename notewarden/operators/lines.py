@@ -111,7 +111,7 @@ def render_categories(df: DataFrame, keys: list[str], keywords, patterns=None, t
             "\n",
         ).alias("body")
     )
-    spine = df.select(*keys, F.explode(F.array(*[F.lit(c) for c in keywords])).alias("category"))
+    spine = df.select(*keys, F.explode(F.array(*[F.lit(c) for c in sorted({*keywords, *(patterns or {})})])).alias("category"))
     return spine.join(rendered, [*keys, "category"], "left").select(
         *keys, "category", F.coalesce("body", F.lit(NOT_DETECTED)).alias("body")
     )

@@ -139,13 +139,15 @@ def alternation(variants: list[str]) -> str:
 
 
 def role_rules(rows: list[tuple[str, str]]) -> list[Rule]:
-    """One alternation per role.  Needles are the shortest first words, so a
-    text without any of a role's first names skips its alternation."""
+    """One alternation per role, roles by their longest variant (ties: by name), so
+    that a name is not cut by a shorter one of another role.  Needles are the
+    shortest first words, so a text without any of a role's first names skips its
+    alternation."""
     by_role: dict[str, list[str]] = {}
     for variant, role in rows:
         by_role.setdefault(role, []).append(variant)
     out = []
-    for role in sorted(by_role):
+    for role in sorted(by_role, key=lambda r: (-max(map(len, by_role[r])), r)):
         firsts = sorted({v.split()[0].lower() for v in by_role[role]})
         needles = tuple(firsts) if len(firsts) <= 12 else ()
         out.append(Rule(f"staff_csv_{role}", alternation(by_role[role]), f"[{role}]", "i", needles))
@@ -153,8 +155,9 @@ def role_rules(rows: list[tuple[str, str]]) -> list[Rule]:
 
 
 def compile_staff(variants: DataFrame, max_rows: int = MAX_RULE_ROWS) -> list[Rule] | None:
-    """Rules of a dictionary of bounded size, or None: then use
-    :func:`redact_staff_join`."""
+    """Rules of a dictionary of bounded size, or None: then only
+    :func:`redact_staff_join` can hold it.  ``redact`` takes the variants
+    themselves and chooses; it does not take None."""
     rows = bounded_rows(variants.select("variant", "role"), max_rows)
     return None if rows is None else role_rules([(r["variant"], r["role"]) for r in rows])
 
@@ -192,13 +195,16 @@ def redact_staff_join(
     # pairs no name starts with (nearly all) leave before the shuffle
     known = keyed.select(F.xxhash64("pair").alias("__h")).distinct()
     pairs_of = pairs_of.withColumn("__h", F.xxhash64("pair")).join(broadcast_if_small(known, MAX_PAIR_HASHES), "__h", "left_semi").drop("__h")
+    longest = variants.groupBy("role").agg(F.max(F.length("variant")).alias("longest"))
     found = (
         pairs_of.join(keyed, "pair")
-        .groupBy(key, "role")
+        .join(broadcast_if_small(longest), "role")
+        .groupBy(key, "role", "longest")
         .agg(F.collect_set(F.struct(F.length("variant").alias("n"), "variant", "alt")).alias("alts"))
         .select(
             key,
             F.struct(
+                (-F.col("longest")).alias("rank"),
                 "role",
                 F.concat(
                     F.lit(r"(?id)(?<![A-Za-z])(?:"),

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import rules as R
 from ..functions import text as T
 from ..rules import Rule
+from ..session import MAX_RULE_ROWS
 from . import names
 
 COUNTS_TYPE = "map<string,int>"
@@ -311,8 +312,11 @@ def full_stages(staff_rules: list[Rule]) -> list[Stage]:
 
 
 def light_stages(exact_names: list[Rule]) -> list[Stage]:
-    """Shape for long texts: no multi-line patterns, clean-up on both sides."""
+    """Shape for long texts: every identity rule, dashed record numbers, then line
+    patterns in place of the name and header scans, with clean-up on both sides."""
     return [
+        rules_stage(R.IDENTITY_RULES),
+        rules_stage(R.DASHED_NUMBER_RULES),
         rules_stage(R.ADMIN_LINE_RULES),
         rules_stage(exact_names),
         rules_stage(R.LIGHT_STAFF_RULES),
@@ -322,13 +326,22 @@ def light_stages(exact_names: list[Rule]) -> list[Stage]:
 
 
 def redact(
-    df: DataFrame, staff_rules: list[Rule] | None = None, passes: int = 2, text: str = "text", counts: str = "counts"
+    df: DataFrame, staff: list[Rule] | DataFrame = (), passes: int = 2, text: str = "text", counts: str = "counts", key: str | None = None, max_rows: int = MAX_RULE_ROWS
 ) -> DataFrame:
     """Normalise, run the six stages ``passes`` times, scan for leftovers.
 
-    A later pass can only differ from the one before where that one changed the
-    text, so unchanged texts skip it."""
-    stages = full_stages(staff_rules or [])
+    ``staff`` is a table of name variants of any size (``variant, role``), or rules
+    compiled from one.  Up to ``max_rows`` variants are compiled; more are joined
+    on word pairs by the documents' ``key``, with the same result.  A later pass can
+    only differ from the one before where that one changed the text, so unchanged
+    texts skip it."""
+    if staff is None:
+        raise ValueError("staff is None: give the table of variants, so that a large dictionary is joined")
+    variants = staff if isinstance(staff, DataFrame) else None
+    rules = list(staff) if variants is None else names.compile_staff(variants, max_rows)
+    if rules is None and key is None:
+        raise ValueError("a dictionary of more than max_rows variants needs the documents' key")
+    stages = full_stages(rules or [])
     out = df.withColumn(text, T.normalize(text))
     for number in range(passes):
         before = f"__before{number}"
@@ -338,7 +351,12 @@ def redact(
             out = out.withColumn(active, F.col(text) != F.col(previous)).drop(previous)
         if number + 1 < passes:
             out = out.withColumn(before, F.col(text))
-        out = run_stages(out, stages, text, counts, active)
+        if rules is None:
+            out = run_stages(out, stages[:1], text, counts, active)
+            out = names.redact_staff_join(out, variants, key, text, counts)
+            out = run_stages(out, stages[2:], text, counts, active)
+        else:
+            out = run_stages(out, stages, text, counts, active)
         if active:
             out = out.drop(active)
     return scan_leftovers(out, text=text)

@@ -273,7 +273,7 @@ def category_log(t: Tables):
 
 
 @query("S-26", f"""WITH {LINES_SQL}, b AS (SELECT doc_id, category, string_agg('[L' || line_no || '] ' || line, chr(10) ORDER BY line_no) AS body FROM p GROUP BY 1, 2),
-sp AS (SELECT doc_id, unnest(['01_INGGRIS','02_JERMAN','03_PRANCIS']) AS category FROM documents)
+sp AS (SELECT doc_id, unnest(['01_INGGRIS','02_JERMAN','03_PRANCIS','04_SUREL']) AS category FROM documents)
 SELECT sp.doc_id, sp.category, coalesce(body, '[tidak terdeteksi]') AS body FROM sp LEFT JOIN b ON b.doc_id = sp.doc_id AND b.category = sp.category""")
 def category_texts(t: Tables):
     return L.render_categories(t.spread("documents").select("doc_id", "text"), ["doc_id"], LINE_KEYWORDS, LINE_PATTERNS)

@@ -225,14 +225,32 @@ def capital_names(t: Tables):
 
 
 @query("X-25", f"""
-SELECT doc_id, CASE WHEN length(text) > 2000 THEN {_replace_chain('text', R.GENERAL_RULES[:1])} ELSE {_replace_chain('text', R.GENERAL_RULES)} END AS text,
- CASE WHEN length(text) > 2000 THEN 'long' ELSE 'short' END AS route FROM documents""")
+SELECT doc_id, {_replace_chain('text', R.GENERAL_RULES)} AS text, CASE WHEN length(text) > 2000 THEN 'long' ELSE 'short' END AS route FROM documents""")
 def length_router(t: Tables):
+    """Both routes mask every general identity."""
     d = t.spread("documents").select("doc_id", "text")
-    out = X.route_by_length(d, [X.rules_stage(R.GENERAL_RULES)], [X.rules_stage(R.GENERAL_RULES[:1])], limit=2000)
+    out = X.route_by_length(d, [X.rules_stage(R.GENERAL_RULES)], [X.rules_stage(R.GENERAL_RULES), X.rules_stage([])], limit=2000)
     return out.select("doc_id", "text", "route")
 
 
+@query("X-25 X-37", """
+SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN 'long' ELSE 'short' END AS route,
+ '[NIK] [EMAIL] [NO_HP]' AS masked, false AS leaks FROM customer""")
+def long_text_identity(t: Tables):
+    """The real chains on both sides of the length limit: identities planted at the
+    end of short texts and of texts above the limit are masked alike."""
+    k = F.col("c_custkey")
+    digits = F.lpad(k.cast("string"), 9, "0")
+    nik, phone, mail, dashed = F.concat(F.lit("3273012"), digits), F.concat(F.lit("0812"), F.substring(digits, 2, 8)), F.concat(F.lit("a"), k.cast("string"), F.lit("@rs.example.id")), F.lit("12-34-56-78")
+    padding = F.repeat(F.lit("keluhan pusing berkurang, makan baik.\n"), F.when(k % 2 == 1, 700).otherwise(3).cast("int"))
+    planted = F.concat(padding, F.lit("catatan "), nik, F.lit(" "), mail, F.lit(" "), phone, F.lit("\nkode "), F.when(k % 2 == 1, dashed).otherwise("-"))
+    d = t.spread("customer").select("c_custkey", T.normalize(planted).alias("text"))
+    out = X.route_by_length(d, X.full_stages([]), X.light_stages([]))
+    found = F.regexp_extract("text", r"catatan (.*)", 1)
+    leaks = F.col("text").rlike(r"\d{8,}|@|\d{2}-\d{2}-\d{2}-\d{2}")
+    return out.select("c_custkey", "route", found.alias("masked"), leaks.alias("leaks"))
+
+
 @query("X-07", """
 SELECT doc_id, regexp_replace(regexp_replace(text, 'than the', '[NAMA_RS]', 'gi'), 'nicht', '[NAMA_RS]', 'gi') AS text,
  CAST(len(regexp_extract_all(text, '(?i)than the')) + len(regexp_extract_all(regexp_replace(text, 'than the', '[NAMA_RS]', 'gi'), '(?i)nicht')) AS BIGINT) AS n FROM documents""")
@@ -559,8 +577,5 @@ def full_redaction(t: Tables):
 def full_redaction_documents(t: Tables):
     """The whole pipeline over the given documents (look-behind and back-references
     have no SQL form; the stages are checked one by one)."""
-    staff = N.compile_staff(N.staff_variants(staff_table(t)))
-    if staff is None:
-        staff = []
-    d = X.redact(t.spread("documents").select("doc_id", "text"), staff)
+    d = X.redact(t.spread("documents").select("doc_id", "text"), N.staff_variants(staff_table(t)), key="doc_id")
     return d.select("doc_id", F.length("text").alias("chars_out"), F.map_entries("counts").alias("counts"), F.map_entries("leftovers").alias("leftovers"))

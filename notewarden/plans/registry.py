@@ -44,9 +44,9 @@ class Tables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
     def spread(self, name: str) -> DataFrame:
-        """A table for text-heavy work.  A table of fewer input splits than cores
-        (one small file) is spread over them; a table of many files is left as
-        it is, so nothing is shuffled at scale."""
+        """A table for text-heavy work.  A local master reads a small table as one
+        split, so there its rows are spread over the cores; a cluster reads the
+        splits as they are and nothing is shuffled."""
         df = getattr(self, name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df if df.rdd.getNumPartitions() >= 4 * cores else df.repartition(4 * cores)
+        context = self.spark.sparkContext
+        return df.repartition(4 * context.defaultParallelism) if context.master.startswith("local[") else df

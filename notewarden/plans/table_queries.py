@@ -132,13 +132,13 @@ def running_chars(t: Tables):
 
 
 @query("S-14", """
-SELECT source, lang, doc_id // 256 AS part, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text, count(*) AS n_items FROM documents GROUP BY 1, 2, 3""")
+SELECT source, lang, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS n_parts, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text, count(*) AS n_items FROM documents GROUP BY 1, 2""")
 def concat_by_type(t: Tables):
     return concat_parts(t.documents, ["source", "lang"], "doc_id", F.col("text"), "\n\n")
 
 
 @query("S-20", """
-SELECT conv_id, CAST(0 AS BIGINT) AS part, string_agg(chr(10) || '--- HALAMAN ' || (turn + 1) || ': ' || conv_id || ' ---' || chr(10) || text, chr(10) ORDER BY turn) AS text, count(*) AS n_items
+SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS n_parts, string_agg(chr(10) || '--- HALAMAN ' || (turn + 1) || ': ' || conv_id || ' ---' || chr(10) || text, chr(10) ORDER BY turn) AS text, count(*) AS n_items
 FROM conversations GROUP BY 1""")
 def page_assembly(t: Tables):
     page = F.concat(F.lit("\n--- HALAMAN "), (F.col("turn") + 1).cast("string"), F.lit(": "), F.col("conv_id").cast("string"), F.lit(" ---\n"), F.col("text"))
@@ -146,8 +146,8 @@ def page_assembly(t: Tables):
 
 
 @query("S-24", """
-SELECT source, doc_id // 256 AS part, string_agg(chr(10) || chr(10) || '===== SUMBER FILE: ' || doc_id || '.txt =====' || chr(10) || trim(text), chr(10) ORDER BY doc_id) AS text, count(*) AS n_items
-FROM documents WHERE trim(text) <> '' GROUP BY 1, 2""")
+SELECT source, CAST(0 AS BIGINT) AS part, CAST(1 AS BIGINT) AS n_parts, string_agg(chr(10) || chr(10) || '===== SUMBER FILE: ' || doc_id || '.txt =====' || chr(10) || trim(text), chr(10) ORDER BY doc_id) AS text, count(*) AS n_items
+FROM documents WHERE trim(text) <> '' GROUP BY 1""")
 def source_tagged_text(t: Tables):
     d = t.documents.withColumn("text", F.trim("text")).filter(F.col("text") != "")
     tagged = F.concat(F.lit("\n\n===== SUMBER FILE: "), F.col("doc_id").cast("string"), F.lit(".txt =====\n"), F.col("text"))

@@ -51,15 +51,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pin_if_configured(df: DataFrame) -> DataFrame:
-    """Store small intermediate rows that two branches of a plan read, so that
-    the documents behind them are read once.  Only where the cluster names a
-    shared checkpoint folder; elsewhere the plan stays lazy."""
-    spark = df.sparkSession
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    return materialise(df) if named else df
-
-
 def broadcast_if_small(df: DataFrame, max_rows: int = MAX_RULE_ROWS) -> DataFrame:
     """Broadcast hint behind a bounded row count; a larger side is returned
     unhinted so that Spark shuffles it (AQE splits skewed partitions)."""

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .session import materialise
 
 SPAN = 4096
-CONCAT_SPAN = 256
+#: Bytes of one row of a concatenation; only a larger group has several rows.
+PART_BYTES = 64_000_000
 
 
 def assign_sequence(df: DataFrame, keys: list[str], order: list[str], name: str = "doc_seq", partitions: int | None = None) -> DataFrame:
@@ -29,7 +30,7 @@ def assign_sequence(df: DataFrame, keys: list[str], order: list[str], name: str
     local = Window.partitionBy(*keys, "__pid").orderBy(*order)
     return (
         ranged.withColumn("__rn", F.row_number().over(local) - 1)
-        .join(offsets, [*keys, "__pid"])
+        .transform(lambda d: _same(d, offsets, [*keys, "__pid"]))
         .withColumn(name, (F.col("__off") + F.col("__rn")).cast("long"))
         .drop("__pid", "__rn", "__off")
     )
@@ -54,7 +55,7 @@ def running_total(
     )
     return (
         staged.withColumn("__i", F.sum("__v").over(inner))
-        .join(carried, [*keys, "__b"])
+        .transform(lambda d: _same(d, carried, [*keys, "__b"]))
         .withColumn(name, F.col("__i") + F.col("__c"))
         .drop("__b", "__v", "__i", "__c")
     )
@@ -107,19 +108,38 @@ def neighbour_items(
 
 
 def concat_parts(
-    df: DataFrame, keys: list[str], order: str, text: Column, separator: str, span: int = CONCAT_SPAN, name: str = "text"
+    df: DataFrame, keys: list[str], order: str, text: Column, separator: str, part_bytes: int = PART_BYTES, name: str = "text"
 ) -> DataFrame:
-    """Ordered concatenation in parts: part ``p`` of a key joins the rows whose
-    integer order lies in ``[p*span, (p+1)*span)``.  A usual group is one part; a
-    hot group becomes many rows whose texts, read in part order, are the whole."""
-    return (
-        df.withColumn("part", bucket_of(order, span))
-        .groupBy(*keys, "part")
-        .agg(
-            F.array_join(
-                F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda x: x["t"]),
-                separator,
-            ).alias(name),
-            F.count(F.lit(1)).alias("n_items"),
-        )
+    """Ordered concatenation of a key's texts: ``part`` (from 0), the text,
+    ``n_items`` and ``n_parts``.
+
+    A group that fits in ``part_bytes`` is one row.  A larger one is cut between
+    items; its texts, read in part order and joined by the separator, are the
+    whole.  Rows are numbered densely per key on narrow rows, so the parts do not
+    depend on the values of ``order``, and no task holds more than a part."""
+    staged = df.withColumn("__t", text)
+    sizes = staged.groupBy(*keys, order).agg(F.sum(F.coalesce(F.octet_length("__t"), F.lit(0)).cast("long")).alias("__size"))
+    ranked = running_total(assign_sequence(sizes, keys, [order], "__seq"), keys, "__seq", F.col("__size"), "__end")
+    cut = ranked.select(*keys, order, F.floor((F.col("__end") - F.col("__size")) / part_bytes).alias("__raw"))
+    pieces = cut.select(*keys, "__raw").distinct()
+    numbered = pieces.select(
+        *keys,
+        "__raw",
+        (F.row_number().over(Window.partitionBy(*keys).orderBy("__raw")) - 1).cast("long").alias("part"),
+        F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n_parts"),
     )
+    placed = _same(_same(staged, cut, [*keys, order]), numbered, [*keys, "__raw"])
+    return placed.groupBy(*keys, "part", "n_parts").agg(
+        F.array_join(
+            F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__t").alias("t")))), lambda x: x["t"]),
+            separator,
+        ).alias(name),
+        F.count(F.lit(1)).alias("n_items"),
+    )
+
+
+def _same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null keys are equal."""
+    renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(renamed, on).drop(*(f"__r_{k}" for k in keys))

@@ -60,12 +60,15 @@ def parse_answer(text: Column | str, schema: str) -> Column:
 # ---------------------------------------------------------------------------
 # Sinks
 # ---------------------------------------------------------------------------
-def write_redacted(df: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    """Redacted texts as parquet, one folder per patient, path mirrored in
-    ``output_file``.  Rows are spread by patient and a hash of the file, so that
-    a large patient is written by many tasks."""
+def write_redacted(df: DataFrame, folder: str, mode: str = "overwrite", by_patient: bool = False) -> None:
+    """Redacted texts as parquet, path mirrored in ``output_file``.
+
+    Tasks write the rows they hold: no shuffle, and no task grows with a patient.
+    ``by_patient`` makes a folder per patient (for few patients); there too a
+    large patient is written by all tasks that hold its rows."""
     out = df.withColumn("output_file", F.concat(F.regexp_replace("source_file", r"\.[^./]+$", ""), F.lit(".anon.txt")))
-    out.repartition(F.col("patient_id"), F.pmod(F.xxhash64("source_file"), F.lit(64))).write.mode(mode).partitionBy("patient_id").parquet(folder)
+    writer = out.write.mode(mode)
+    (writer.partitionBy("patient_id") if by_patient else writer).parquet(folder)
 
 
 def write_csv(df: DataFrame, folder: str, columns: list[str] | None = None, mode: str = "overwrite") -> None:

@@ -142,3 +142,33 @@ def test_router_keeps_every_row(spark):
     assert sorted((r["id"], r["route"], (r["text"] or "")[:1], sum(r["counts"].values())) for r in out.collect()) == [
         (0, "short", "s", 10), (1, "long", "l", 100), (2, "short", "", 0)
     ]
+
+
+OVERLAPS = [("Budi Santoso", "APOTEKER"), ("Budi Santoso Wijaya", "PERAWAT"), ("Citra Dewi", "PERAWAT")]
+OVERLAP_TEXT = "visite oleh Budi Santoso Wijaya lalu Citra Dewi, obat dari Budi Santoso."
+
+
+@pytest.mark.parametrize("max_rows", [1, 10_000])
+def test_staff_dictionary_of_any_size(spark, max_rows):
+    variants = spark.createDataFrame(OVERLAPS, "variant string, role string")
+    docs = spark.createDataFrame([(1, OVERLAP_TEXT), (2, None), (3, "tanpa nama")], "id int, text string")
+    got = {r["id"]: r["text"] for r in X.redact(docs, variants, key="id", max_rows=max_rows).collect()}
+    assert got[1] == "visite oleh [PERAWAT] lalu [PERAWAT], obat dari [APOTEKER]." and got[3] == "tanpa nama"
+
+
+def test_staff_dictionary_is_never_lost(spark):
+    docs = spark.createDataFrame([(1, OVERLAP_TEXT)], "id int, text string")
+    variants = spark.createDataFrame(OVERLAPS, "variant string, role string")
+    with pytest.raises(ValueError):
+        X.redact(docs, N.compile_staff(variants, 1))
+    with pytest.raises(ValueError):
+        X.redact(docs, variants, max_rows=1)
+
+
+@pytest.mark.parametrize("repeat", [1, 900])
+def test_identities_go_at_every_length(spark, repeat):
+    text = "keluhan pusing berkurang, makan baik.\n" * repeat + "No. RM: 00123 NIK 3273012345678901 hp 081234567890 a@b.cd\n"
+    docs = spark.createDataFrame([(1, text)], "id int, text string")
+    out = X.route_by_length(docs, X.full_stages([]), X.light_stages([])).first()
+    assert out["route"] == ("long" if repeat > 1 else "short")
+    assert not any(x in out["text"] for x in ("00123", "3273012345678901", "081234567890", "a@b.cd"))

@@ -127,8 +127,16 @@ def test_sequence_and_totals_with_a_hot_key(spark):
 
 def test_concat_parts_rebuild_the_whole(spark):
     d = spark.createDataFrame([("k", i, str(i)) for i in range(25)], "k string, o long, t string")
-    parts = concat_parts(d, ["k"], "o", F.col("t"), ",", span=10).orderBy("part").collect()
-    assert len(parts) == 3 and ",".join(p["text"] for p in parts) == ",".join(str(i) for i in range(25))
+    parts = concat_parts(d, ["k"], "o", F.col("t"), ",", part_bytes=15).orderBy("part").collect()
+    assert len(parts) == 3 == parts[0]["n_parts"] and [p["part"] for p in parts] == [0, 1, 2] and ",".join(p["text"] for p in parts) == ",".join(str(i) for i in range(25))
+
+
+def test_concat_is_one_row_when_it_fits(spark):
+    rows = [(k, i * 10**9, f"{k}{i}") for k in ("a", None) for i in range(300)]
+    d = spark.createDataFrame(rows, "k string, o long, t string")
+    got = {r["k"]: r for r in concat_parts(d, ["k"], "o", F.col("t"), ",").collect()}
+    assert got["a"]["text"] == ",".join(f"a{i}" for i in range(300)) and got["a"]["n_parts"] == 1
+    assert got[None]["text"] == ",".join(f"None{i}" for i in range(300)) and len(got) == 2
 
 
 def test_merge_rejects_batches_without_key(spark):
