@@ -235,7 +235,7 @@ def length_router(t: Tables):
 
 @query("X-25 X-37", """
 SELECT c_custkey, CASE WHEN c_custkey % 2 = 1 THEN 'long' ELSE 'short' END AS route,
- '[NIK],[EMAIL],[NO_HP]' AS masked, false AS leaks FROM customer""")
+ CASE WHEN c_custkey % 2 = 1 THEN '[NIK],[EMAIL],[NO_HP],[NO_RM]' ELSE '[NIK],[EMAIL],[NO_HP]' END AS masked, false AS leaks FROM customer""")
 def long_text_identity(t: Tables):
     """The real chains on both sides of the length limit: identities planted at the
     end of short texts and of texts above the limit are masked alike."""
@@ -246,7 +246,7 @@ def long_text_identity(t: Tables):
     planted = F.concat(padding, F.lit("catatan "), nik, F.lit(" "), mail, F.lit(" "), phone, F.lit("\nkode "), F.when(k % 2 == 1, dashed).otherwise("-"))
     d = t.spread("customer").select("c_custkey", T.normalize(planted).alias("text"))
     out = X.route_by_length(d, X.full_stages([]), X.light_stages([]))
-    found = F.array_join(F.regexp_extract_all(F.regexp_extract("text", r"catatan (.*)", 1), F.lit(r"\[[A-Z_]+\]"), F.lit(0)), ",")
+    found = F.array_join(F.regexp_extract_all("text", F.lit(r"\[[A-Z_]+\]"), F.lit(0)), ",")
     leaks = F.col("text").rlike(r"\d{8,}|@|\d{2}-\d{2}-\d{2}-\d{2}")
     return out.select("c_custkey", "route", found.alias("masked"), leaks.alias("leaks"))
 
