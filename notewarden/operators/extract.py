@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..rows import explode_rows, explode_structs
+from ..session import MAX_RULE_ROWS
 from ..skew import neighbour_items
 
 # Fixed values of the negation test and the drug windows.
@@ -365,9 +366,11 @@ def medications(
     """Per patient and drug class: flag, first ten terms in dictionary order,
     doses and durations near each term's first mention.
 
-    The dictionary (bounded, see ``session.MAX_RULE_ROWS``) is compiled in; a
-    document emits only the terms it holds."""
+    The dictionary is compiled into the plan, so it is bounded: more than
+    ``session.MAX_RULE_ROWS`` terms raise.  A document emits only the terms it holds."""
     chosen = {k: v for k, v in drugs.items() if k.startswith("med_") and (selected is None or k in selected)}
+    if sum(map(len, chosen.values())) > MAX_RULE_ROWS:
+        raise ValueError(f"more than {MAX_RULE_ROWS} drug terms cannot be compiled")
     if not chosen:
         return docs.sparkSession.createDataFrame([], f"{patient} string, drug_key string, value string, detail string, dose string, duration string")
     low = F.col("__low")

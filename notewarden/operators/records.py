@@ -113,8 +113,9 @@ def select_rules(rules: list, fields: list[str] | None):
 
 
 def to_wide(record: DataFrame, patient: str, fields: list[str], value: str = "value", field: str = "field") -> DataFrame:
-    """Pivot with an explicit field list: the schema never depends on the data."""
-    return record.groupBy(patient).pivot(field, fields).agg(F.first(value, ignorenulls=True))
+    """Pivot with an explicit field list: the schema never depends on the data.
+    Of several values of one field the greatest stands, in every run."""
+    return record.groupBy(patient).pivot(field, fields).agg(F.max(value))
 
 
 def to_long(wide: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
