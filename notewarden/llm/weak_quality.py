@@ -34,12 +34,12 @@ def word_buckets(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.nd
     """Row and bucket of each distinct word (letters and digits, lower case) of each row."""
     lower = LOWER[data]
     words = Words.of(lower, edges, PUNCTUATION)
-    joint = np.unique(np.stack([words.row.astype(np.int64), (words.hashes() % U64(WORD_BUCKETS)).astype(np.int64)]), axis=1) if len(words.start) else np.zeros((2, 0), np.int64)
-    return joint[0], joint[1]
+    joint = np.unique(words.row.astype(np.int64) * WORD_BUCKETS + (words.hashes() % U64(WORD_BUCKETS)).astype(np.int64))
+    return joint // WORD_BUCKETS, joint % WORD_BUCKETS
 
 
-def votes(data: np.ndarray, edges: np.ndarray, flagged: np.ndarray) -> np.ndarray:
-    """One column per labeller, one row per text."""
+def votes(data: np.ndarray, edges: np.ndarray, flagged: np.ndarray, distinct_words: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """One column per labeller, one row per text; `distinct_words` as word_buckets gives them."""
     prefix = rolling(data)
     words = Words.of(data, edges)
     n_words, word_chars, n_symbols, _, n_repeat = base_counts(data, edges, words, prefix)
@@ -49,7 +49,7 @@ def votes(data: np.ndarray, edges: np.ndarray, flagged: np.ndarray) -> np.ndarra
     last = data[words.end - 1] if len(words.end) else np.zeros(0, np.uint8)
     shout = per_row((last == 0x21) & (words.end - words.start > 1) & (data[words.end - 2] == 0x21) if len(last) else last, words.first)
     bars = per_row((last == 0x7C) & (words.end - words.start == 1), words.first)
-    row, bucket = word_buckets(data, edges)
+    row, bucket = distinct_words or word_buckets(data, edges)
     distinct = np.bincount(row, minlength=len(edges) - 1)
     hits = np.bincount(row[flagged[bucket]], minlength=len(edges) - 1)
     some = n_words >= 5
@@ -84,7 +84,7 @@ def flagged_buckets(docs: DataFrame, labels: DataFrame, least: int = 5, share: f
     return (bad >= least) & (bad >= share * (bad + fine))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, false_alarms: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, false_alarms: float = 0.002, missed: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of "good" for each vote pattern, and the labellers' accuracies:
     [0] how often each says "bad" of a bad document, [1] of a good one, among the
     documents it votes on.  An abstention says nothing.
@@ -93,7 +93,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, false_
     class.  Accuracies are estimated under the constraint that a labeller calls at
     most a share of `false_alarms` of the good documents bad: labellers look for
     different faults, and one that finds its own must not be outvoted by those
-    that look for others."""
+    that look for others.  And a share of `missed` of the bad documents that any
+    labeller votes on is called bad by none: a class whose members no labeller
+    would speak against is no class of bad documents."""
     good = np.where((patterns == BAD).any(axis=1), 0.02, 0.98)
     bad_vote, good_vote = (patterns == BAD).astype(float), (patterns == GOOD).astype(float)
     for _ in range(rounds):
@@ -103,6 +105,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, false_
         accuracy = says / (says + denies)
         accuracy[1] = np.minimum(accuracy[1], false_alarms)
         log = np.log(share)[:, None] + np.log(accuracy) @ bad_vote.T + np.log(1 - accuracy) @ good_vote.T
+        unseen = np.log(1 - accuracy[0]) @ (bad_vote + good_vote).T  # log of the chance that no vote is bad
+        if_called = np.log(1 - missed) - np.log(-np.expm1(np.minimum(unseen, -1e-12)))
+        log[0] += np.where(bad_vote.any(axis=1), if_called, np.where(good_vote.any(axis=1), np.log(missed) - unseen, 0))
         new = 1 / (1 + np.exp(np.clip(log[0] - log[1], -700, 700)))
         done, good = np.abs(new - good).max() < 1e-9, new
         if done:
@@ -110,10 +115,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, false_
     return good, accuracy
 
 
-def hashed_features(data: np.ndarray, edges: np.ndarray, cast: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def hashed_features(distinct_words: tuple[np.ndarray, np.ndarray], cast: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row, bucket and value of each feature: a text's distinct words, scaled to
     unit length together, and each labeller's vote (always the last ones of a row)."""
-    row, word = word_buckets(data, edges)
+    row, word = distinct_words
     n, m = cast.shape
     vote = mix((np.arange(m) * 3 + cast + 1).astype(np.int64).view(U64) + U64(1 << 40)) % U64(FEATURE_BUCKETS)
     scale = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=n)))
@@ -182,12 +187,12 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = 6000) -> QualityMo
     good, accuracies = estimate(patterns, counts)
     posteriors = {bytes(r["votes"]): float(g) for r, g in zip(found, good)}
     part = max(1, -(-int(counts.sum()) // train_rows))
-    sample = voted.filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
+    sample = cast_votes(docs.select("doc_id", "text").filter(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0), flagged)
 
     def make():
         def fn(column, cast):
             votes_ = np.array([np.frombuffer(v, np.uint8) for v in cast.to_pylist()]).astype(int) - 1
-            row, bucket, value = hashed_features(*raw_bytes(column), votes_)
+            row, bucket, value = hashed_features(word_buckets(*raw_bytes(column)), votes_)
             order = np.argsort(row, kind="stable")
             ends = pa.array(np.searchsorted(row[order], np.arange(len(column) + 1)).astype(np.int32))
             return [pa.ListArray.from_arrays(ends, pa.array(bucket[order].astype(np.int32))), pa.ListArray.from_arrays(ends, pa.array(value[order].astype(np.float32)))]
@@ -212,7 +217,8 @@ def judge(docs: DataFrame, model: QualityModel) -> DataFrame:
 
         def fn(column):
             data, edges = raw_bytes(column)
-            row, bucket, value = hashed_features(data, edges, votes(data, edges, bits).astype(int))
+            words = word_buckets(data, edges)
+            row, bucket, value = hashed_features(words, votes(data, edges, bits, words).astype(int))
             z = np.bincount(row, weights=weights[bucket] * value, minlength=len(edges) - 1) + weights[-1]
             return [pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))]
 
