@@ -157,14 +157,16 @@ def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
     """`uid, lo, hi`: byte ranges of `uid, text` rows that are covered by strings of
     `length` bytes that start at least twice in all rows; ranges may overlap.
 
-    Hot keys: keys and contexts are counted with partial counts on the map side,
-    and joined back in plain joins that Spark splits when skewed."""
+    Hot keys: keys and contexts are counted with partial counts on the map side.
+    The counts are stored before they are joined back, so that both sides of a join
+    are plain inputs of it and Spark splits a hot key among tasks."""
     found = anchor_rows(docs, length)
     doubled = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    doubled = stored(doubled, "doubled")
     again = stored(found.join(doubled, "key"), "anchors")
     classes = again.groupBy("key", "context").agg(F.count("*").alias("copies"), F.min_by(F.struct("uid", "first", "last"), "uid").alias("at"))
     classes = stored(classes, "contexts")
-    mixed = classes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    mixed = stored(classes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "mixed")
     wanted = classes.join(mixed, "key").select("key", "context", "copies", "at.*")
     sorted_ = shard_ranges(cut_contexts(wanted, docs, length), length)
     whole = classes.join(mixed, "key", "left_anti").filter("copies > 1").select("key", "context", F.lit(0).alias("lo"), (F.col("at.last") - F.col("at.first") + 1).alias("hi"))
