@@ -9,8 +9,9 @@ by a suffix filter and then verified once on their whole sets.
 
 Large groups of near copies do not make all their pairs: in a first round a set is
 only paired with the smallest set of its prefix key and size band, and what is
-linked then is known to be one component.  The second round takes all pairs that
-share a prefix key and are not in one component yet, so no link is lost."""
+linked then is known to be one component.  The second round takes the pairs that are
+not in one component yet and may still be linked (see `open_pairs`), so no link is
+lost."""
 
 from __future__ import annotations
 
@@ -145,25 +146,39 @@ class Joiner:
         room = before + F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (room >= needed)
 
-    def hub_pairs(self, entries: DataFrame) -> DataFrame:
-        """Each set with the smallest set of its key in its size band and in the
-        band below: similar sets lie in one band or in neighbouring ones."""
+    def hub_rows(self, entries: DataFrame) -> DataFrame:
+        """`key, band, set_id, n, pos, hub, near`: each entry with the smallest set of
+        its key in its size band and in the band below; similar sets lie in one
+        band or in neighbouring ones.  `near`: the two may be similar."""
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.percent))).cast("int")
         banded = entries.withColumn("band", band)
         hubs = banded.groupBy("key", "band").agg(F.min(F.struct("n", "set_id", "pos")).alias("hub")).select("key", "band", "hub.*")
+        hubs = stored(hubs, "hubs")
         sides = banded.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-        pairs = sides.alias("a").join(hubs.alias("b"), ["key", "band"]).filter(F.col("a.set_id") != F.col("b.set_id")).filter(self.may_link("a", "b"))
-        return pairs.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")).distinct()
-
-    def open_pairs(self, entries: DataFrame, labels: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs that share a prefix key, are in different components and have not
-        been verified."""
-        marked = entries.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-        several = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key")
-        left = stored(marked.join(several, "key"), "open")
-        pairs = left.alias("a").join(left.alias("b"), "key").filter(F.col("a.label") < F.col("b.label")).filter(self.may_link("a", "b"))
-        found = pairs.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")).distinct()
-        return found.join(done, ["a", "b"], "left_anti")
+        rows = sides.alias("a").join(hubs.alias("b"), ["key", "band"]).filter(F.col("a.set_id") != F.col("b.set_id"))
+        return stored(rows.select("key", "band", "a.set_id", "a.n", "a.pos", F.col("b.set_id").alias("hub"), self.may_link("a", "b").alias("near")), "sides")
+
+    def open_pairs(self, rows: DataFrame, labels: DataFrame, first: DataFrame) -> DataFrame:
+        """Pairs of different components that may be linked and are not verified.
+
+        Similar sets share a prefix key, and so a hub that is no larger than either.
+        If both were verified against it and they share nothing outside it, then
+        what they share with it already links them both to it.  So they either
+        share one of the first keys that the hub lacks (`added`), or one of them
+        was not near the hub; only such pairs are made."""
+        marked = rows.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+        groups = marked.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "band")
+        left = stored(marked.join(stored(groups, "groups"), ["key", "band"]), "open")
+        met = left.filter("near").select(F.col("set_id").alias("a"), F.col("hub").alias("b"), "n", "label").distinct()
+        extra = met.join(first.filter(F.size("added") > 0).select("a", "b", "added"), ["a", "b"]).select(F.col("a").alias("set_id"), F.col("b").alias("hub"), "n", "label", F.explode("added").alias("key"))
+        shared = extra.groupBy("hub", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("hub", "key")
+        extra = stored(extra.join(stored(shared, "shared"), ["hub", "key"]), "added")
+        sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * self.percent
+        one = extra.alias("a").join(extra.alias("b"), ["hub", "key"]).filter((F.col("a.label") < F.col("b.label")) & sizes)
+        late = left.filter(~F.col("near")).alias("a").join(left.alias("b"), ["key", "band"]).filter((F.col("a.label") != F.col("b.label")) & self.may_link("a", "b"))
+        ends = [F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")]
+        done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return one.select(*ends).union(late.select(*ends)).distinct().join(done, ["a", "b"], "left_anti")
 
     def texts(self, members: DataFrame, entries: DataFrame) -> DataFrame:
         """`set_id, packed`: one text of each set that has shared prefix keys."""
@@ -171,8 +186,11 @@ class Joiner:
         found = packed(self.docs, "text").join(chosen, "uid").dropDuplicates(["set_id"])
         return stored(found.select("set_id", "packed"), "texts")
 
-    def verify(self, pairs: DataFrame, texts: DataFrame) -> DataFrame:
-        """`pairs` plus `linked`, by the suffix filter and the whole sets."""
+    def verify(self, pairs: DataFrame, texts: DataFrame, added: bool = False) -> DataFrame:
+        """`pairs` (a, b) plus `linked`, by the suffix filter and the whole sets.
+
+        With `added` also the keys of a that b lacks, rare first, as many as any set
+        similar to a must share one of, if it shares with a no more than b does."""
         classes, width, percent = self.classes, self.width, self.percent
         one = pairs.join(texts.withColumnsRenamed({"set_id": "a", "packed": "pa"}), "a")
         both = one.join(texts.withColumnsRenamed({"set_id": "b", "packed": "pb"}), "b")
@@ -187,11 +205,15 @@ class Joiner:
             def fn(left, right):
                 left, right = left.to_pylist(), right.to_pylist()
                 known = keys_of(list({*left, *right}))
+                if added:
+                    found = [against_hub(known[x], known[y], percent) for x, y in zip(left, right)]
+                    return [pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1].view(np.int64) for f in found], pa.list_(pa.int64()))]
                 return [pa.array([similar(known[x], known[y], percent) for x, y in zip(left, right)], pa.bool_())]
 
             return fn
 
-        return with_arrow(both, ["pa", "pb"], {"linked": "boolean"}, make, drop=("pa", "pb"), slice_bytes=SLICE)
+        outs = {"linked": "boolean", "added": "array<long>"} if added else {"linked": "boolean"}
+        return with_arrow(both, ["pa", "pb"], outs, make, drop=("pa", "pb"), slice_bytes=SLICE)
 
 
 def apart(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> int:
@@ -219,6 +241,18 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((x[at] == y).sum()) >= needed
 
 
+def against_hub(x: np.ndarray, hub: np.ndarray, percent: int) -> tuple[bool, np.ndarray]:
+    """Whether x and the hub are similar, and the first keys of x outside the hub.
+
+    A set similar to x shares at least `least_share` keys with it; what it cannot
+    share inside the hub it must share outside, and one of these is among the first."""
+    outside = x[hub[np.minimum(np.searchsorted(hub, x), len(hub) - 1)] != x]
+    shared = len(x) - len(outside)
+    linked = 100 * shared >= percent * (len(hub) + len(outside))
+    most = max(1, least_share(len(x), percent) - shared)
+    return linked, outside[: max(0, len(outside) - most + 1)]
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """`set_id, label` for every end of an `a, b` edge: the least id of its connected
     component, by alternating large and small stars.  Minima are combined on the
@@ -259,10 +293,12 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     members = stored(joiner.sets(keyed), "members")
     entries = joiner.shared_prefixes()
     texts = joiner.texts(members, entries)
-    first = stored(joiner.verify(joiner.hub_pairs(entries), texts), "pairs")
+    rows = joiner.hub_rows(entries)
+    met = rows.filter("near").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
+    first = stored(joiner.verify(met, texts, added=True), "pairs")
     links = first.filter("linked").select("a", "b")
     labels = components(links)
-    second = joiner.verify(joiner.open_pairs(entries, labels, first.select("a", "b")), texts)
+    second = joiner.verify(joiner.open_pairs(rows, labels, first), texts)
     links = stored(links.union(second.filter("linked").select("a", "b")), "links")
     labels = stored(components(links), "labels")
     labelled = members.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
