@@ -15,6 +15,13 @@ from ..session import MAX_RULE_ROWS, bounded_rows, broadcast_if_small
 
 SEPARATOR = r"(?:\s|,|\.|\-|_)+"
 MIN_VARIANT_CHARS = 7
+#: Letters whose case patterns must name: without (?u), (?i) folds A-Z alone.
+ACCENTED, ACCENTED_CAPITALS = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞŸ"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + ACCENTED_CAPITALS
+SMALL = "abcdefghijklmnopqrstuvwxyz" + ACCENTED
+#: Tokens of the join: runs of a-z, and accented letters one by one, because a name
+#: may stand right after or before an accented letter.
+NAME_TOKEN = r"[a-z]+|[ß-öø-ÿ]"
 #: 8-byte hashes up to this many are broadcast to thin the pairs of documents.
 MAX_PAIR_HASHES = 2_000_000
 
@@ -117,6 +124,12 @@ def variant_pattern(variant: str) -> str:
     return SEPARATOR.join(T.quote_regex(p) for p in variant.split())
 
 
+def letter_pattern(ch: str) -> str:
+    if ch in ACCENTED:
+        return f"[{ch}{ACCENTED_CAPITALS[ACCENTED.index(ch)]}]"
+    return SEPARATOR if ch == " " else T.quote_regex(ch)
+
+
 def alternation(variants: list[str]) -> str:
     """One pattern for many names, factored by common prefixes: at a position
     the cost follows the letters of the text, not the number of names.  Longer
@@ -124,12 +137,12 @@ def alternation(variants: list[str]) -> str:
     tree: dict = {}
     for v in variants:
         node = tree
-        for ch in " ".join(v.lower().split()):
+        for ch in " ".join(v.translate(str.maketrans(CAPITALS, SMALL)).split()):
             node = node.setdefault(ch, {})
         node[""] = {}
 
     def pattern(node: dict) -> str:
-        parts = [(SEPARATOR if ch == " " else T.quote_regex(ch)) + pattern(node[ch]) for ch in sorted(node) if ch]
+        parts = [letter_pattern(ch) + pattern(node[ch]) for ch in sorted(node) if ch]
         if not parts:
             return ""
         body = parts[0] if len(parts) == 1 and "" not in node else "(?:" + "|".join(parts) + ")"
@@ -162,35 +175,48 @@ def compile_staff(variants: DataFrame, max_rows: int = MAX_RULE_ROWS) -> list[Ru
     return None if rows is None else role_rules([(r["variant"], r["role"]) for r in rows])
 
 
+def folded(text: Column) -> Column:
+    return F.translate(text, CAPITALS, SMALL)
+
+
+def name_words(text: Column) -> Column:
+    return F.regexp_extract_all(folded(text), F.lit(NAME_TOKEN), F.lit(0))
+
+
+def _letter_pattern(ch: Column) -> Column:
+    """:func:`letter_pattern` of a one-letter column."""
+    return (
+        F.when(ch == " ", F.lit(SEPARATOR))
+        .when(ch.isin(*ACCENTED), F.concat(F.lit("["), ch, F.translate(ch, ACCENTED, ACCENTED_CAPITALS), F.lit("]")))
+        .otherwise(F.regexp_replace(ch, r"([\\.^$|?*+()\[\]{}\-])", r"\\$1"))
+    )
+
+
 def redact_staff_join(
     docs: DataFrame, variants: DataFrame, key: str, text: str = "text", counts: str = "counts"
 ) -> DataFrame:
     """Dictionary redaction for a dictionary of any size.
 
-    Every variant has at least two words, so each document's distinct word pairs
-    are equi-joined with the variants' leading pair; only variants that can occur
-    in a document reach it.  Per document and role they become the same
-    longest-first alternation as in the compiled way."""
-    words = docs.select(key, F.split(F.lower(F.col(text)), r"[\s,.\-_]+").alias("__w"))
-    pairs = F.array_distinct(
-        F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size("__w") - 1, F.lit(1))),
-            lambda i: F.concat_ws(
-                " ",
-                F.regexp_replace(F.try_element_at("__w", i), r"^[^a-z]+", ""),
-                F.regexp_replace(F.try_element_at("__w", i + 1), r"[^a-z'`à-öø-ÿ].*$", ""),
-            ),
-        )
+    Texts and variants are cut into the same tokens (NAME_TOKEN), so wherever the
+    compiled pattern finds a variant, whatever mark stands before or after it, the
+    variant's tokens are whole tokens of the text, side by side.  Each document's
+    distinct pairs of tokens are equi-joined with the variants' leading pair (their
+    only token, or "", where a variant has no more); only variants that can occur in
+    a document reach it.  Per document and role they become an alternation that tries
+    them in the order of the compiled way."""
+    words = docs.select(key, name_words(F.col(text)).alias("__w"))
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("__w") - 1, F.lit(1))),
+        lambda i: F.concat_ws(" ", F.try_element_at("__w", i), F.try_element_at("__w", i + 1)),
     )
-    pairs_of = explode_rows(words, [key], pairs, "pair")
-    keyed = variants.select(
-        "variant",
+    pairs_of = explode_rows(words, [key], F.array_distinct(F.concat(pairs, F.col("__w"), F.array(F.lit("")))), "pair")
+    spelt = variants.select("variant", "role", F.regexp_replace(F.trim(folded(F.col("variant"))), r"(?U)\s+", " ").alias("name"))
+    keyed = spelt.select(
         "role",
-        F.concat_ws(" ", F.slice(F.split(F.lower("variant"), " "), 1, 2)).alias("pair"),
-        F.array_join(
-            F.transform(F.split("variant", " "), lambda w: F.regexp_replace(w, r"([\\.^$|?*+()\[\]{}\-])", r"\\$1")),
-            SEPARATOR,
-        ).alias("alt"),
+        # a longer name before its beginning, else by letters: the order of alternation()
+        F.concat("name", F.lit("\uffff")).alias("rank"),
+        F.concat_ws(" ", F.slice(name_words(F.col("name")), 1, 2)).alias("pair"),
+        F.array_join(F.transform(F.split("name", ""), _letter_pattern), "").alias("alt"),
     )
     # pairs no name starts with (nearly all) leave before the shuffle
     known = keyed.select(F.xxhash64("pair").alias("__h")).distinct()
@@ -200,7 +226,7 @@ def redact_staff_join(
         pairs_of.join(keyed, "pair")
         .join(broadcast_if_small(longest), "role")
         .groupBy(key, "role", "longest")
-        .agg(F.collect_set(F.struct(F.length("variant").alias("n"), "variant", "alt")).alias("alts"))
+        .agg(F.array_sort(F.collect_set(F.struct("rank", "alt"))).alias("alts"))
         .select(
             key,
             F.struct(
@@ -208,18 +234,7 @@ def redact_staff_join(
                 "role",
                 F.concat(
                     F.lit(r"(?id)(?<![A-Za-z])(?:"),
-                    F.array_join(
-                        F.transform(
-                            F.array_sort(
-                                "alts",
-                                lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"])
-                                .when(a["variant"] < b["variant"], F.lit(-1))
-                                .otherwise(F.lit(1)),
-                            ),
-                            lambda a: a["alt"],
-                        ),
-                        "|",
-                    ),
+                    F.array_join(F.col("alts.alt"), "|"),
                     F.lit(r")(?![A-Za-z])"),
                 ).alias("pattern"),
             ).alias("rule"),
