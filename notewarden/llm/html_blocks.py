@@ -36,6 +36,10 @@ REPEATED_TAGS = frozenset({
 UNSEEN_TAGS = frozenset({
     "head", "title", "template", "svg", "math", "object", "iframe", "canvas", "audio", "video", "noscript",
 })
+#: Elements that stand in a head; any other one, and text, ends it.
+HEAD_TAGS = frozenset({
+    "head", "html", "title", "base", "basefont", "bgsound", "link", "meta", "noframes", "noscript", "script", "style", "template",
+})
 #: Words of a class, id or role that name such a part.
 REPEATED_WORDS = frozenset({
     "ad", "ads", "adv", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo", "promotion", "banner", "nav", "navbar",
@@ -122,10 +126,27 @@ def zone_of(tag: str, attrs: str, above: int, inside_article: bool) -> int:
     return ARTICLE if tag in ("article", "main") else above
 
 
+def unclosed(tokens: list[re.Match]) -> set[int]:
+    """Starts of the unseen elements that no end tag closes."""
+    opened: dict[str, list[int]] = {}
+    for m in tokens:
+        tag = (m["tag"] or "").lower()
+        if tag not in UNSEEN_TAGS:
+            continue
+        if not m["end"]:
+            if not m["attrs"].rstrip().endswith("/"):
+                opened.setdefault(tag, []).append(m.start())
+        elif opened.get(tag):
+            opened[tag].pop()
+    return {at for places in opened.values() for at in places}
+
+
 def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
     """The page's text blocks in order: text, words, link density, zone."""
     blocks: list[tuple[str, int, float, int]] = []
     stack: list[tuple[str, int, bool]] = []  # tag, zone, inside an article
+    tokens = list(_TOKEN.finditer(page))
+    endless, never = [], unclosed(tokens)  # heights in the stack of unseen elements that no tag closes
     parts: list[str] = []
     linked, unseen, in_link, at = 0, 0, 0, 0
 
@@ -143,20 +164,38 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
         tag, _, _ = stack.pop()
         unseen -= tag in UNSEEN_TAGS
         in_link -= tag == "a"
+        if endless and endless[-1] == len(stack):
+            endless.pop()
+
+    def end_unseen(tag: str) -> None:
+        """A block ends the unclosed unseen elements right above it, and what cannot
+        stand in a head ends the head."""
+        if tag in BLOCK_TAGS and tag not in ("head", "title", "html"):
+            while endless and all(t not in UNSEEN_TAGS for t, _, _ in stack[endless[-1] + 1 :]):
+                for _ in range(len(stack) - endless[-1]):
+                    pop()
+        if tag not in HEAD_TAGS and stack and (stack[-1][0] == "head" or tag == "body" and any(t == "head" for t, _, _ in stack)):
+            while stack[-1][0] != "head":
+                pop()
+            pop()
 
     def put(text: str) -> None:
         nonlocal linked
+        if stack and stack[-1][0] == "head" and text.strip():
+            end_unseen("")
         if text and not unseen:
             parts.append(text)
             if in_link:
                 linked += len(text.split())
 
-    for m in _TOKEN.finditer(page):
+    for m in tokens:
         put(page[at : m.start()])
         at = m.end()
         tag = (m["tag"] or "").lower()
         if not tag:
             continue
+        if not m["end"]:
+            end_unseen(tag)
         if tag in BLOCK_TAGS:
             flush()
         elif tag == "br":
@@ -182,6 +221,8 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
             stack.append((tag, zone_of(tag, m["attrs"], above, inside), inside or tag in ("article", "main")))
             unseen += tag in UNSEEN_TAGS
             in_link += tag == "a"
+            if m.start() in never:
+                endless.append(len(stack) - 1)
     put(page[at:])
     flush()
     return blocks

@@ -32,6 +32,17 @@ def test_broken_pages():
     assert text_of("<article><p>a") == "a" and text_of("<article><!-- <p>no</p> -->b<script>c</script>") == "b"
 
 
+def test_open_head_and_open_unseen_elements():
+    article = "<article><p>Text of it.</p></article>"
+    for head in ("<head><title>T</title>", "<head><title>T", "<head><meta a=b><noscript><link>", "<head><title>T</title><noscript><img></noscript>", "<head><template><p>no</p></template>"):
+        assert text_of(f"<html>{head}<body>{article}") == text_of(f"<html>{head}{article}") == "Text of it.", head
+    assert text_of("<head><title>T</title></head><body>" + article) == "Text of it."
+    assert H.blocks_of("<head><title>T</title>some words<p>more")[0][0] == "some words"
+    for tag in ("noscript", "svg", "object", "iframe", "video", "math"):
+        assert text_of(f"<body><{tag} a=b>{article}</body>") == text_of(f"<body><div><{tag}>no</div>{article}") == "Text of it.", tag
+        assert text_of(f"<body><article><{tag}><p>no</p></{tag}><p>yes</p></article>") == "yes", tag
+
+
 def test_operator(spark):
     rows = [(1, "u", None, "old"), (2, None, "<article><p>é  🙂</p></article>", None), (2, None, "<article><p>é  🙂</p></article>", None), (3, "u", "<article>" + "<p>long one</p>" * 20000, "")]
     out = H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string"))
