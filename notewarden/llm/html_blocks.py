@@ -1,8 +1,8 @@
 """Main text of web pages from flat text blocks.
 
 A page becomes a flat list of text blocks.  Each block has its word count, its
-link density and its zone (inside an article, inside a part that pages repeat, or
-neither), and the same figures of its two neighbours.  A decision tree, trained
+link density and its zone (inside an article, inside a part that pages repeat,
+inside a part that only a class, id or role names so, or neither), and the same figures of its two neighbours.  A decision tree, trained
 here on a small labelled table of blocks, keeps or drops each block."""
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .common import texts_of, with_arrow
 
-OTHER, ARTICLE, REPEATED = 0, 1, 2
+OTHER, ARTICLE, REPEATED, NAMED = 0, 1, 2, 3
 
 # Fixed values of HTML: elements that start a block, that have no end, and whose
 # content is not text.
@@ -48,6 +48,15 @@ REPEATED_WORDS = frozenset({
     "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related", "recommended", "newsletter", "subscribe", "signup", "login",
     "search", "pagination", "pager", "toolbar", "skip",
 })
+#: Those of them that name readers' answers, which follow an article inside its element.
+ANSWER_WORDS = frozenset({"comment", "comments", "commentlist", "disqus", "respond", "reply", "replies"})
+#: Words that may stand beside them in a name, as in site-header or comment-list.
+PLAIN_WORDS = frozenset({
+    "site", "page", "main", "global", "top", "bottom", "left", "right", "primary", "secondary", "box", "bar", "block", "body", "button",
+    "buttons", "container", "content", "wrapper", "wrap", "inner", "outer", "list", "item", "items", "link", "links", "section", "area", "panel", "form",
+    "field", "input", "icon", "icons", "title", "text", "id", "div", "col", "row", "unit", "slot", "message", "policy", "posts", "post",
+    "articles", "media", "level", "depth", "thread", "even", "odd", "parent", "children", "to",
+})
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(?P<raw>script|style|textarea|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -76,6 +85,10 @@ LABELLED_BLOCKS = [
     (2, 1.0, 0, 1, 1.0, 0, 2, 1.0, 0, 0), (1, 1.0, 0, 0, 0.0, 0, 1, 1.0, 0, 0), (3, 0.9, 0, 40, 0.0, 0, 4, 1.0, 0, 0), (12, 0.9, 0, 4, 1.0, 0, 3, 1.0, 0, 0),
     (2, 0.0, 0, 1, 1.0, 0, 1, 1.0, 0, 0), (4, 0.0, 0, 2, 1.0, 0, 0, 0.0, 0, 0), (30, 0.85, 0, 3, 1.0, 0, 2, 1.0, 0, 0), (3, 0.0, 0, 1, 1.0, 2, 2, 1.0, 0, 0),
     (1, 1.0, 0, 1, 1.0, 0, 30, 0.0, 0, 0), (2, 1.0, 0, 3, 1.0, 0, 70, 0.0, 0, 0), (4, 0.95, 0, 60, 0.0, 0, 45, 0.0, 0, 0), (1, 1.0, 0, 50, 0.0, 0, 25, 0.0, 0, 0),
+    # parts that only a name calls repeated: long blocks with few links stay, short ones and those with many links go
+    (150, 0.0, 3, 9, 0.0, 3, 120, 0.05, 3, 1), (120, 0.05, 3, 150, 0.0, 3, 2, 1.0, 2, 1), (110, 0.1, 3, 40, 0.0, 1, 30, 0.0, 1, 1), (200, 0.0, 3, 0, 0.0, 0, 0, 0.0, 0, 1),
+    (60, 0.0, 3, 30, 0.0, 1, 48, 0.0, 3, 0), (8, 0.0, 3, 1, 1.0, 2, 9, 0.0, 1, 0), (150, 0.7, 3, 9, 0.0, 1, 40, 0.0, 1, 0), (35, 0.0, 3, 120, 0.0, 3, 0, 0.0, 0, 0),
+    (2, 1.0, 3, 1, 1.0, 3, 3, 1.0, 3, 0), (1, 0.0, 3, 55, 0.0, 0, 70, 0.0, 0, 0), (120, 0.9, 3, 70, 0.0, 0, 0, 0.0, 0, 0), (45, 0.1, 3, 70, 0.0, 0, 45, 0.0, 0, 0),
     (70, 0.0, 0, 2, 1.0, 0, 45, 0.05, 0, 1), (33, 0.0, 0, 1, 1.0, 0, 1, 1.0, 0, 1), (25, 0.0, 0, 3, 0.9, 0, 2, 1.0, 0, 1), (40, 0.1, 0, 1, 1.0, 0, 0, 0.0, 0, 1),
 ]
 
@@ -115,15 +128,28 @@ def classify(tree, features: tuple) -> bool:
     return tree
 
 
-def zone_of(tag: str, attrs: str, above: int, inside_article: bool) -> int:
-    if above == REPEATED or tag in REPEATED_TAGS or (tag == "header" and not inside_article):
-        return REPEATED
+def repeated_words(tag: str, attrs: str) -> set[str]:
+    """The REPEATED_WORDS by which a class, id or role names the whole part: one of its tokens is made of
+    REPEATED_WORDS and PLAIN_WORDS.  Tokens like has-sidebar tell of the page, and
+    the names of a heading are places to link to."""
+    if tag in ("html", "body") or re.fullmatch("h[1-6]", tag):
+        return set()
     for _, a, b, c in _NAMED.findall(attrs):
-        if REPEATED_WORDS.intersection(_WORD_PARTS.findall((a or b or c).lower())) and tag not in ("html", "body"):
-            return REPEATED
-    if _HIDDEN.search(attrs):
+        for token in (a or b or c).lower().split():
+            words = [w for w in _WORD_PARTS.findall(token) if not w.isdigit()]
+            if REPEATED_WORDS.intersection(words) and REPEATED_WORDS.union(PLAIN_WORDS).issuperset(words):
+                return REPEATED_WORDS.intersection(words)
+    return set()
+
+
+def zone_of(tag: str, attrs: str, above: int, inside_article: bool) -> int:
+    """REPEATED is for good.  NAMED ends at an article or main that is not named so
+    itself, unless it stands in an article, as comments do."""
+    if above == REPEATED or tag in REPEATED_TAGS or (tag == "header" and not inside_article) or _HIDDEN.search(attrs):
         return REPEATED
-    return ARTICLE if tag in ("article", "main") else above
+    if named := repeated_words(tag, attrs):
+        return REPEATED if inside_article and named & ANSWER_WORDS else NAMED
+    return ARTICLE if tag in ("article", "main") and not (above == NAMED and inside_article) else above
 
 
 def unclosed(tokens: list[re.Match]) -> set[int]:
@@ -148,6 +174,7 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
     tokens = list(_TOKEN.finditer(page))
     endless, never = [], unclosed(tokens)  # heights in the stack of unseen elements that no tag closes
     parts: list[str] = []
+    within: set[int] = set()  # blocks inside an article
     linked, unseen, in_link, at = 0, 0, 0, 0
 
     def flush() -> None:
@@ -156,6 +183,8 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
                 words = text.count(" ") + 1
+                if stack and stack[-1][2]:
+                    within.add(len(blocks))
                 blocks.append((text, words, min(1.0, linked / words), stack[-1][1] if stack else OTHER))
         parts, linked = [], 0
 
@@ -218,13 +247,16 @@ def blocks_of(page: str) -> list[tuple[str, int, float, int]]:
                             pop()
                         pop()
             _, above, inside = stack[-1] if stack else ("", OTHER, False)
-            stack.append((tag, zone_of(tag, m["attrs"], above, inside), inside or tag in ("article", "main")))
+            zone = zone_of(tag, m["attrs"], above, inside)
+            stack.append((tag, zone, inside or zone == ARTICLE))
             unseen += tag in UNSEEN_TAGS
             in_link += tag == "a"
             if m.start() in never:
                 endless.append(len(stack) - 1)
     put(page[at:])
     flush()
+    if any(zone == ARTICLE for *_, zone in blocks):  # then what stands in named parts outside it is none of it
+        return [(t, w, l, REPEATED if zone == NAMED and i not in within else zone) for i, (t, w, l, zone) in enumerate(blocks)]
     return blocks
 
 

@@ -43,6 +43,20 @@ def test_open_head_and_open_unseen_elements():
         assert text_of(f"<body><article><{tag}><p>no</p></{tag}><p>yes</p></article>") == "yes", tag
 
 
+def test_names_do_not_drop_articles():
+    for page in ('<div class="page has-sidebar"><article>{}</article></div>', '<article class="post comments-open">{}</article>', '<div class="with-ads no-comments"><main>{}</main></div>', '<div id="search"><article>{}</article></div>'):
+        assert text_of(page.replace("{}", "<p>Text of it.</p>")) == "Text of it.", page
+    assert text_of('<article><h2 id="search">Search</h2><p>a</p><section id="related-work"><h2>Related</h2><p>b</p></section></article>') == "Search\na\nRelated\nb"
+    long = " ".join(["word"] * 150)
+    for page in (f'<article><p>a</p><div class="notice"><p>{long}</p></div></article>', f'<div class="widget"><p>{long}</p><p>{long}</p></div>'):
+        assert long in text_of(page), page
+    frame = '<p>a</p><div class="share">Share this</div><div class="notice"><p><a href=b>{0}</a></p></div>'.format(long)
+    assert text_of(f"<article>{frame}</article>") == "a"
+    assert text_of(f'<article>a</article><ol class="comment-list"><li><article class="comment-body"><p>{long}</p></article></ol>') == "a"
+    assert text_of(f'<main><p>a</p><div id="comments"><article><p>{long}</p></article></div></main>') == "a"
+    assert text_of(f'<div class="site-header"><p>{long}</p></div><main>a</main><aside><article>{long}</article></aside>') == "a"
+
+
 def test_operator(spark):
     rows = [(1, "u", None, "old"), (2, None, "<article><p>é  🙂</p></article>", None), (2, None, "<article><p>é  🙂</p></article>", None), (3, "u", "<article>" + "<p>long one</p>" * 20000, "")]
     out = H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string"))
