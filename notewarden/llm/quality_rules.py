@@ -41,10 +41,12 @@ def base_counts(data: np.ndarray, edges: np.ndarray, words: Words, prefix: np.nd
     marked = np.zeros(len(words.start) + 2, bool)
     for k in range(3):
         marked[at[again] + k] = True
-    ends = np.unique(np.concatenate([np.flatnonzero(data == 0x0A), edges[1:]]))  # a line ends before its line end, or with its row
-    row = np.minimum(np.searchsorted(edges, ends, side="left") - 1, len(edges) - 2)
-    starts = np.concatenate([[0], np.where(np.isin(ends[:-1], edges[1:-1]), ends[:-1], ends[:-1] + 1)]) if len(ends) else ends
-    starts = np.minimum(starts, ends)
+    breaks, rows = np.flatnonzero(data == 0x0A), np.arange(len(edges) - 1)
+    at = np.searchsorted(edges, breaks, side="right") - 1  # the row of each line end
+    # lines start with their row and after each line end, and end before a line end and with their row
+    row = np.sort(np.concatenate([rows, at]))
+    starts = np.concatenate([edges[:-1], breaks + 1])[np.argsort(np.concatenate([rows, at]), kind="stable")]
+    ends = np.concatenate([breaks, edges[1:]])[np.argsort(np.concatenate([at, rows]), kind="stable")]
     has_word = np.searchsorted(words.start, ends) > np.searchsorted(words.start, starts)
     lines = np.flatnonzero(has_word)
     later = repeated(span_hash(prefix, starts[lines], ends[lines]), row[lines])[1] if len(lines) else np.zeros(0, bool)

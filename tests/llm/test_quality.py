@@ -34,6 +34,13 @@ def test_base_rules(docs_of):
     assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) for r in got)
 
 
+def test_lines_do_not_depend_on_the_rows_before(spark):
+    texts = ["x", "\nab\nab", "", "\n\nab\n\nab\n", "ab\n", "\nab", None, "\n", "ab\nab\nab"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = quality_rules.base_rules(docs).orderBy("doc_id").collect()
+    assert [r.n_dup_lines for r in got] == [brute(t)[3] for t in texts] == [0, 1, 0, 1, 0, 0, 0, 0, 2]
+
+
 def test_without_labels_or_rows(spark, docs_of):
     rows = corpus()
     none = spark.createDataFrame([], LABELS)
