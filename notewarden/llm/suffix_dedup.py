@@ -9,9 +9,12 @@ windows span (its context) tell what must be compared:
 * a key with one context that occurs once repeats nowhere,
 * the distinct contexts of all other keys are dealt to shards by key, and each
   shard is put in suffix order by induced sorting (`induced_sort`), where shared
-  prefixes of `length` bytes and more show the windows that repeat.
+  prefixes of `length` bytes and more show the windows that repeat,
+* a key whose contexts are larger than a shard is not sorted: its windows meet by
+  the hash of their `length` bytes, in as many tasks as there are.
 
-Shards hold whole keys, so equal windows always meet in one shard."""
+Shards hold whole keys, so equal windows always meet in one shard, and a shard has
+less than twice SHARD_BYTES."""
 
 from __future__ import annotations
 
@@ -24,7 +27,7 @@ from .hashing import U64, mix, raw_bytes, rolling, span_hash
 from .induced_sort import suffix_order
 
 GRAM, KEY = 8, 64
-#: Bytes of contexts that are sorted at a time; a larger key makes a larger shard.
+#: Bytes of contexts that are sorted at a time; windows of larger keys meet by hash.
 SHARD_BYTES = 3_000_000
 SLICE = 1_000_000
 
@@ -132,8 +135,7 @@ def shard_ranges(contexts: DataFrame, length: int) -> DataFrame:
         for r, again in zip(rows, repeats_in_shard([r[3] for r in rows], length)):
             if r[2] > 1:
                 again = np.ones(len(again), bool)
-            turns = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
-            out += [(r[0], r[1], int(a), int(b)) for a, b in zip(turns[::2], turns[1::2])]
+            out += [(r[0], r[1], int(a), int(b)) for a, b in zip(*runs_of(again))]
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "context", "lo", "hi"])
 
     def run(batches):
@@ -153,22 +155,64 @@ def shard_ranges(contexts: DataFrame, length: int) -> DataFrame:
     return sharded.mapInArrow(run, "key long, context long, lo int, hi int")
 
 
-def repeated_ranges(docs: DataFrame, length: int = 200) -> DataFrame:
+def runs_of(again: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
+    return turns[::2], turns[1::2]
+
+
+def hashed_ranges(contexts: DataFrame, length: int) -> DataFrame:
+    """`key, context, lo, hi` as of :func:`shard_ranges`, for keys of any size: equal
+    windows have equal keys, so they are counted by the hash of their bytes and key.
+
+    The windows of a context count once for each of its copies.  Counts are partial on the map side and stored, so that Spark
+    splits a window that many contexts hold."""
+
+    def windows(batches):
+        for batch in batches:
+            keys, names, copies = (np.array(batch.column(i)) for i in range(3))
+            for i, body in enumerate(batch.column(3).to_pylist()):
+                prefix, at = rolling(np.frombuffer(body, np.uint8)), np.arange(len(body) - length + 1)
+                hashes = mix(span_hash(prefix, at, at + length) ^ mix(np.full(len(at), keys[i]).view(U64))).view(np.int64)
+                same = lambda x: pa.array(np.full(len(at), x), pa.int64())
+                yield pa.RecordBatch.from_arrays([same(keys[i]), same(names[i]), same(copies[i]), pa.array(at, pa.int32()), pa.array(hashes)], names=["key", "context", "copies", "place", "window"])
+
+    def collapse(batches):
+        for batch in batches:
+            out = []
+            for key, context, places in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                again = np.zeros(max(places) + 1, bool)
+                again[places] = True
+                out += [(key, context, int(a), int(b)) for a, b in zip(*runs_of(again))]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=["key", "context", "lo", "hi"])
+
+    found = stored(contexts.mapInArrow(windows, "key long, context long, copies long, place int, window long"), "windows")
+    twice = stored(found.groupBy("window").agg(F.sum("copies").alias("n")).filter("n > 1").select("window"), "windows-twice")
+    places = found.join(twice, "window").groupBy("key", "context").agg(F.collect_set("place").alias("places"))
+    return places.mapInArrow(collapse, "key long, context long, lo int, hi int")
+
+
+def repeated_ranges(docs: DataFrame, length: int = 200, largest: int = SHARD_BYTES) -> DataFrame:
     """`uid, lo, hi`: byte ranges of `uid, text` rows that are covered by strings of
     `length` bytes that start at least twice in all rows; ranges may overlap.
 
     Hot keys: keys and contexts are counted with partial counts on the map side.
     The counts are stored before they are joined back, so that both sides of a join
-    are plain inputs of it and Spark splits a hot key among tasks."""
+    are plain inputs of it and Spark splits a hot key among tasks.  Keys with more
+    than `largest` bytes of contexts take :func:`hashed_ranges`, the others
+    :func:`shard_ranges`."""
     found = anchor_rows(docs, length)
     doubled = found.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     doubled = stored(doubled, "doubled")
     again = stored(found.join(doubled, "key"), "anchors")
     classes = again.groupBy("key", "context").agg(F.count("*").alias("copies"), F.min_by(F.struct("uid", "first", "last"), "uid").alias("at"))
     classes = stored(classes, "contexts")
-    mixed = stored(classes.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "mixed")
-    wanted = classes.join(mixed, "key").select("key", "context", "copies", "at.*")
-    sorted_ = shard_ranges(cut_contexts(wanted, docs, length), length)
+    width = F.col("at.last") - F.col("at.first") + length
+    mixed = stored(classes.groupBy("key").agg(F.count("*").alias("n"), F.sum(width).alias("width")).filter("n > 1").select("key", "width"), "mixed")
+    wanted = lambda keys: cut_contexts(classes.join(keys.select("key"), "key").select("key", "context", "copies", "at.*"), docs, length)
+    sorted_ = shard_ranges(wanted(mixed.filter(F.col("width") <= largest)), length)
+    large = mixed.filter(F.col("width") > largest)
+    if not large.isEmpty():
+        sorted_ = sorted_.unionByName(hashed_ranges(wanted(large), length))
     whole = classes.join(mixed, "key", "left_anti").filter("copies > 1").select("key", "context", F.lit(0).alias("lo"), (F.col("at.last") - F.col("at.first") + 1).alias("hi"))
     ranges = stored(sorted_.unionByName(whole), "ranges")
     hit = again.join(ranges, ["key", "context"])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from notewarden.llm import decontaminate, induced_sort, ngram_join, suffix_dedup
 
-from .helpers import ALNUM, corpus, hit_words, low, similar_components, without_repeats
+from .helpers import ALNUM, corpus, hit_words, low, prose, similar_components, without_repeats
 
 
 @pytest.mark.parametrize("seed", [5, 6])
@@ -82,6 +82,22 @@ def test_remove_repeats(docs_of, length):
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got), key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("largest", [0, 600])
+def test_large_keys_meet_by_windows(docs_of, monkeypatch, largest):
+    rng = np.random.default_rng(8)
+    line = prose(rng, 40, 4000)[:150]
+    around = [prose(rng, 30, 4000)[:120] for _ in range(12)]
+    texts_ = [around[i % 12] + line + around[i * 5 % 12] for i in range(30)] + [t for _, t in corpus()]
+    docs = docs_of(list(enumerate(texts_))).selectExpr("doc_id AS uid", "coalesce(text, '') AS text")
+    sizes, whole = [], suffix_dedup.hashed_ranges
+    monkeypatch.setattr(suffix_dedup, "hashed_ranges", lambda contexts, length: sizes.append(contexts.count()) or whole(contexts, length))
+    covered = {}
+    for r in suffix_dedup.repeated_ranges(docs, 200, largest).collect():
+        covered.setdefault(r.uid, set()).update(range(r.lo, r.hi))
+    want = [w[1] for w in without_repeats(texts_, 200)]
+    assert [len(covered.get(i, ())) for i in range(len(texts_))] == want and sizes and sizes[0] > 2
+
+
 def test_remove_repeats_small(docs_of):
     assert suffix_dedup.remove_repeats(docs_of([])).collect() == []
     got = suffix_dedup.remove_repeats(docs_of([(1, "a" * 199), (2, "a" * 199), (3, None)])).collect()
