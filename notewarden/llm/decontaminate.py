@@ -84,17 +84,33 @@ def phrase_runs(index: DataFrame, terms: DataFrame, window: int = WINDOW) -> Dat
 def proximity_matches(index: DataFrame, terms: DataFrame, rarest: int = 3, slop: int = 20) -> DataFrame:
     """`uid, item_id, lo, hi`: places where the `rarest` rarest terms of an item (or
     all of a shorter one) stand in any order within `slop` words: for each place of
-    the rarest term, the nearest occurrences of the others."""
+    the rarest term the narrowest span that holds it and all others (ties: the first).
+
+    Positions meet by buckets of `slop` words and their neighbours, so a long document
+    makes no pairs of places that are far apart.  A place has fewer than 2 * slop near
+    ones; each of them, and the place itself, is tried as the left end, with the first
+    place of every other term at or after it."""
     counts = terms.select("item", "item_id", "word").distinct().join(broadcast_if_small(term_counts(index), MAX_TERMS), "word", "left")
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("freq", F.lit(0)), "word"))).filter(F.col("rank") <= rarest)
     ranked = ranked.withColumn("needed", F.count("*").over(Window.partitionBy("item")))
     lists = index.distinct().join(broadcast_if_small(ranked.select("item", "item_id", "word", "rank", "needed"), MAX_TERMS), "word")
-    head = lists.filter("rank = 1").select("uid", "item", "item_id", "needed", F.col("pos").alias("at"))
-    rest = lists.select("uid", "item", "word", "pos")
-    close = head.join(rest, ["uid", "item"]).filter(F.abs(F.col("pos") - F.col("at")) < slop)
-    nearest = close.groupBy("uid", "item", "item_id", "needed", "at", "word").agg(F.min_by("pos", F.struct(F.abs(F.col("pos") - F.col("at")), "pos")).alias("pos"))
-    placed = nearest.groupBy("uid", "item", "item_id", "needed", "at").agg(F.count("*").alias("found"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    return placed.filter((F.col("found") == F.col("needed")) & (F.col("hi") - F.col("lo") < slop)).select("uid", "item_id", "lo", "hi").distinct()
+    bucket = F.floor(F.col("pos") / slop)
+    head = lists.filter("rank = 1").select("uid", "item", "item_id", "needed", F.col("pos").alias("at"), bucket.alias("bucket"))
+    near = lists.filter("rank > 1").select("uid", "item", "pos", "rank", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    alone = head.filter("needed = 1").select("uid", "item_id", F.col("at").alias("lo"), F.col("at").alias("hi"))
+    close = head.filter("needed > 1").join(near, ["uid", "item", "bucket"]).filter(F.abs(F.col("pos") - F.col("at")) < slop)
+    placed = close.groupBy("uid", "item", "item_id", "needed", "at").agg(F.collect_list(F.struct("rank", "pos")).alias("others"))
+    firsts = lambda lo: F.transform(
+        F.sequence(F.lit(2), F.col("needed").cast("int")), lambda k: F.array_min(F.transform(F.filter("others", lambda o: (o["rank"] == k) & (o["pos"] >= lo)), lambda o: o["pos"]))
+    )
+    spans = F.transform(
+        F.filter(F.array_distinct(F.concat(F.array("at"), F.col("others.pos"))), lambda lo: lo <= F.col("at")),
+        lambda lo: F.when(F.forall(firsts(lo), lambda p: p.isNotNull()), F.greatest(F.col("at"), F.array_max(firsts(lo))) - lo),
+    )
+    lefts = F.filter(F.array_distinct(F.concat(F.array("at"), F.col("others.pos"))), lambda lo: lo <= F.col("at"))
+    best = F.array_min(F.filter(F.zip_with(spans, lefts, lambda w, lo: F.struct(w.alias("width"), lo.alias("lo"))), lambda s: s["width"] < slop))
+    found = placed.withColumn("best", best).filter("best IS NOT NULL")
+    return found.select("uid", "item_id", F.col("best.lo").alias("lo"), (F.col("best.lo") + F.col("best.width")).alias("hi")).union(alone).distinct()
 
 
 def mark(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -1,5 +1,8 @@
 """Near copies, repeated strings and benchmark phrases against brute force."""
 
+import collections
+import itertools
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -150,3 +153,29 @@ def test_proximity(spark, docs_of):
                 j = min(near, key=lambda j: (abs(i - j), j))
                 want.add((d, min(i, j), max(i, j)))
     assert got == want and got
+
+
+@pytest.mark.parametrize("rarest", [1, 2, 3, 4])
+def test_proximity_by_brute_force(spark, docs_of, rarest):
+    rng, slop = np.random.default_rng(6), 20
+    told = {50: "aa", 40: "bb", 61: "bb", 62: "cc"}  # the nearest of each term are too far apart, 50, 61 and 62 are not
+    rows = [(1, " ".join(told.get(i, "x") for i in range(90)))]
+    rows += [(d, " ".join(rng.choice(["aa", "bb", "cc", "dd", "x"], 400, p=[0.02, 0.03, 0.04, 0.05, 0.86]))) for d in range(2, 8)]
+    terms = decontaminate.item_terms(spark.createDataFrame([(1, "aa bb cc dd"), (2, "bb aa cc"), (3, "aa")], "item_id long, text string"))
+    index = decontaminate.build_index(docs_of(rows).withColumn("uid", F.col("doc_id")), terms)
+    found = decontaminate.proximity_matches(index, terms, rarest=rarest, slop=slop).collect()
+    freq = collections.Counter(w for _, t in rows for w in t.split())
+    want = set()
+    for item, text in ((1, "aa bb cc dd"), (2, "bb aa cc"), (3, "aa")):
+        head, *others = sorted(text.split(), key=lambda w: (freq[w], w))[:rarest]
+        for d, t in rows:
+            places = {w: [i for i, x in enumerate(t.split()) if x == w] for w in (head, *others)}
+            for at in places[head]:
+                near = [[p for p in places[w] if abs(p - at) < slop] for w in others]
+                spans = [(max(at, *c, at) - min(at, *c, at), min(at, *c, at)) for c in itertools.product(*near)]
+                spans = [s for s in spans if s[0] < slop]
+                if spans:
+                    width, lo = min(spans)
+                    want.add((d, item, lo, lo + width))
+    assert {(r.uid, r.item_id, r.lo, r.hi) for r in found} == want
+    assert rarest != 3 or (1, 2, 50, 62) in want
