@@ -357,7 +357,7 @@ SELECT k AS patient_id, stem, role AS jenis_file,
  CASE stem WHEN 'resume' THEN CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END WHEN 'cppt_ranap' THEN 2 WHEN 'cppt_igd' THEN 2 ELSE 1 END AS n_entitas FROM d"""
 
 
-@query("E-38 E-39 E-40 E-41 E-42 E-19 P-20 P-21 S-17", NESTED_SQL)
+@query("E-38 E-39 E-40 E-41 E-42 E-19 P-20 P-21", NESTED_SQL)
 def nested_extract(t: Tables):
     from ..operators import nested as N
 

@@ -37,7 +37,7 @@ def _count_chain() -> str:
     return ", ".join(parts)
 
 
-@query("X-01 X-02 S-13", f"SELECT doc_id, {_replace_chain('text', R.GENERAL_RULES)} AS text FROM documents")
+@query("X-01 X-02", f"SELECT doc_id, {_replace_chain('text', R.GENERAL_RULES)} AS text FROM documents")
 def redact_pii(t: Tables):
     return X.apply_rules(t.spread("documents").select("doc_id", "text"), R.GENERAL_RULES).select("doc_id", "text")
 
@@ -380,7 +380,7 @@ STAFF_SQL = f"""(SELECT s_suppkey AS s, {sql_first('s_suppkey')} AS f, {sql_word
  CASE s_suppkey % 3 WHEN 0 THEN 'DOKTER_SPESIALIS_NEUROLOGI' WHEN 1 THEN 'DOKTER_GIGI' ELSE 'PERAWAT' END AS role FROM supplier)"""
 
 
-@query("S-07 S-25 X-08 X-09 X-10 X-11 X-12 W-09", f"""
+@query("S-07 X-08 X-09 X-10 X-11 X-12 W-09", f"""
 SELECT variant, role, CAST(length(variant) AS BIGINT) AS n FROM (SELECT unnest([f||' '||m||' '||n, f||' '||m, f||' '||n, m||' '||n]) AS variant, role FROM {STAFF_SQL}) WHERE length(variant) >= 7""")
 def staff_variants(t: Tables):
     v = N.staff_variants(staff_table(t))

@@ -56,7 +56,7 @@ def invalid_counts(t: Tables):
     return A.invalid_counts(customer_record(t))
 
 
-@query("E-49 P-21 S-16", """SELECT c_custkey AS patient_id, c_mktsegment AS segmen,
+@query("E-49 P-21", """SELECT c_custkey AS patient_id, c_mktsegment AS segmen,
  CASE c_nationkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'unknown' ELSE 'N' || (c_nationkey % 4) END AS wilayah FROM customer""")
 def wide_record(t: Tables):
     return Rec.to_wide(customer_record(t), "patient_id", ["segmen", "wilayah"])
@@ -78,7 +78,7 @@ def subtype_counts(t: Tables):
     return A.type_counts(t.orders.withColumnRenamed("o_orderstatus", "stroke_type"), "stroke_type")
 
 
-@query("A-26 S-22", """
+@query("A-26", """
 WITH d AS (SELECT conv_id AS patient_id, count(*) AS n_files, CAST(sum(length(text)) AS BIGINT) AS n_chars, sum(length(regexp_replace(text, '\\s+', '', 'g'))) AS solid,
  count(*) FILTER (role = 'system') AS n_ocr, CAST(sum(len(regexp_extract_all(text, '\\d'))) AS BIGINT) AS n_digits FROM conversations GROUP BY 1)
 SELECT patient_id, CASE WHEN solid < 50 THEN 'Perlu OCR manual' WHEN n_ocr > 0 THEN 'Selesai (OCR)' ELSE 'Selesai' END AS status, n_files, n_chars, n_ocr,
@@ -189,7 +189,7 @@ def skip_processed(t: Tables):
     return M.skip_processed(d, done, "source_file")
 
 
-@query("S-08 S-10 J-09", """
+@query("S-08", """
 WITH d(drug_key, term_pos, term) AS (VALUES ('med_a',0,'baru'),('med_b',0,'lama'),('med_c',0,'tambahan'))
 SELECT p_partkey, d.drug_key, d.term FROM part, d WHERE p_partkey % 3 = CASE d.drug_key WHEN 'med_a' THEN 0 WHEN 'med_b' THEN 1 ELSE 2 END""")
 def drug_dictionary(t: Tables):
