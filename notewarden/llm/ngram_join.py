@@ -8,8 +8,8 @@ share too little after that key (positional filter); pairs that pass are checked
 by a suffix filter and then verified once on their whole sets.
 
 Large groups of near copies do not make all their pairs: in a first round a set is
-only paired with the smallest set of its prefix key and size band, and what is
-linked then is known to be one component.  The second round takes the pairs that are
+only paired with the smallest and with the most central set of its prefix key and
+size band, and what is linked then is known to be one component.  The second round takes the pairs that are
 not in one component yet and may still be linked (see `open_pairs`), so no link is
 lost."""
 
@@ -146,17 +146,28 @@ class Joiner:
         room = before + F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos"))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (room >= needed)
 
+    def begins(self, a: str, b: str):
+        """What holds for entries a and b of similar sets at their first shared key:
+        all that they share stands from there on."""
+        n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+        needed = F.ceil((n + m) * self.percent / (100 + self.percent))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) >= needed)
+
     def hub_rows(self, entries: DataFrame) -> DataFrame:
-        """`key, band, set_id, n, pos, hub, near`: each entry with the smallest set of
-        its key in its size band and in the band below; similar sets lie in one
-        band or in neighbouring ones.  `near`: the two may be similar."""
+        """`key, band, set_id, n, pos, hub, near, mid`: each entry with the smallest set
+        of its key in its size band and in the band below; similar sets lie in one
+        band or in neighbouring ones.  `near`: the two may be similar.  `mid` is the
+        set in which the key stands first, if it may be similar: the text that others
+        are copies of has no rare shingles of its own before the key."""
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.percent))).cast("int")
         banded = entries.withColumn("band", band)
-        hubs = banded.groupBy("key", "band").agg(F.min(F.struct("n", "set_id", "pos")).alias("hub")).select("key", "band", "hub.*")
+        hubs = banded.groupBy("key", "band").agg(F.min(F.struct("n", "set_id", "pos")).alias("hub"), F.min(F.struct("pos", "n", "set_id")).alias("mid"))
         hubs = stored(hubs, "hubs")
-        sides = banded.withColumn("band", F.explode(F.array("band", F.col("band") - 1)))
-        rows = sides.alias("a").join(hubs.alias("b"), ["key", "band"]).filter(F.col("a.set_id") != F.col("b.set_id"))
-        return stored(rows.select("key", "band", "a.set_id", "a.n", "a.pos", F.col("b.set_id").alias("hub"), self.may_link("a", "b").alias("near")), "sides")
+        sides = banded.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).withColumn("own", F.struct("n", "pos", "set_id"))
+        rows = sides.join(hubs, ["key", "band"]).filter(F.col("set_id") != F.col("hub.set_id"))
+        other = (F.col("mid.set_id") != F.col("set_id")) & (F.col("mid.set_id") != F.col("hub.set_id")) & self.may_link("own", "mid")
+        columns = ["key", "band", "set_id", "n", "pos", F.col("hub.set_id").alias("hub"), self.may_link("own", "hub").alias("near"), F.when(other, F.col("mid.set_id")).alias("mid")]
+        return stored(rows.select(*columns), "sides")
 
     def open_pairs(self, rows: DataFrame, labels: DataFrame, first: DataFrame) -> DataFrame:
         """Pairs of different components that may be linked and are not verified.
@@ -165,17 +176,23 @@ class Joiner:
         If both were verified against it and they share nothing outside it, then
         what they share with it already links them both to it.  So they either
         share one of the first keys that the hub lacks (`added`), or one of them
-        was not near the hub; only such pairs are made."""
+        was not near the hub; only such pairs are made, the latter at the first key
+        that they share (`begins`)."""
         marked = rows.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
         groups = marked.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "band")
         left = stored(marked.join(stored(groups, "groups"), ["key", "band"]), "open")
         met = left.filter("near").select(F.col("set_id").alias("a"), F.col("hub").alias("b"), "n", "label").distinct()
-        extra = met.join(first.filter(F.size("added") > 0).select("a", "b", "added"), ["a", "b"]).select(F.col("a").alias("set_id"), F.col("b").alias("hub"), "n", "label", F.explode("added").alias("key"))
+        extra = met.join(first.filter(F.size("added") > 0).select("a", "b", "added", "inside", "outside"), ["a", "b"]).select(
+            F.col("a").alias("set_id"), F.col("b").alias("hub"), "n", "label", "inside", "outside", F.posexplode("added").alias("at", "key")
+        )
         shared = extra.groupBy("hub", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("hub", "key")
         extra = stored(extra.join(stored(shared, "shared"), ["hub", "key"]), "added")
         sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * self.percent
+        # at the first key that they share outside the hub, what follows and what lies in the hub must be enough
+        room = F.least("a.inside", "b.inside") + F.least(F.col("a.outside") - F.col("a.at"), F.col("b.outside") - F.col("b.at"))
+        sizes &= room >= F.ceil((F.col("a.n") + F.col("b.n")) * self.percent / (100 + self.percent))
         one = extra.alias("a").join(extra.alias("b"), ["hub", "key"]).filter((F.col("a.label") < F.col("b.label")) & sizes)
-        late = left.filter(~F.col("near")).alias("a").join(left.alias("b"), ["key", "band"]).filter((F.col("a.label") != F.col("b.label")) & self.may_link("a", "b"))
+        late = left.filter(~F.col("near")).alias("a").join(left.alias("b"), ["key", "band"]).filter((F.col("a.label") != F.col("b.label")) & self.begins("a", "b"))
         ends = [F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")]
         done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return one.select(*ends).union(late.select(*ends)).distinct().join(done, ["a", "b"], "left_anti")
@@ -190,7 +207,8 @@ class Joiner:
         """`pairs` (a, b) plus `linked`, by the suffix filter and the whole sets.
 
         With `added` also the keys of a that b lacks, rare first, as many as any set
-        similar to a must share one of, if it shares with a no more than b does."""
+        similar to a must share one of, if it shares with a no more than b does, and how
+        many keys of a lie inside and outside b."""
         classes, width, percent = self.classes, self.width, self.percent
         one = pairs.join(texts.withColumnsRenamed({"set_id": "a", "packed": "pa"}), "a")
         both = one.join(texts.withColumnsRenamed({"set_id": "b", "packed": "pb"}), "b")
@@ -207,12 +225,12 @@ class Joiner:
                 known = keys_of(list({*left, *right}))
                 if added:
                     found = [against_hub(known[x], known[y], percent) for x, y in zip(left, right)]
-                    return [pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1].view(np.int64) for f in found], pa.list_(pa.int64()))]
+                    return [pa.array([f[0] for f in found], pa.bool_()), pa.array([f[1].view(np.int64) for f in found], pa.list_(pa.int64())), *(pa.array([f[k] for f in found], pa.int32()) for k in (2, 3))]
                 return [pa.array([similar(known[x], known[y], percent) for x, y in zip(left, right)], pa.bool_())]
 
             return fn
 
-        outs = {"linked": "boolean", "added": "array<long>"} if added else {"linked": "boolean"}
+        outs = {"linked": "boolean", "added": "array<long>", "inside": "int", "outside": "int"} if added else {"linked": "boolean"}
         return with_arrow(both, ["pa", "pb"], outs, make, drop=("pa", "pb"), slice_bytes=SLICE)
 
 
@@ -241,8 +259,9 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return int((x[at] == y).sum()) >= needed
 
 
-def against_hub(x: np.ndarray, hub: np.ndarray, percent: int) -> tuple[bool, np.ndarray]:
-    """Whether x and the hub are similar, and the first keys of x outside the hub.
+def against_hub(x: np.ndarray, hub: np.ndarray, percent: int) -> tuple[bool, np.ndarray, int, int]:
+    """Whether x and the hub are similar, the first keys of x outside the hub, and the
+    numbers of keys inside and outside.
 
     A set similar to x shares at least `least_share` keys with it; what it cannot
     share inside the hub it must share outside, and one of these is among the first."""
@@ -250,7 +269,7 @@ def against_hub(x: np.ndarray, hub: np.ndarray, percent: int) -> tuple[bool, np.
     shared = len(x) - len(outside)
     linked = 100 * shared >= percent * (len(hub) + len(outside))
     most = max(1, least_share(len(x), percent) - shared)
-    return linked, outside[: max(0, len(outside) - most + 1)]
+    return linked, outside[: max(0, len(outside) - most + 1)], shared, len(outside)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
@@ -294,7 +313,7 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     entries = joiner.shared_prefixes()
     texts = joiner.texts(members, entries)
     rows = joiner.hub_rows(entries)
-    met = rows.filter("near").select(F.col("set_id").alias("a"), F.col("hub").alias("b")).distinct()
+    met = rows.select(F.col("set_id").alias("a"), F.explode(F.array_compact(F.array(F.when(F.col("near"), F.col("hub")), "mid"))).alias("b")).distinct()
     first = stored(joiner.verify(met, texts, added=True), "pairs")
     links = first.filter("linked").select("a", "b")
     labels = components(links)
