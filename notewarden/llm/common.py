@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
@@ -20,6 +21,8 @@ SLICE_BYTES = 2_000_000
 BATCH_ROWS = 1000
 #: Largest model file that is broadcast to the executors.
 MAX_MODEL_BYTES = 64_000_000
+#: First bytes of a zstd frame (fixed value).
+ZSTD_MAGIC = b"\x28\xb5\x2f\xfd"
 
 
 def importable(spark: SparkSession) -> None:
@@ -59,14 +62,41 @@ def model_bytes(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def row_bytes(column: pa.Array) -> np.ndarray:
+    """Bytes of each row of a column.  Compressed texts (`packed`) count as what they unpack to."""
+    n, kind = len(column), column.type
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    if pa.types.is_binary(kind) or pa.types.is_large_binary(kind):
+        return np.array([unpacked_size(b) for b in column], np.int64)
+    return np.full(n, -(-column.nbytes // max(n, 1)), np.int64)
+
+
+def unpacked_size(data: pa.Scalar) -> int:
+    """Length of a binary value, or what its header says it unpacks to."""
+    body = data.as_buffer()
+    if body is None:
+        return 0
+    head = body.slice(0, min(18, body.size)).to_pybytes()
+    if head[:4] != ZSTD_MAGIC:
+        return body.size
+    try:
+        return max(body.size, zstandard.frame_content_size(head))
+    except zstandard.ZstdError:
+        return body.size
+
+
 def slices(batch: pa.RecordBatch, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows of about `size` bytes; a longer row stands alone."""
+    """The batch in runs of rows of at most `size` bytes, compressed texts measured as
+    unpacked; a longer row stands alone."""
     if not batch.num_rows:
         return
-    per_row = max(1, batch.nbytes // batch.num_rows)
-    step = max(1, size // per_row)
-    for at in range(0, batch.num_rows, step):
-        yield batch.slice(at, step)
+    ends, at = np.cumsum(sum(row_bytes(c) for c in batch.columns)), 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def with_arrow(df: DataFrame, inputs: list[str], outs: dict[str, str], make: Callable, drop: tuple[str, ...] = (), slice_bytes: int = SLICE_BYTES) -> DataFrame:

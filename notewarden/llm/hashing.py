@@ -11,6 +11,8 @@ import pyarrow as pa
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _POWERS = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+#: Powers that a worker keeps; longer tables go when their slice is done.
+KEPT_POWERS = 1 << 21
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -32,12 +34,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_POWERS["up"]) < n:
-        for key, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, U64)
-            steps[0] = 1
-            _POWERS[key] = np.cumprod(steps, dtype=U64)
-    return _POWERS["up"][:n], _POWERS["down"][:n]
+    if len(_POWERS["up"]) >= n:
+        return _POWERS["up"][:n], _POWERS["down"][:n]
+    made = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, U64)
+        steps[0] = 1
+        made.append(np.cumprod(steps, dtype=U64, out=steps))
+    if n <= KEPT_POWERS:
+        _POWERS["up"], _POWERS["down"] = made
+    return made[0], made[1]
 
 
 def rolling(data: np.ndarray) -> np.ndarray:

@@ -22,6 +22,8 @@ QUEUE_ENTRIES = 4_000_000
 #: Letters up to which a string is induced; larger alphabets go to the base case.
 INDUCED_LETTERS = 4096
 NONE = 0xFFFF
+#: Positions in a shard; half the memory of 64-bit ones.
+POS = np.int32
 
 
 class LetterQueues:
@@ -49,13 +51,13 @@ class LetterQueues:
         for a, b in self.runs[letter]:
             if isinstance(a, int):
                 self.disk.seek(a)
-                found.append((np.frombuffer(self.disk.read(8 * b), np.int64), np.frombuffer(self.disk.read(2 * b), np.uint16)))
+                found.append((np.frombuffer(self.disk.read(4 * b), POS), np.frombuffer(self.disk.read(2 * b), np.uint16)))
             else:
                 self.held -= len(a)
                 found.append((a, b))
         self.runs[letter] = []
         if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.uint16)
+            return np.zeros(0, POS), np.zeros(0, np.uint16)
         return np.concatenate([p for p, _ in found]), np.concatenate([s for _, s in found])
 
 
@@ -68,9 +70,9 @@ class Induction:
         ends = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)
         sizes = np.diff(ends, prepend=-1)
         rising = np.append(text[ends[:-1]] < text[ends[:-1] + 1], True)
-        self.rising = np.repeat(rising, sizes)  # S type
-        self.run = np.minimum(np.repeat(ends, sizes) - np.arange(n) + 1, NONE).astype(np.uint16)
-        self.leftmost = np.flatnonzero(self.rising[1:] & ~self.rising[:-1]) + 1
+        s_type = np.repeat(rising, sizes)
+        self.run = np.minimum(np.repeat(ends.astype(POS), sizes) - np.arange(n, dtype=POS) + 1, NONE).astype(np.uint16)
+        self.leftmost = (np.flatnonzero(s_type[1:] & ~s_type[:-1]) + 1).astype(POS)
 
     def seam(self, a: int, b: int) -> int:
         """Shared prefix of an L and an S suffix of the same first letter."""
@@ -129,7 +131,7 @@ class Induction:
                 wanted &= pos > 0
                 last = int(pos[-1])
                 self.emit(queues, pos, shared, wanted, gap, carry)
-            out[letter] = (np.concatenate([p for p, _ in runs]), np.concatenate([s for _, s in runs])) if runs else (np.zeros(0, np.int64), np.zeros(0, np.uint16))
+            out[letter] = (np.concatenate([p for p, _ in runs]), np.concatenate([s for _, s in runs])) if runs else (np.zeros(0, POS), np.zeros(0, np.uint16))
             pos, shared = seeds[letter]
             if len(pos):
                 shared = shared.copy()
@@ -151,17 +153,19 @@ class Induction:
         low = self.scan(self.by_letter(pos, shared), True, carry)
         falling = [(p[::-1], np.append(np.uint16(0), s[::-1][:-1])) if len(p) else (p, s) for p, s in low]
         high = self.scan(falling, False, carry)
-        high[0] = (np.array([len(self.text) - 1]), np.zeros(1, np.uint16))
-        order, lcp = [], []
-        for (lp, ls), (hp, hs) in zip(low, high):
-            if len(lp):
-                order.append(lp)
-                lcp.append(ls)
+        del falling
+        high[0] = (np.array([len(self.text) - 1], POS), np.zeros(1, np.uint16))
+        order, lcp, at = np.empty(len(self.text), POS), np.empty(len(self.text), np.uint16), 0
+        for letter in range(self.letters):
+            (lp, ls), (hp, hs) = low[letter], high[letter]
+            low[letter] = high[letter] = None
+            order[at : at + len(lp)], lcp[at : at + len(ls)] = lp, ls
+            at += len(lp)
             if len(hp):
-                order.append(hp[::-1])
-                first = self.seam(int(lp[-1]), int(hp[-1])) if len(lp) and carry else 0
-                lcp.append(np.append(np.uint16(first), hs[::-1][:-1]))
-        return np.concatenate(order), np.concatenate(lcp)
+                order[at : at + len(hp)], lcp[at + 1 : at + len(hp)] = hp[::-1], hs[::-1][:-1]
+                lcp[at] = self.seam(int(lp[-1]), int(hp[-1])) if len(lp) and carry else 0
+                at += len(hp)
+        return order, lcp
 
 
 def spans_equal(prefix: np.ndarray, powers: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -196,31 +200,34 @@ def suffix_order(text: np.ndarray, depth: int, carry: bool = True) -> tuple[np.n
     ind = Induction(text, depth)
     left = ind.leftmost
     if not len(left):
-        left = np.array([len(text) - 1])
+        left = np.array([len(text) - 1], POS)
     by_first = left[np.argsort(text[left], kind="stable")]
     rough, _ = ind.induce(by_first, np.zeros(len(left), np.uint16), carry=False)
     is_left = np.zeros(len(text), bool)
     is_left[left] = True
     sorted_left = rough[is_left[rough]]
+    del rough, is_left
 
     keys = mix(np.arange(ind.letters).astype(U64) + U64(0x1234567))
     base = np.full(len(text) + 1, 0x9E3779B97F4A7C15, U64)
     base[0] = 1
-    powers = np.cumprod(base, dtype=U64)
+    powers = np.cumprod(base, dtype=U64, out=base)
     prefix = np.zeros(len(text) + 1, U64)
-    np.cumsum(keys[text] * powers[:-1], dtype=U64, out=prefix[1:])
+    np.multiply(keys[text], powers[:-1], out=prefix[1:])
+    np.cumsum(prefix[1:], dtype=U64, out=prefix[1:])
 
-    size = np.zeros(len(text), np.int64)
+    size = np.zeros(len(text), POS)
     size[left] = np.append(np.diff(left), 0) + 1
     a, b = sorted_left[:-1], sorted_left[1:]
     same = size[a] == size[b]
     same[same] &= spans_equal(prefix, powers, a[same], b[same], size[a[same]])
-    named = np.zeros(len(text), np.int64)
+    size = None
+    named = np.zeros(len(text), POS)
     named[sorted_left] = np.cumsum(np.append(0, ~same))
+    names, named = named[left], None  # the end's name is 0 and stands only there
     if not same.any():
         order = sorted_left
     else:
-        names = named[left]  # the end's name is 0 and stands only there
         if names.max() < INDUCED_LETTERS and len(names) > 1000:
             order = left[suffix_order(names, depth, carry=False)[0]]
         else:
@@ -228,11 +235,12 @@ def suffix_order(text: np.ndarray, depth: int, carry: bool = True) -> tuple[np.n
     shared = np.zeros(len(order), np.uint16)
     if carry and len(order) > 1:
         a, b = order[:-1], order[1:]
-        lo, hi = np.zeros(len(a), np.int64), np.minimum(depth, len(text) - np.maximum(a, b))
+        lo, hi = np.zeros(len(a), POS), np.minimum(depth, len(text) - np.maximum(a, b)).astype(POS)
         while (open_ := lo < hi).any():
             mid = (lo + hi + 1) // 2
             ok = spans_equal(prefix, powers, a, b, mid)
             lo = np.where(open_ & ok, mid, lo)
             hi = np.where(open_ & ~ok, mid - 1, hi)
         shared[1:] = lo
+    del prefix, powers, base
     return ind.induce(order, shared, carry)

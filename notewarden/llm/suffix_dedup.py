@@ -14,7 +14,7 @@ windows span (its context) tell what must be compared:
   the hash of their `length` bytes, in as many tasks as there are.
 
 Shards hold whole keys, so equal windows always meet in one shard, and a shard has
-less than twice SHARD_BYTES."""
+less than SHARD_BYTES and KEY_BYTES together."""
 
 from __future__ import annotations
 
@@ -27,8 +27,10 @@ from .hashing import U64, mix, raw_bytes, rolling, span_hash
 from .induced_sort import suffix_order
 
 GRAM, KEY = 8, 64
-#: Bytes of contexts that are sorted at a time; windows of larger keys meet by hash.
-SHARD_BYTES = 3_000_000
+#: Bytes of contexts after which a shard ends.
+SHARD_BYTES = 1_500_000
+#: Largest key that a shard takes.
+KEY_BYTES = 3_000_000
 SLICE = 1_000_000
 
 
@@ -97,13 +99,17 @@ def cut_contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part in slices(batch, SLICE):
-                rows = []
+                rows, held = [], 0
+                schema = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), ("body", pa.binary())])
                 for data, asked_ in zip(part.column("packed").to_pylist(), part.column("asked").to_pylist()):
                     text = unpack(data)
-                    rows += [{"key": a["key"], "context": a["context"], "copies": a["copies"], "body": text[a["first"] : a["last"] + length]} for a in asked_]
-                schema = pa.schema([("key", pa.int64()), ("context", pa.int64()), ("copies", pa.int64()), ("body", pa.binary())])
-                for s in range(0, len(rows), 2000):
-                    yield pa.RecordBatch.from_pylist(rows[s : s + 2000], schema)
+                    for a in asked_:
+                        rows.append({"key": a["key"], "context": a["context"], "copies": a["copies"], "body": text[a["first"] : a["last"] + length]})
+                        held += len(rows[-1]["body"])
+                        if held >= SLICE or len(rows) >= 2000:
+                            yield pa.RecordBatch.from_pylist(rows, schema)
+                            rows, held = [], 0
+                yield pa.RecordBatch.from_pylist(rows, schema)
 
     return asked.join(packed(docs.select("uid", "text"), "text"), "uid").select("packed", "asked").mapInArrow(run, "key long, context long, copies long, body binary")
 
@@ -191,7 +197,7 @@ def hashed_ranges(contexts: DataFrame, length: int) -> DataFrame:
     return places.mapInArrow(collapse, "key long, context long, lo int, hi int")
 
 
-def repeated_ranges(docs: DataFrame, length: int = 200, largest: int = SHARD_BYTES) -> DataFrame:
+def repeated_ranges(docs: DataFrame, length: int = 200, largest: int = KEY_BYTES) -> DataFrame:
     """`uid, lo, hi`: byte ranges of `uid, text` rows that are covered by strings of
     `length` bytes that start at least twice in all rows; ranges may overlap.
 
