@@ -8,7 +8,7 @@ get their default from a spine of the patients.  Patterns do not span two files.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field as dc_field
+from dataclasses import dataclass, field as dc_field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -197,6 +197,21 @@ class Extractor:
         return run_extractors(docs, [self])
 
 
+def tagged(extractor: Extractor, tag: str) -> Extractor:
+    """The extractor with ``tag`` behind all its field names."""
+
+    def derived(fn: Callable[[Column], dict[str, Column]]) -> Callable[[Column], dict[str, Column]]:
+        return lambda v: {n + tag: c for n, c in fn(v).items()}
+
+    return Extractor(
+        lambda: [replace(f, name=f.name + tag) for f in extractor.found()],
+        extractor.types,
+        tuple(n + tag for n in extractor.last),
+        {k + tag: v for k, v in extractor.defaults.items()},
+        {k + tag: derived(fn) for k, fn in extractor.derive.items()},
+    )
+
+
 def _flag(test: Column, name: str, value: str = PRESENT) -> Found:
     return Found(name, F.when(test, F.lit(value)), by_file=False)
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..rows import explode_rows, explode_structs
-from ..session import MAX_RULE_ROWS
+from ..session import MAX_RULE_ROWS, bounded_rows, materialise
 from ..skew import neighbour_items
 
 # Fixed values of the negation test and the drug windows.
@@ -24,6 +24,8 @@ NEGATION_WINDOW = 5
 POSITIVE_WINDOW = 3
 PRESENT, ABSENT = "ada", "tidak"
 DOSE_TAIL, DURATION_TAIL = 80, 150
+#: Letters of an n-gram under which a large dictionary is looked up.
+GRAM = 4
 DOSE_MAX, DURATION_MAX, JOINED_MAX, TERMS_SHOWN = 60, 50, 200, 10
 DOSE_UNITS = r"(?:g|mg|mcg|gr|gram|mili?gram|mcg|ml|cc|IU|unit|mili?liter|mEq)"
 DURATION_PATTERNS = [
@@ -337,45 +339,102 @@ def all_matches(text: Column | str, pattern: str, limit: int | None = None) -> C
     return spans if limit is None else F.slice(spans, 1, limit)
 
 
+MATCHES = "array<struct<label:string,nth:int,start:int,hit:string,context:string>>"
+
+
+def labelled_matches(
+    docs: DataFrame, rules: dict[str, str], keep: list[str], text: str = "text", radius: int = 100, limit: int | None = None, max_len: int = 450
+) -> DataFrame:
+    """One row per match of each labelled pattern: ``keep`` columns, ``label``, ``nth``
+    (from 1, in text order), ``start`` (0-based), ``hit`` and the context of ``radius``
+    characters on both sides.  ``limit`` keeps the first matches of a label in a document.
+
+    Offsets come from the pieces between matches, inside the JVM; a text leaves its
+    row only as contexts."""
+    t = F.col(text)
+
+    def of(label: str, pattern: str) -> Column:
+        def row(m: Column, i: Column) -> Column:
+            context = T.char_context(t, m["start"], m["start"] + F.length(m["hit"]), radius, max_len)
+            return F.struct(F.lit(label).alias("label"), (i + 1).alias("nth"), m["start"].alias("start"), m["hit"].alias("hit"), context.alias("context"))
+
+        return F.coalesce(F.when(t.rlike(pattern), F.transform(all_matches(t, pattern, limit), row)), F.array().cast(MATCHES))
+
+    found = F.flatten(F.array(*[of(label, pattern) for label, pattern in rules.items()]))
+    return explode_structs(docs, keep, found)
+
+
 # ---------------------------------------------------------------------------
 # Drugs
 # ---------------------------------------------------------------------------
-def dose_near(tail: Column, term: str) -> Column:
-    """Dose in the 80 characters after a drug's first mention, under 60 long."""
-    q = T.quote_regex(term)
-    context = F.substring(tail, 1, len(term) + DOSE_TAIL)
+def _dose(context: Column, quoted: Column) -> Column:
     patterns = [
-        r"(?i)(?:" + q + r")[\s:,]*(\d+[.,]?\d*\s*" + DOSE_UNITS + r")(?:\s*(?:/|per)\s*(\d+)\s*(?:jam|hour|hari))?",
-        r"(?i)(\d+\s*[x×]\s*\d+[.,]?\d*\s*(?:g|mg|mcg|gr|gram|ml))",
-        r"(?i)(?:" + q + r")(?:.*?)(/\d+\s*(?:jam|hour))",
+        F.concat(F.lit(r"(?i)(?:"), quoted, F.lit(r")[\s:,]*(\d+[.,]?\d*\s*" + DOSE_UNITS + r")(?:\s*(?:/|per)\s*(\d+)\s*(?:jam|hour|hari))?")),
+        F.lit(r"(?i)(\d+\s*[x×]\s*\d+[.,]?\d*\s*(?:g|mg|mcg|gr|gram|ml))"),
+        F.concat(F.lit(r"(?i)(?:"), quoted, F.lit(r")(?:.*?)(/\d+\s*(?:jam|hour))")),
     ]
-    found = [F.trim(F.regexp_extract(context, p, 0)) for p in patterns]
+    found = [F.trim(F.call_function("regexp_extract", context, p, F.lit(0))) for p in patterns]
     return F.coalesce(*[F.when((f != "") & (F.length(f) < DOSE_MAX), f) for f in found])
 
 
-def duration_near(tail: Column, term: str) -> Column:
-    context = F.substring(tail, 1, len(term) + DURATION_TAIL)
+def _duration(context: Column) -> Column:
     found = [F.trim(F.regexp_extract(context, p, 0)) for p in DURATION_PATTERNS]
     return F.coalesce(*[F.when((f != "") & (F.length(f) < DURATION_MAX), f) for f in found])
 
 
-def medications(
-    docs: DataFrame, drugs: dict[str, list[str]], patient: str = "patient_id", order: str = "source_file",
-    text: str = "text", selected: list[str] | None = None, word_boundary: bool = False, with_windows: bool = True,
-) -> DataFrame:
-    """Per patient and drug class: flag, first ten terms in dictionary order,
-    doses and durations near each term's first mention.
+def dose_near(tail: Column, term: str) -> Column:
+    """Dose in the 80 characters after a drug's first mention, under 60 long."""
+    return _dose(F.substring(tail, 1, len(term) + DOSE_TAIL), F.lit(T.quote_regex(term)))
 
-    The dictionary is compiled into the plan, so it is bounded: more than
-    ``session.MAX_RULE_ROWS`` terms raise.  A document emits only the terms it holds."""
-    chosen = {k: v for k, v in drugs.items() if k.startswith("med_") and (selected is None or k in selected)}
-    if sum(map(len, chosen.values())) > MAX_RULE_ROWS:
-        raise ValueError(f"more than {MAX_RULE_ROWS} drug terms cannot be compiled")
-    if not chosen:
-        return docs.sparkSession.createDataFrame([], f"{patient} string, drug_key string, value string, detail string, dose string, duration string")
-    low = F.col("__low")
-    staged = docs.select(patient, F.col(order).alias("__ord"), F.lower(text).alias("__low"))
-    hits = []
+
+def duration_near(tail: Column, term: str) -> Column:
+    return _duration(F.substring(tail, 1, len(term) + DURATION_TAIL))
+
+
+def drug_hits(docs: DataFrame, terms: DataFrame, patient: str, word_boundary: bool, with_windows: bool) -> DataFrame:
+    """``patient, __ord, drug_key, term_pos, term, dose, duration`` of every term that a
+    document holds, for a dictionary of any size (``drug_key, term_pos, term``).
+
+    An inverted index of letter n-grams: each term is looked up by the n-gram of its
+    own that fewest documents hold, documents meet terms on that n-gram, and only
+    documents with such a term are read again to verify them.  Rows of the index are
+    narrow; a text moves once, with its candidates beside it."""
+    staged = docs.withColumn("__key", F.xxhash64("__low", patient, "__ord"))
+    folded = terms.withColumn("low", F.col("term")).filter(F.length("low") > 0)
+    size = F.least(F.length("low"), F.lit(GRAM))
+
+    def grams(c: Column, n: Column | int) -> Column:
+        last = F.length(c) - n + 1
+        return F.when(last > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(n) if isinstance(n, int) else n))))
+
+    kinds = [r["n"] for r in folded.select(size.alias("n")).distinct().collect()]  # GRAM rows at most
+    if not kinds:
+        kinds = [GRAM]
+    posted = staged.select("__key", F.explode(F.flatten(F.array(*[F.coalesce(grams(F.col("__low"), n), F.array().cast("array<string>")) for n in kinds]))).alias("gram"))
+    asked = folded.select("drug_key", "term_pos", "term", F.explode(grams(F.col("low"), size)).alias("gram"))
+    wanted = asked.select("gram").distinct()
+    held = posted.join(wanted, "gram", "left_semi")
+    held = materialise(held)
+    rare = held.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    # a gram that no document holds rules its term out
+    priced = asked.join(rare, "gram", "left").groupBy("drug_key", "term_pos", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    chosen = priced.filter(F.col("best.n") > 0).select("drug_key", "term_pos", "term", F.col("best.gram").alias("gram"))
+    pairs = held.join(chosen, "gram").groupBy("__key").agg(F.collect_set(F.struct("drug_key", "term_pos", "term")).alias("__terms"))
+    both = staged.join(pairs, "__key")
+    low, term = F.col("__low"), F.col("term")
+    rows = both.select(patient, "__ord", "__low", F.explode(F.filter("__terms", lambda x: low.contains(x["term"]))).alias("__t")).select(patient, "__ord", "__low", "__t.*")
+    quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    if word_boundary:
+        rows = rows.filter(F.regexp_like(low, F.concat(F.lit(r"\b"), quoted, F.lit(r"\b"))))
+    tail = F.substring(low, F.instr(low, term), F.length(term) + DURATION_TAIL)
+    none = F.lit(None).cast("string")
+    dose = _dose(F.substring(tail, F.lit(1), F.length(term) + DOSE_TAIL), quoted) if with_windows else none
+    duration = _duration(tail) if with_windows else none
+    return rows.select(patient, "__ord", "drug_key", "term_pos", "term", dose.alias("dose"), duration.alias("duration"))
+
+
+def _compiled_hits(staged: DataFrame, chosen: dict[str, list[str]], patient: str, word_boundary: bool, with_windows: bool) -> DataFrame:
+    low, hits = F.col("__low"), []
     for key, terms in chosen.items():
         for i, term in enumerate(terms):
             test = low.contains(term)
@@ -394,7 +453,36 @@ def medications(
                     ),
                 )
             )
-    rows = explode_structs(staged, [patient, "__ord"], F.array_compact(F.array(*hits)))
+    return explode_structs(staged, [patient, "__ord"], F.array_compact(F.array(*hits)))
+
+
+def medications(
+    docs: DataFrame, drugs: dict[str, list[str]] | DataFrame, patient: str = "patient_id", order: str = "source_file",
+    text: str = "text", selected: list[str] | None = None, word_boundary: bool = False, with_windows: bool = True,
+    max_terms: int = MAX_RULE_ROWS,
+) -> DataFrame:
+    """Per patient and drug class: flag, first ten terms in dictionary order,
+    doses and durations near each term's first mention.
+
+    Up to ``max_terms`` terms are compiled into the plan; a larger dictionary is
+    joined with the documents by letter n-grams (:func:`drug_hits`), with the same
+    rows.  A document emits only the terms it holds."""
+    if isinstance(drugs, dict):
+        drugs = {k: v for k, v in drugs.items() if k.startswith("med_") and (selected is None or k in selected)}
+        if not drugs:
+            return docs.sparkSession.createDataFrame([], f"{patient} string, drug_key string, value string, detail string, dose string, duration string")
+        compiled = drugs if sum(map(len, drugs.values())) <= max_terms else None
+        table = None if compiled else docs.sparkSession.createDataFrame([(k, i, t) for k, v in drugs.items() for i, t in enumerate(v)], "drug_key string, term_pos int, term string")
+        classes = list(drugs)
+    else:
+        kept = F.col("drug_key").startswith("med_") if selected is None else F.col("drug_key").isin(*selected)
+        table, compiled = drugs.filter(kept), None
+        known = bounded_rows(table.select("drug_key").distinct())
+        if not known:
+            raise ValueError(f"a dictionary needs 1 to {MAX_RULE_ROWS} classes")
+        classes = sorted(r["drug_key"] for r in known)
+    staged = docs.select(patient, F.col(order).alias("__ord"), F.lower(text).alias("__low"))
+    rows = drug_hits(staged, table, patient, word_boundary, with_windows) if compiled is None else _compiled_hits(staged, compiled, patient, word_boundary, with_windows)
     first = rows.groupBy(patient, "drug_key", "term_pos", "term").agg(
         F.min(F.struct("__ord", "dose", "duration")).alias("m")
     )
@@ -414,7 +502,7 @@ def medications(
         joined("dose").alias("dose"),
         joined("duration").alias("duration"),
     )
-    spine = docs.select(patient).distinct().select(patient, F.explode(F.array(*[F.lit(k) for k in chosen])).alias("drug_key"))
+    spine = docs.select(patient).distinct().select(patient, F.explode(F.array(*[F.lit(k) for k in classes])).alias("drug_key"))
     return spine.join(found, [patient, "drug_key"], "left").select(
         patient,
         "drug_key",

@@ -112,10 +112,12 @@ def select_rules(rules: list, fields: list[str] | None):
     return list(rules) if fields is None else [r for r in rules if r.field in fields]
 
 
-def to_wide(record: DataFrame, patient: str, fields: list[str], value: str = "value", field: str = "field") -> DataFrame:
+def to_wide(record: DataFrame, patient: str, fields: list[str], value: str = "value", field: str = "field", rank: str = "rank") -> DataFrame:
     """Pivot with an explicit field list: the schema never depends on the data.
-    Of several values of one field the greatest stands, in every run."""
-    return record.groupBy(patient).pivot(field, fields).agg(F.max(value))
+    Of several values of one field the one of the greatest ``rank`` stands where the
+    record has such a column, else the greatest value, in every run."""
+    best = F.max_by(value, rank) if rank in record.columns else F.max(value)
+    return record.groupBy(patient).pivot(field, fields).agg(best)
 
 
 def to_long(wide: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:

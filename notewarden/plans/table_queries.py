@@ -168,15 +168,15 @@ def path_keys(t: Tables):
 
 
 @query("S-03", """
-WITH l AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 THEN source ELSE source || '/' || lang END AS leaf, source AS top FROM documents WHERE doc_id % 2 = 1 OR lang = 'en'),
+WITH l AS (SELECT DISTINCT CASE WHEN doc_id % 7 = 0 AND length(source) % 2 = 0 THEN source ELSE source || '/' || lang END AS leaf, source AS top FROM documents),
 g AS (SELECT top, count(*) AS n, bool_or(leaf = top) AS holds FROM l GROUP BY 1)
 SELECT DISTINCT CASE WHEN holds OR n = 1 THEN g.top ELSE leaf END AS patient_folder FROM l JOIN g ON g.top = l.top""")
 def patient_folders(t: Tables):
     from ..sources.documents import discover_patients
 
-    d = t.documents.filter((F.col("doc_id") % 2 == 1) | (F.col("lang") == "en"))
-    leaf = F.when(F.col("doc_id") % 7 == 0, F.col("source")).otherwise(F.concat_ws("/", "source", "lang"))
-    return discover_patients(d.select(leaf.alias("folder")), "folder")
+    top = (F.col("doc_id") % 7 == 0) & (F.length("source") % 2 == 0)
+    leaf = F.when(top, F.col("source")).otherwise(F.concat_ws("/", "source", "lang"))
+    return discover_patients(t.documents.select(leaf.alias("folder")), "folder")
 
 
 @query("S-05 J-07", """

@@ -156,18 +156,24 @@ def variance_classes(t: Tables):
 
 
 @query("S-11 J-05", """
-SELECT DISTINCT o_orderpriority AS disease, lower(replace(o_orderpriority, ' ', '_')) AS matched_ref, CAST(2 AS BIGINT) AS n_standards
-FROM orders WHERE lower(replace(o_orderpriority, ' ', '_')) IN ('1-urgent', '4-not_specified')""")
+WITH d AS (SELECT DISTINCT o_orderpriority AS disease FROM orders UNION SELECT 'urgent.json' UNION SELECT 'tanpa berkas')
+SELECT disease, CASE disease WHEN 'urgent.json' THEN 0 WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 2 ELSE 3 END AS rank,
+ CASE disease WHEN 'urgent.json' THEN 'urgent.json' WHEN '1-URGENT' THEN 'urgent.json' WHEN '2-HIGH' THEN '2-HIGH.json' WHEN '3-MEDIUM' THEN 'sedang.json' ELSE 'plain.json' END AS file,
+ CAST(CASE disease WHEN '2-HIGH' THEN 1 WHEN '3-MEDIUM' THEN 0 ELSE 2 END AS BIGINT) AS n_standards
+FROM d WHERE disease IN ('urgent.json', '1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED')""")
 def pathway_lookup(t: Tables):
-    """Diseases matched to pathway catalogues by normalised reference."""
+    """Diseases matched to rule files by file name, stem, name or reference; two have none."""
     from ..sources.profiles import catalogue_frame, match_pathways
 
-    catalogue = catalogue_frame(
-        t.spark,
-        [
-            {"name": "Urgent", "disease_profile_ref": "1-urgent", "standards": {"A": [{"field": "x", "expected": "ada"}, {"field": "y", "expected": 3}]}},
-            {"name": "Plain", "disease_profile_ref": "4-not_specified", "standards": {"A": [{"field": "x", "expected": "ada"}], "B": [{"field": "z", "expected": "ok"}]}},
-        ],
-    )
-    diseases = t.orders.select(F.col("o_orderpriority").alias("disease")).distinct()
-    return match_pathways(diseases, catalogue).select("disease", F.col("disease_ref").alias("matched_ref"), F.col("n_standards").cast("long").alias("n_standards"))
+    field = {"field": "x", "expected": "ada"}
+    files = {
+        "urgent.json": {"name": "Urgent", "disease_profile_ref": "1-urgent", "standards": {"A": [field, {"field": "y", "expected": 3}]}},
+        "2-HIGH.json": {"name": "Tinggi", "standards": {"A": [field]}},
+        "sedang.json": {"name": "3-Medium", "disease_profile_ref": "2-high", "standards": {}},
+        "plain.json": {"name": "Plain", "disease_profile_ref": "4-not_specified", "standards": {"A": [field], "B": [field]}},
+        "late.json": {"name": "Late", "disease_profile_ref": "3-medium", "standards": {}},
+    }
+    extra = t.spark.createDataFrame([("urgent.json",), ("tanpa berkas",)], "disease string")
+    diseases = t.orders.select(F.col("o_orderpriority").alias("disease")).union(extra).distinct()
+    return match_pathways(diseases, catalogue_frame(t.spark, files)).select("disease", "rank", "file", F.col("n_standards").cast("long").alias("n_standards"))
+

@@ -62,12 +62,15 @@ def running_total(
 
 
 def neighbour_items(
-    df: DataFrame, keys: list[str], order: str, head: str, tail: str, n: int, span: int = SPAN
+    df: DataFrame, keys: list[str], order: str, head: str, tail: str, n: int, span: int = SPAN, *, dense: bool = False
 ) -> DataFrame:
     """For rows that hold the first (``head``) and last (``tail``) ``n`` items of
     an array: the ``n`` items before and after each row in the concatenation of
     all rows of the key.  Every row must hold at least one item, so ``n`` rows on
-    either side are enough; the same argument holds for buckets."""
+    either side are enough; the same argument holds for buckets.  Null keys are a
+    key, and rows without an order come first in it.  ``dense`` numbers the order
+    values first, for orders with wide gaps: without it every row of such a key is
+    a bucket of its own."""
     empty = F.array().cast(df.schema[tail].dataType)
 
     def last_n(a: Column) -> Column:
@@ -76,17 +79,23 @@ def neighbour_items(
     def first_n(a: Column) -> Column:
         return F.slice(a, 1, n)
 
-    staged = df.withColumn("__b", bucket_of(order, span))
-    w = Window.partitionBy(*keys, "__b").orderBy(order)
+    at = order
+    if dense:
+        places = assign_sequence(df.select(*keys, order).distinct(), keys, [order], "__place")
+        df, at = _same(df, places, [*keys, order]), "__place"
+    staged = df.withColumn("__b", bucket_of(at, span))
+    w = Window.partitionBy(*keys, "__b").orderBy(at)
     local = staged.withColumns(
         {
             "__pre": last_n(F.flatten(F.collect_list(tail).over(w.rowsBetween(-n, -1)))),
             "__post": first_n(F.flatten(F.collect_list(head).over(w.rowsBetween(1, n)))),
         }
     )
+    # a null order would be passed over by min_by and max_by
+    known = F.struct(F.col(at).isNotNull(), at, F.size("__pre"))
     summary = local.groupBy(*keys, "__b").agg(
-        F.max_by(last_n(F.concat("__pre", tail)), order).alias("__bt"),
-        F.min_by(first_n(F.concat(head, "__post")), order).alias("__bh"),
+        F.max_by(last_n(F.concat("__pre", tail)), known).alias("__bt"),
+        F.min_by(first_n(F.concat(head, "__post")), known).alias("__bh"),
     )
     bw = Window.partitionBy(*keys).orderBy("__b")
     carried = summary.select(
@@ -96,14 +105,14 @@ def neighbour_items(
         first_n(F.flatten(F.collect_list("__bh").over(bw.rowsBetween(1, n)))).alias("__cout"),
     )
     return (
-        local.join(carried, [*keys, "__b"])
+        _same(local, carried, [*keys, "__b"])
         .withColumns(
             {
                 "items_before": last_n(F.concat(F.coalesce("__cin", empty), "__pre")),
                 "items_after": first_n(F.concat("__post", F.coalesce("__cout", empty))),
             }
         )
-        .drop("__b", "__pre", "__post", "__cin", "__cout")
+        .drop("__b", "__pre", "__post", "__cin", "__cout", "__place")
     )
 
 
@@ -128,7 +137,8 @@ def concat_parts(
         (F.row_number().over(Window.partitionBy(*keys).orderBy("__raw")) - 1).cast("long").alias("part"),
         F.count(F.lit(1)).over(Window.partitionBy(*keys)).alias("n_parts"),
     )
-    placed = _same(_same(staged, cut, [*keys, order]), numbered, [*keys, "__raw"])
+    places = _same(cut, numbered, [*keys, "__raw"]).drop("__raw")
+    placed = _same(staged, places, [*keys, order])
     return placed.groupBy(*keys, "part", "n_parts").agg(
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__t").alias("t")))), lambda x: x["t"]),
