@@ -132,12 +132,6 @@ class Joiner:
 
         return self.docs.select("text").mapInArrow(run, "key long, set_id long, n int, pos int")
 
-    def shared_prefixes(self) -> DataFrame:
-        """Prefix entries whose key stands in the prefixes of two sets or more."""
-        dealt = self.prefixes().repartition("key").dropDuplicates(["key", "set_id"])
-        counted = dealt.withColumn("sets", F.count("*").over(Window.partitionBy("key")))
-        return stored(counted.filter("sets > 1").drop("sets"), "prefixes")
-
     def may_link(self, a: str, b: str):
         """Length and positional filter for entries a and b of one key."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
@@ -153,18 +147,24 @@ class Joiner:
         needed = F.ceil((n + m) * self.percent / (100 + self.percent))
         return (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) >= needed)
 
-    def hub_rows(self, entries: DataFrame) -> DataFrame:
-        """`key, band, set_id, n, pos, hub, near, mid`: each entry with the smallest set
-        of its key in its size band and in the band below; similar sets lie in one
+    def hub_rows(self) -> DataFrame:
+        """`key, band, set_id, n, pos, hub, near, mid`: each prefix entry with the smallest
+        set of its key in its size band and in the band below; similar sets lie in one
         band or in neighbouring ones.  `near`: the two may be similar.  `mid` is the
         set in which the key stands first, if it may be similar: the text that others
-        are copies of has no rare shingles of its own before the key."""
+        are copies of has no rare shingles of its own before the key.
+
+        One shuffle by key serves all steps; their windows stream through sorted rows."""
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.percent))).cast("int")
-        banded = entries.withColumn("band", band)
-        hubs = banded.groupBy("key", "band").agg(F.min(F.struct("n", "set_id", "pos")).alias("hub"), F.min(F.struct("pos", "n", "set_id")).alias("mid"))
-        hubs = stored(hubs, "hubs")
-        sides = banded.withColumn("band", F.explode(F.array("band", F.col("band") - 1))).withColumn("own", F.struct("n", "pos", "set_id"))
-        rows = sides.join(hubs, ["key", "band"]).filter(F.col("set_id") != F.col("hub.set_id"))
+        dealt = self.prefixes().repartition("key").dropDuplicates(["key", "set_id"])
+        shared = dealt.withColumn("sets", F.count("*").over(Window.partitionBy("key"))).filter("sets > 1")
+        sides = shared.withColumn("own", band).withColumn("band", F.explode(F.array("own", F.col("own") - 1)))
+        at_home, group = F.col("own") == F.col("band"), Window.partitionBy("key", "band")
+        hubs = sides.withColumns({
+            "hub": F.min(F.when(at_home, F.struct("n", "set_id", "pos"))).over(group),
+            "mid": F.min(F.when(at_home, F.struct("pos", "n", "set_id"))).over(group),
+        }).withColumn("own", F.struct("n", "pos", "set_id"))
+        rows = hubs.filter(F.col("set_id") != F.col("hub.set_id"))
         other = (F.col("mid.set_id") != F.col("set_id")) & (F.col("mid.set_id") != F.col("hub.set_id")) & self.may_link("own", "mid")
         columns = ["key", "band", "set_id", "n", "pos", F.col("hub.set_id").alias("hub"), self.may_link("own", "hub").alias("near"), F.when(other, F.col("mid.set_id")).alias("mid")]
         return stored(rows.select(*columns), "sides")
@@ -178,7 +178,7 @@ class Joiner:
         share one of the first keys that the hub lacks (`added`), or one of them
         was not near the hub; only such pairs are made, the latter at the first key
         that they share (`begins`)."""
-        marked = rows.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+        marked = stored(rows.drop("mid").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "marked")
         groups = marked.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "band")
         left = stored(marked.join(stored(groups, "groups"), ["key", "band"]), "open")
         met = left.filter("near").select(F.col("set_id").alias("a"), F.col("hub").alias("b"), "n", "label").distinct()
@@ -197,9 +197,10 @@ class Joiner:
         done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         return one.select(*ends).union(late.select(*ends)).distinct().join(done, ["a", "b"], "left_anti")
 
-    def texts(self, members: DataFrame, entries: DataFrame) -> DataFrame:
-        """`set_id, packed`: one text of each set that has shared prefix keys."""
-        chosen = members.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("uid").alias("uid")).join(entries.select("set_id").distinct(), "set_id", "left_semi")
+    def texts(self, members: DataFrame, rows: DataFrame) -> DataFrame:
+        """`set_id, packed`: one text of each set that meets another in `rows`."""
+        met = rows.select("set_id").union(rows.select("hub")).distinct()
+        chosen = members.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("uid").alias("uid")).join(met, "set_id", "left_semi")
         found = packed(self.docs, "text").join(chosen, "uid").dropDuplicates(["set_id"])
         return stored(found.select("set_id", "packed"), "texts")
 
@@ -310,9 +311,8 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     keyed = with_uid(docs).select("doc_id", "uid", F.coalesce("text", F.lit("")).alias("text"))
     joiner = Joiner(keyed, percent, width)
     members = stored(joiner.sets(keyed), "members")
-    entries = joiner.shared_prefixes()
-    texts = joiner.texts(members, entries)
-    rows = joiner.hub_rows(entries)
+    rows = joiner.hub_rows()
+    texts = joiner.texts(members, rows)
     met = rows.select(F.col("set_id").alias("a"), F.explode(F.array_compact(F.array(F.when(F.col("near"), F.col("hub")), "mid"))).alias("b")).distinct()
     first = stored(joiner.verify(met, texts, added=True), "pairs")
     links = first.filter("linked").select("a", "b")
