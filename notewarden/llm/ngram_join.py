@@ -181,17 +181,20 @@ class Joiner:
         marked = stored(rows.drop("mid").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "marked")
         groups = marked.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "band")
         left = stored(marked.join(stored(groups, "groups"), ["key", "band"]), "open")
-        met = left.filter("near").select(F.col("set_id").alias("a"), F.col("hub").alias("b"), "n", "label").distinct()
+        met = stored(left.filter("near").select(F.col("set_id").alias("a"), F.col("hub").alias("b"), "n", "label").distinct(), "met")
+        parted = met.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("b")
+        met = met.join(parted, "b")
         extra = met.join(first.filter(F.size("added") > 0).select("a", "b", "added", "inside", "outside"), ["a", "b"]).select(
             F.col("a").alias("set_id"), F.col("b").alias("hub"), "n", "label", "inside", "outside", F.posexplode("added").alias("at", "key")
         )
-        shared = extra.groupBy("hub", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("hub", "key")
-        extra = stored(extra.join(stored(shared, "shared"), ["hub", "key"]), "added")
+        extra = extra.withColumn("at_key", F.xxhash64("hub", "key")).drop("hub", "key")  # a collision is one more pair to verify
+        shared = extra.groupBy("at_key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("at_key")
+        extra = stored(extra.join(stored(shared, "shared"), "at_key"), "added")
         sizes = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * self.percent
         # at the first key that they share outside the hub, what follows and what lies in the hub must be enough
         room = F.least("a.inside", "b.inside") + F.least(F.col("a.outside") - F.col("a.at"), F.col("b.outside") - F.col("b.at"))
         sizes &= room >= F.ceil((F.col("a.n") + F.col("b.n")) * self.percent / (100 + self.percent))
-        one = extra.alias("a").join(extra.alias("b"), ["hub", "key"]).filter((F.col("a.label") < F.col("b.label")) & sizes)
+        one = extra.alias("a").join(extra.alias("b"), "at_key").filter((F.col("a.label") < F.col("b.label")) & sizes)
         late = left.filter(~F.col("near")).alias("a").join(left.alias("b"), ["key", "band"]).filter((F.col("a.label") != F.col("b.label")) & self.begins("a", "b"))
         ends = [F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")]
         done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -201,7 +204,8 @@ class Joiner:
         """`set_id, packed`: one text of each set that meets another in `rows`."""
         met = rows.select("set_id").union(rows.select("hub")).distinct()
         chosen = members.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("uid").alias("uid")).join(met, "set_id", "left_semi")
-        found = packed(self.docs, "text").join(chosen, "uid").dropDuplicates(["set_id"])
+        # equal rows share a uid; one of them is enough, found where the join needs it
+        found = packed(self.docs, "text").repartition("uid").dropDuplicates(["uid"]).join(chosen, "uid")
         return stored(found.select("set_id", "packed"), "texts")
 
     def verify(self, pairs: DataFrame, texts: DataFrame, added: bool = False) -> DataFrame:
@@ -317,7 +321,9 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     first = stored(joiner.verify(met, texts, added=True), "pairs")
     links = first.filter("linked").select("a", "b")
     labels = components(links)
-    second = joiner.verify(joiner.open_pairs(rows, labels, first), texts)
+    pairs = stored(joiner.open_pairs(rows, labels, first), "open-pairs")
+    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
+    second = joiner.verify(pairs, stored(texts.join(stored(ends, "ends"), "set_id", "left_semi"), "open-texts"))
     links = stored(links.union(second.filter("linked").select("a", "b")), "links")
     labels = stored(components(links), "labels")
     labelled = members.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
