@@ -1,9 +1,9 @@
 """Benchmark decontamination with a positional inverted index.
 
 Postings (term, document, position) of the terms that benchmark items use are
-stored, each document's together.  Every window of an item names its rarest term;
-the lists of these few terms, adjusted by the term's offset, give candidate
-alignments of item and document.  Only for these are the neighbouring terms looked
+stored, each document's together.  Every window of an item names its rarest terms;
+the lists of these few terms, adjusted by the term's offset and intersected, give
+candidate alignments of item and document.  Only for these are the other terms looked
 up, and runs of consecutive matches as long as a window are phrase matches.
 
 DataFrame functions only: no Python runs on the executors."""
@@ -53,26 +53,35 @@ def term_counts(index: DataFrame) -> DataFrame:
     return index.groupBy("word").agg(F.count("*").alias("freq"))
 
 
-def anchor_terms(terms: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """`item, j, word`: the rarest term of every window of every item (ties: the
-    first), each place once.  A window with a term that no document has is left out."""
+def anchor_terms(terms: DataFrame, counts: DataFrame, window: int, rarest: int) -> DataFrame:
+    """`item, start, needed, j, word`: the `rarest` rarest places of every window of every
+    item (ties: the first; all places of a shorter window).  A window with a term
+    that no document has is left out."""
     known = terms.join(broadcast_if_small(counts, MAX_TERMS), "word", "left").withColumn("freq", F.coalesce("freq", F.lit(0)))
     last = F.greatest(F.col("n") - window, F.lit(0))
     starts = F.sequence(F.greatest(F.col("j") - window + 1, F.lit(0)), F.least(F.col("j"), last))
     placed = known.select("item", "j", "word", "freq", F.explode(starts).alias("start"))
-    rarest = placed.groupBy("item", "start").agg(F.min(F.struct("freq", "j", "word")).alias("r"))
-    return rarest.filter("r.freq > 0").select("item", "r.j", "r.word").distinct()
+    ranked = placed.withColumn("rank", F.row_number().over(Window.partitionBy("item", "start").orderBy("freq", "j")))
+    least = ranked.filter(F.col("rank") <= rarest).withColumn("least", F.min("freq").over(Window.partitionBy("item", "start")))
+    return least.filter("least > 0").select("item", "start", F.count("*").over(Window.partitionBy("item", "start")).alias("needed"), "j", "word")
 
 
-def phrase_runs(index: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
+def phrase_runs(index: DataFrame, terms: DataFrame, window: int = WINDOW, rarest: int = 2) -> DataFrame:
     """`uid, item, item_id, lo, hi`: maximal runs of document positions that equal as
-    many consecutive item words, at least `window` or the whole of a shorter item."""
-    anchors = anchor_terms(terms, term_counts(index), window)
-    rare = index.join(broadcast_if_small(anchors, MAX_TERMS), "word")
-    candidates = stored(rare.select("uid", "item", (F.col("pos") - F.col("j")).alias("shift"), F.col("j").alias("at")), "candidates")
+    many consecutive item words, at least `window` or the whole of a shorter item.
+
+    The lists of a window's `rarest` rarest terms, adjusted by their offsets, are
+    intersected first; the other terms are looked up only where all of these agree,
+    and only in the documents where some window's do."""
+    anchors = stored(anchor_terms(terms, term_counts(index), window, rarest), "anchors")
+    rare = index.join(broadcast_if_small(anchors.groupBy("item", "j", "word").agg(F.min("needed").alias("needed")), MAX_TERMS), "word")
+    aligned = rare.groupBy("uid", "item", (F.col("pos") - F.col("j")).alias("shift")).agg(F.collect_set("j").alias("js"), F.min("needed").alias("needed"))
+    agreed = aligned.filter(F.size("js") >= F.col("needed")).select("uid", "item", "shift", F.explode("js").alias("j"))
+    starts = agreed.join(broadcast_if_small(anchors.select("item", "j", "start", "needed"), MAX_TERMS), ["item", "j"])
+    candidates = stored(starts.groupBy("uid", "item", "shift", "start", "needed").agg(F.count("*").alias("found")).filter("found = needed").select("uid", "item", "shift", "start"), "candidates")
     item_words = broadcast_if_small(terms.select("item", "n", "j", "word"), MAX_TERMS)
-    near = (F.col("j") > F.col("at") - window) & (F.col("j") < F.col("at") + window)
-    expected = candidates.join(item_words, "item").filter(near).select("uid", "item", "n", "shift", "j", "word", (F.col("shift") + F.col("j")).alias("pos")).filter("pos >= 0").distinct()
+    inside = (F.col("j") >= F.col("start")) & (F.col("j") < F.col("start") + window)
+    expected = candidates.join(item_words, "item").filter(inside).select("uid", "item", "n", "shift", "j", "word", (F.col("shift") + F.col("j")).alias("pos")).filter("pos >= 0").distinct()
     chosen = index.join(broadcast_if_small(candidates.select("uid").distinct(), MAX_CANDIDATES), "uid", "left_semi").distinct()
     matched = expected.join(chosen, ["uid", "pos", "word"])
     run = F.col("j") - F.row_number().over(Window.partitionBy("uid", "item", "shift").orderBy("j"))
@@ -93,7 +102,7 @@ def proximity_matches(index: DataFrame, terms: DataFrame, rarest: int = 3, slop:
     counts = terms.select("item", "item_id", "word").distinct().join(broadcast_if_small(term_counts(index), MAX_TERMS), "word", "left")
     ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.coalesce("freq", F.lit(0)), "word"))).filter(F.col("rank") <= rarest)
     ranked = ranked.withColumn("needed", F.count("*").over(Window.partitionBy("item")))
-    lists = index.distinct().join(broadcast_if_small(ranked.select("item", "item_id", "word", "rank", "needed"), MAX_TERMS), "word")
+    lists = index.join(broadcast_if_small(ranked.select("item", "item_id", "word", "rank", "needed"), MAX_TERMS), "word").distinct()
     bucket = F.floor(F.col("pos") / slop)
     head = lists.filter("rank = 1").select("uid", "item", "item_id", "needed", F.col("pos").alias("at"), bucket.alias("bucket"))
     near = lists.filter("rank > 1").select("uid", "item", "pos", "rank", F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
