@@ -59,15 +59,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
     path = scratch(spark, "warc")
     warc.write_archives(warc.page_records(pages), path)
-    back = warc.read_archives(spark, path)
-    revisit = F.col("record_type") == "revisit"
+    responses = warc.read_archives(spark, path).filter("record_type = 'response'").withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
+    revisits = warc.read_archives(spark, path, payload=False).filter("record_type = 'revisit'").withColumn("n", F.col("payload_length")).withColumn("digest", F.substring_index("payload_digest", ":", -1))
     page_of = lambda c: F.regexp_extract(c, r"page:(-?\d+)", 1).try_cast("long")
-    return back.select(
-        page_of("record_id").alias("page_id"),
-        F.when(revisit, F.col("payload_length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
-        F.when(revisit, F.substring_index("payload_digest", ":", -1)).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
-        "record_type",
-        page_of("refers_to").alias("refers_to"),
+    return responses.unionByName(revisits).select(
+        page_of("record_id").alias("page_id"), F.col("n").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", page_of("refers_to").alias("refers_to")
     )
 
 

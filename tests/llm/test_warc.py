@@ -82,3 +82,61 @@ def test_empty_table(spark):
     out = scratch(spark, "warc-empty")
     warc.write_archives(warc.page_records(spark.createDataFrame([], "page_id long, url string, html string")), out)
     assert warc.read_archives(spark, out).collect() == []
+
+
+def test_second_write_keeps_the_first(spark):
+    out = scratch(spark, "warc-twice")
+    pages = lambda *rows: warc.page_records(spark.createDataFrame(list(rows), "page_id long, url string, html string, URL2 string"))
+    warc.write_archives(pages((1, "http://x/a%20b", "one", "")), out)
+    warc.write_archives(pages((2, " http://x/100%25/a%0Ab\n", "two", "")), out)
+    rows = {r.record_id: (r.target_uri, r.payload) for r in warc.read_archives(spark, out).collect()}
+    assert rows == {"<urn:page:1>": ("http://x/a%20b", b"one"), "<urn:page:2>": (" http://x/100%25/a%0Ab\n", b"two")}
+    pages((3, None, None, "")).write.format("warc").mode("overwrite").save(out)
+    assert [r.record_id for r in warc.read_archives(spark, out).collect()] == ["<urn:page:3>"]
+
+
+def test_uris_stand_as_they_are():
+    row = dict(record_id="<1>", record_type="response", target_uri="http://x/a%20b?c=%0A", warc_date=None, payload_digest=None, refers_to=None, payload_length=None, payload=b"p")
+    data = warc.build_record(row)
+    assert b"WARC-Target-URI: http://x/a%20b?c=%0A\r\n" in data and warc.CODED.encode() not in data
+    for uri in (row["target_uri"], "a\r\nWARC-Type: x%0A", " x ", "", "é\n%25"):
+        assert next(warc.read_archive(Counted(warc.build_record({**row, "target_uri": uri})), {}, True))["target_uri"] == uri
+
+
+def test_several_records_in_a_member():
+    data = b"".join(record(i, b"p" * i) for i in (0, 3000, 70000))
+    for pack in (gzip.compress(data), gzip.compress(data) + warc.gzip_member(record(5, b"last")) + gzip.compress(data)):
+        rows = list(warc.read_archive(Counted(pack), {}, True))
+        assert [len(r["payload"]) for r in rows][:3] == [0, 3000, 70000] and len(rows) in (3, 7)
+        assert {r["record_id"] for r in warc.read_archive(Counted(pack), {"record_id": "<3000>"}, False)} == {"<3000>"}
+
+
+@pytest.mark.parametrize("pack", [lambda b: b, gzip.compress, warc.gzip_member])
+def test_cut_short_raises(pack):
+    data = pack(record(1, bytes(range(256)) * 200))
+    for n in (10, 100, len(data) // 2):
+        with pytest.raises(ValueError):
+            list(warc.read_archive(Counted(data[:n]), {}, True))
+        with pytest.raises(ValueError):
+            list(warc.read_archive(Counted(data[:n]), {"record_id": "<9>"}, False))
+
+
+def test_small_records_share_requests():
+    class Requests(Counted):
+        made = 0
+
+        def read(self, n=-1):
+            self.made += 1
+            return super().read(n)
+
+    f = Requests(b"".join(warc.gzip_member(record(i, b"p" * 500)) for i in range(4000)))
+    assert len(list(warc.read_archive(f, {}, True))) == 4000 and f.made < 40 and f.taken <= f.size()
+    big = Requests(b"".join(warc.gzip_member(record(i, __import__("os").urandom(300_000))) for i in range(20)))
+    assert len(list(warc.read_archive(big, {}, False))) == 20 and big.taken < 20 * 10_000
+
+
+def test_files_end_at_a_size(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "u", str(i) * 50) for i in range(40)], "page_id long, url string, html string").coalesce(1)
+    warc.register(spark)
+    warc.page_records(pages).coalesce(1).write.format("warc").option("file_bytes", "1000").mode("append").save(str(tmp_path / "w"))
+    assert len(list((tmp_path / "w").glob("*.warc.gz"))) > 3 and warc.read_archives(spark, str(tmp_path / "w")).count() == 40
