@@ -64,3 +64,52 @@ def test_operator(spark):
     got = out.collect()
     assert [r.text for r in got][:3] == ["", "é 🙂", "é 🙂"] and got[3].text.count("\n") == 19999
     assert H.extract_text(out.limit(0)).collect() == []
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    tree = H.train_tree(H.LABELLED_BLOCKS)
+    hostile = ["<script " * 60000, "<b>" * 60000 + "<div></div>" * 30000, '<a "' * 120000, '<a b="' * 80000, "<!-" * 150000, "<p>" * 150000, "<li><a>" * 70000, "<head><noscript>" * 30000, "<" * 500000, "<a b='\"" * 60000]
+    for page in hostile:
+        start = time.process_time()
+        H.main_text(page, tree)
+        assert time.process_time() - start < 5, page[:20]
+
+
+def test_hidden_is_an_attribute():
+    for attrs in ('title="The hidden truth"', 'class="w-4 hidden md:block"', 'data-x="aria-hidden=true"', "alt='a hidden b'", 'data-style="display:none"'):
+        assert text_of(f"<article {attrs}><p>Text of it.</p></article>") == "Text of it.", attrs
+    for attrs in ("hidden", 'hidden=""', 'style="color:red;display : none"', "aria-hidden=true", "HIDDEN"):
+        assert text_of(f"<article><p>a</p><div {attrs}><p>no</p></div></article>") == "a", attrs
+
+
+def test_form_around_the_page():
+    page = '<body><form method="post"><nav><a href=a>Menu</a></nav>{}<form><label>Name</label></form></form></body>'
+    assert text_of(page.replace("{}", "<article><p>Text of it.</p></article>")) == "Text of it."
+    assert text_of("<article><p>a</p><form><p>Your name here please</p></form></article>") == "a"
+
+
+def test_headlines_and_short_paragraphs_without_article():
+    long = " ".join(["word"] * 40)
+    assert text_of("<h1>Great news</h1><p>It rained today.</p>") == "Great news\nIt rained today."
+    assert text_of(f"<nav><a href=a>Home</a></nav><h1>Great news</h1><p>{long}</p><p>Yes.</p><p>{long}</p>") == f"Great news\n{long}\nYes.\n{long}"
+
+
+def test_final_names_whatever_their_length():
+    long = " ".join(["word"] * 130)
+    names = ("ad", "related", "sidebar", "cookie-notice", "comments", "c-sidebar__box", "adsbygoogle", "user-comments-v2", "sponsored-content", "newsletter-signup")
+    for name in names:
+        part = f'<div class="x {name}"><p>{long}</p></div>'
+        assert text_of(f"<article><p>a</p>{part}</article>") == "a", name
+        assert text_of(f"<p>{long} end</p>{part}<p>{long} end</p>") == f"{long} end\n{long} end", name
+    assert text_of(f'<div id="content-sidebar-wrap"><p>{long}</p></div>') == long
+    assert text_of('<div class="sidebar-layout sidebar"><main><p>Text of it.</p></main></div>') == "Text of it."
+    assert text_of(f'<div class="comments"><article><p>{long}</p></article></div>') == ""
+
+
+def test_odd_markup():
+    assert text_of("<article><p>a < b > c</p><p>1<2</p></article>") == "a < b > c\n1<2"
+    assert text_of('<article><a href="x>linked</a> and more</article>') == "linked and more"
+    assert text_of("<article><!-->a<!-- x --><?php b ?>c</></article>") == "ac"
+    assert text_of("<article><SCRIPT>if (a</b>) '</scripty>'</SCRIPT >t<textarea>no</textarea></article>") == "t"
