@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -120,10 +122,22 @@ def with_arrow(df: DataFrame, inputs: list[str], outs: dict[str, str], make: Cal
             for part in slices(batch, slice_bytes):
                 cols = part.columns
                 yield pa.RecordBatch.from_arrays([*cols[:n_keep], *fn(*cols[n_keep:])], names=names)
+        batch = part = cols = fn = None
+        give_back()
 
     return work.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Memory that a task no longer needs goes back to the system, so that workers that
+    wait for later stages hold none of it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def texts_of(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
@@ -161,6 +175,8 @@ def tally(df: DataFrame, inputs: list[str], size: int, make: Callable, slice_byt
         for at in range(0, len(found), 1 << 16):
             k = found[at : at + (1 << 16)]
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[0, k]), pa.array(total[1, k])], names=["k", "a", "b"])
+        batch = part = total = found = add = None
+        give_back()
 
     rows = df.select(*inputs).mapInArrow(run, "k long, a long, b long")
     summed = rows.groupBy("k").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()
