@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import REGISTRY, Query
 
-FAMILIES = ["text_queries", "redaction_queries", "variance_queries", "table_queries", "extraction_queries", "clinical_queries", "stream_queries", "run_queries"]
+FAMILIES = ["text_queries", "redaction_queries", "variance_queries", "table_queries", "extraction_queries", "clinical_queries", "stream_queries", "run_queries", "evidence_queries"]
 
 
 def load_all() -> dict[str, Query]:
