@@ -326,3 +326,56 @@ def patient_context(t: Tables):
     s = L.compact_snippets(t.spread("documents").select("source", "doc_id", "text"), ["source", "doc_id"], SNIPPET_GROUPS)
     ctx = L.patient_context(L.top_snippets(s, ["source", "doc_id"], limits).drop("rank"), "source", ["doc_id"], limits)
     return ctx.select("source", "doc_id", "group", "snippet", F.col("rank").cast("long").alias("place"))
+
+
+CONTEXT_GROUPS = {"LAB": ["nicht", "ungheit", "tion"], "DIAGNOSIS_STROKE": ["hein", "thanish"], "NEURO_EXAM": ["ment", "keit"], "OUTCOME_LOS": ["than the"]}
+CONTEXT_QUOTAS = {"LAB": 4, "DIAGNOSIS_STROKE": 3, "NEURO_EXAM": 3, "OUTCOME_LOS": 2}
+CONTEXT_FILES = ["resume", "rad", "lab", "cppt_igd", "cppt_ranap", "surat"]
+CONTEXT_TYPES = ["resume", "radiology", "lab", "cppt_igd", "cppt_ranap", "other"]
+SHOWN = {
+    "LAB": ["lab", "resume", "other"], "DIAGNOSIS_STROKE": ["radiology", "resume", "cppt_igd", "other"],
+    "NEURO_EXAM": ["resume", "cppt_igd", "cppt_ranap", "other"], "OUTCOME_LOS": ["resume", "cppt_ranap", "other"],
+}
+WRITTEN = ["DIAGNOSIS_STROKE", "ONSET_CHIEF_COMPLAINT", "NEURO_EXAM", "VITAL_SIGNS", "RADIOLOGY_CT", "LAB", "THERAPY_CP_AUDIT", "OUTCOME_LOS"]
+
+
+def _context_sql() -> str:
+    quota = "CASE grp " + " ".join(f"WHEN '{g}' THEN {n}" for g, n in CONTEXT_QUOTAS.items()) + " END"
+    hits = " UNION ALL ".join(
+        f"SELECT doc_id, {n} AS search_no, '{g}' AS grp, block_no, list_filter({sorted(ws)!r}, lambda k: contains(lower(block), k)) AS matched, j FROM w JOIN dd USING (doc_id) WHERE doc_type IN ({', '.join(repr(x) for x in SHOWN[g])})"
+        for n, (g, ws) in enumerate(CONTEXT_GROUPS.items())
+    )
+    sections = " || ".join(
+        f"chr(10) || chr(10) || '===== {g} =====' || chr(10) || coalesce((SELECT string_agg(entry, chr(10) ORDER BY nth) FROM sh WHERE sh.patient_id = p.patient_id AND grp = '{g}'), '[NO RELEVANT SNIPPET FOUND]')"
+        for g in WRITTEN
+    )
+    return f"""WITH {BLOCKS_SQL},
+dd AS (SELECT doc_id, source || '/' || (doc_id // 100) AS patient_id, {CONTEXT_TYPES!r}[doc_id % 6 + 1] AS doc_type, [1,2,3,4,5,9][doc_id % 6 + 1] AS prio, {CONTEXT_FILES!r}[doc_id % 6 + 1] || '_' || doc_id || '.txt' AS file FROM documents),
+w AS (SELECT *, CASE WHEN lag(block) OVER x IS NULL THEN '' ELSE lag(block) OVER x || ' ' END || block || coalesce(' ' || lead(block) OVER x, '') AS j FROM b WINDOW x AS (PARTITION BY doc_id ORDER BY block_no)),
+h AS (SELECT doc_id, search_no, grp, block_no, matched, CASE WHEN length(j) > 650 THEN left(j, 650) || ' ...[truncated]' ELSE j END AS snippet FROM ({hits}) WHERE len(matched) > 0),
+d AS (SELECT *, md5(trim(regexp_replace(lower(snippet), '\\s+', ' ', 'g'))) AS hash FROM h),
+u AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp, hash ORDER BY block_no) AS rn FROM d),
+tp AS (SELECT *, row_number() OVER (PARTITION BY doc_id, grp ORDER BY block_no) AS place FROM u WHERE rn = 1),
+o AS (SELECT dd.patient_id, prio, file, doc_type, search_no, grp, block_no, matched, snippet, hash FROM tp JOIN dd USING (doc_id) WHERE place <= CASE WHEN doc_type = 'cppt_ranap' THEN least({quota}, 2) ELSE {quota} END),
+fi AS (SELECT *, row_number() OVER (PARTITION BY patient_id, hash ORDER BY prio, file, search_no, block_no) AS f FROM o),
+ra AS (SELECT *, row_number() OVER (PARTITION BY patient_id, grp ORDER BY prio, file, search_no, block_no) AS nth FROM fi WHERE f = 1),
+sh AS (SELECT patient_id, grp, nth, chr(10) || '[' || nth || '] source: ' || file || ' | doc_type: ' || doc_type || ' | matched: ' || array_to_string(matched, ', ') || chr(10) || snippet AS entry FROM ra WHERE nth <= {quota}),
+p AS (SELECT patient_id, count(*) AS n_documents, string_agg('- ' || file || ' | doc_type: ' || doc_type, chr(10) ORDER BY prio, file) AS listed FROM dd GROUP BY 1),
+t AS (SELECT patient_id, n_documents, (SELECT count(*) FROM sh WHERE sh.patient_id = p.patient_id) AS n_snippets,
+ 'PATIENT_ID: ' || patient_id || chr(10) || chr(10) || '===== DOCUMENTS FOUND =====' || chr(10) || listed || chr(10) || chr(10) || '===== INSTRUCTION FOR LLM =====' || chr(10)
+ || 'Filtered anonymized EMR context.' || chr(10) || 'Extract only explicitly documented information.' || chr(10) || 'Do not guess undocumented NIHSS, mRS, onset, diagnosis, or treatment.' || chr(10)
+ || 'Use unknown if not found and unclear if ambiguous.' || chr(10) || {sections} AS whole FROM p),
+c AS (SELECT *, CASE WHEN length(whole) > 8000 THEN left(whole, 8000) || chr(10) || chr(10) || '...[OUTPUT TRUNCATED AT 8000 CHARACTERS FOR LOCAL LLM]' ELSE whole END AS context FROM t)
+SELECT patient_id, context, length(context) AS n_chars, n_documents, n_snippets FROM c"""
+
+
+@query("E-48 E-47 E-46 E-45 P-19 W-07 W-08 W-10", _context_sql())
+def context_texts(t: Tables):
+    """Documents to the text of a patient: order of types, allowed groups, quotas per
+    document and patient, snippets once per patient, budget."""
+    from ..operators import classify as C, context as X
+
+    i = F.col("doc_id")
+    name = F.concat(F.element_at(F.array(*[F.lit(f) for f in CONTEXT_FILES]), (i % 6 + 1).cast("int")), F.lit("_"), i.cast("string"), F.lit(".txt"))
+    d = t.spread("documents").select(F.concat("source", F.lit("/"), F.floor(i / 100).cast("string")).alias("patient_id"), name.alias("source_file"), "text")
+    return X.context_texts(d.withColumn("doc_type", C.doc_type_by_name("source_file")), X.ContextRules(CONTEXT_GROUPS, quotas=CONTEXT_QUOTAS))
