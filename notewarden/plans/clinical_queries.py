@@ -326,16 +326,19 @@ def resume_rows(t: Tables):
     return N.resume_rows(N.clinical_variables(typed_notes(t))).select("patient_id", "diagnosis_stroke", "kondisi_pulang", "statin", "mrs")
 
 
-@query("A-22 E-33", f"""
-WITH v AS ({expect(**{n: VARIABLES[n] for n in ("diagnosis_stroke", "gcs", "statin")})})
-SELECT patient_id, 'Diagnosis stroke tercatat' AS item, CASE WHEN diagnosis_stroke <> '' THEN 'Terpenuhi' ELSE 'Belum ditemukan' END AS status, diagnosis_stroke AS note FROM v
-UNION ALL SELECT patient_id, 'GCS tercatat & valid', CASE WHEN gcs <> '' THEN 'Terpenuhi' ELSE 'Belum ditemukan' END, gcs FROM v
-UNION ALL SELECT patient_id, 'Statin tercatat', CASE WHEN statin <> '' THEN 'Terpenuhi' ELSE 'Belum ditemukan' END, statin FROM v""")
+AUDITED = [
+    ("Diagnosis stroke tercatat", "diagnosis_stroke"), ("Onset tercatat", "onset"), ("GCS tercatat & valid", "gcs"), ("Tekanan darah awal tercatat", "tekanan_darah_awal"),
+    ("GDS tercatat & valid", "gula_darah_sewaktu"), ("CT scan tercatat", "hasil_ct_scan"), ("Terapi antiplatelet tercatat", "terapi_antiplatelet"),
+    ("Statin tercatat", "statin"), ("Kondisi pulang tercatat", "kondisi_pulang"), ("mRS tercatat", "mrs"),
+]
+
+
+@query("A-22 E-33", f"WITH v AS ({expect(**{c: {**VARIABLES, 'gula_darah_sewaktu': chr(39) * 2}[c] for _, c in AUDITED})}) " + " UNION ALL ".join(
+    f"SELECT patient_id, '{item}' AS item, CASE WHEN {c} <> '' THEN 'Terpenuhi' ELSE 'Belum ditemukan' END AS status, {c} AS note FROM v" for item, c in AUDITED))
 def pathway_audit(t: Tables):
     from ..operators import audit as A, nested as N
 
-    items = [i for i in A.AUDIT_ITEMS if i[1] in ("diagnosis_stroke", "gcs", "statin")]
-    return A.documentation_audit(N.clinical_variables(typed_notes(t)), ["patient_id"], items)
+    return A.documentation_audit(N.clinical_variables(typed_notes(t)), ["patient_id"])
 
 
 NESTED_SQL = f"""

@@ -191,14 +191,16 @@ LIMITS = "VALUES ('gcs',3,15),('td_sistol',60,260),('hr',30,250),('suhu',35,42),
 
 
 @query("P-13", f"""
-SELECT record_id, field, TRY_CAST(replace(v, ',', '.') AS DOUBLE) AS number, v IN ('ada','tidak') OR starts_with(v,'ada') AS categorical
-FROM (SELECT record_id, field, nullif(nullif(value,'unknown'),'') AS v FROM {RAW_SQL})
-WHERE field <> 'catatan' AND v IS NOT NULL""")
+SELECT record_id, field, categorical, CASE WHEN field <> 'catatan' THEN n END AS number,
+ CASE WHEN categorical OR field = 'catatan' THEN v WHEN n = floor(n) THEN CAST(CAST(n AS BIGINT) AS VARCHAR) ELSE CAST(n AS VARCHAR) END AS value
+FROM (SELECT record_id, field, v, v IN ('ada','tidak') OR starts_with(v,'ada') AS categorical, TRY_CAST(replace(v, ',', '.') AS DOUBLE) AS n
+ FROM (SELECT record_id, field, nullif(nullif(value,'unknown'),'') AS v FROM {RAW_SQL}))""")
 def coerce_types(t: Tables):
+    """Numbers, categories, texts and missing values, of every record and field."""
     kinds = {f: "numeric" for f in ["gcs", "td_sistol", "hr", "suhu", "lab_hb", "lab_gds"]}
-    r = raw_values(t).withColumn("value", T.missing_to_null("value")).filter((F.col("field") != "catatan") & F.col("value").isNotNull())
+    r = raw_values(t).withColumn("value", T.missing_to_null("value"))
     flagged = r.withColumn("categorical", Rec.is_categorical(F.col("value")))
-    return Rec.coerce(flagged, kinds).select("record_id", "field", "number", "categorical")
+    return Rec.coerce(flagged, kinds).select("record_id", "field", "value", "number", "categorical")
 
 
 @query("P-14 J-06", f"""
@@ -257,12 +259,12 @@ def field_aliases(t: Tables):
     return Rec.prefixed(aliased, {"Vital Sign": "vital_"}).select("record_id", "field", "value")
 
 
-@query("S-06", """
-SELECT doc_id, text FROM documents WHERE regexp_matches(text, '^[\\x{00}-\\x{FF}]*$')""")
+@query("S-06", "SELECT doc_id, text FROM documents")
 def decode_bytes(t: Tables):
-    d = t.documents.filter(F.col("text").rlike(r"^[\x{00}-\x{FF}]*$"))
-    raw = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
-    return d.select("doc_id", T.decode_bytes(raw).alias("text"))
+    """Every document as bytes: UTF-8, or Latin-1 for every second one that has no other letters."""
+    latin = (F.col("doc_id") % 2 == 1) & F.col("text").rlike(r"^[\x{00}-\x{FF}]*$")
+    raw = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    return t.documents.select("doc_id", T.decode_bytes(raw).alias("text"))
 
 
 @query("S-21", """
