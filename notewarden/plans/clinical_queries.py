@@ -144,10 +144,10 @@ CT = "k % 3 <> 0"
     ct_aspects=when(CT, text("k % 11")),
     ct_perdarahan=when(CT, "CASE k % 4 WHEN 1 THEN 'ada' WHEN 2 THEN 'tidak_ada' END"),
     ct_midline_shift=when(CT, "CASE k % 5 WHEN 0 THEN 'tidak_ada' WHEN 1 THEN 'ada' END"),
-    ct_atrofi=when("k % 3 = 1", "'ada'"), ct_tanggal=when(CT, "'2026-05-06'"),
+    ct_atrofi=when("k % 3 = 1", "'ada'"), ct_hidrosefalus="CAST(NULL AS VARCHAR)", ct_tanggal=when(CT, "'2026-05-06'"),
     ct_result=when(CT, "'lesi lama pada hemisfer kiri'")))
 def ct_reports(t: Tables):
-    fields = ["ct_documented", "ct_infark_lokasi", "ct_aspects", "ct_perdarahan", "ct_midline_shift", "ct_atrofi", "ct_tanggal", "ct_result"]
+    fields = ["ct_documented", "ct_infark_lokasi", "ct_aspects", "ct_perdarahan", "ct_midline_shift", "ct_hidrosefalus", "ct_atrofi", "ct_tanggal", "ct_result"]
     return wide(t, K.ct_scan(clinical_notes(t)), fields)
 
 
@@ -176,7 +176,9 @@ def fever_tracking(t: Tables):
 
 
 LAB = dict(
-    lab_hb="(10 + k % 6) || '.' || (k % 10)", lab_leukosit=text("5000 + k"), lab_kreatinin="'0.' || (k % 10)", lab_ureum=when("k % 3 = 0", "'33'"), lab_natrium="CAST(NULL AS VARCHAR)"
+    lab_hb="(10 + k % 6) || '.' || (k % 10)", lab_leukosit=text("5000 + k"), lab_kreatinin="'0.' || (k % 10)", lab_ureum=when("k % 3 = 0", "'33'"),
+    **{f"lab_{n}": "CAST(NULL AS VARCHAR)" for n in (
+        "trombosit", "gds", "ht", "eritrosit", "natrium", "kalium", "asam_urat", "inr", "ldl", "kolesterol_total", "trigliserida", "hba1c")},
 )
 
 
@@ -192,7 +194,7 @@ def lab_values_by_priority(t: Tables):
 
 RISK = dict(
     rf_hipertensi=f"CASE WHEN {R} AND k % 3 = 0 THEN 'ada' ELSE 'tidak' END", rf_diabetes=f"CASE WHEN {R} AND k % 3 = 1 THEN 'ada' ELSE 'tidak' END", rf_merokok="'tidak'",
-    rf_atrial_fibrilasi="'tidak'",
+    rf_atrial_fibrilasi="'tidak'", rf_dislipidemia="'tidak'", rf_jantung="'tidak'", rf_stroke_sebelumnya="'tidak'", rf_obesitas="'tidak'",
     rpd_text=when(R, "['hipertensi sejak lama tanpa kontrol','diabetes melitus lama sekali','tidak ada keluhan berarti'][k % 3 + 1]"),
 )
 
@@ -202,16 +204,19 @@ def risk_factors(t: Tables):
     return wide(t, K.risk_factors(clinical_notes(t)), list(RISK))
 
 
-@query("E-25", expect(
-    act_fisioterapi="CASE WHEN k % 2 = 1 THEN 'ada' ELSE 'tidak' END", act_konsul_gizi="CASE WHEN k % 2 = 1 AND k % 5 = 1 THEN 'ada' ELSE 'tidak' END", act_konsul_jantung="'tidak'"))
+ACTION = {f"act_{n}": "'tidak'" for n in ("konsul_neurologi", "konsul_bedah_saraf", "konsul_jantung", "rawat_icu_hcu", "skrining_menelan", "edukasi_keluarga")} | dict(
+    act_fisioterapi="CASE WHEN k % 2 = 1 THEN 'ada' ELSE 'tidak' END", act_konsul_gizi="CASE WHEN k % 2 = 1 AND k % 5 = 1 THEN 'ada' ELSE 'tidak' END")
+
+
+@query("E-25", expect(**ACTION))
 def clinical_actions(t: Tables):
-    return wide(t, K.actions(clinical_notes(t)), ["act_fisioterapi", "act_konsul_gizi", "act_konsul_jantung"])
+    return wide(t, K.actions(clinical_notes(t)), list(ACTION))
 
 
 @query("E-26", expect(
-    med_aspirin=f"CASE WHEN {R} THEN 'diberikan' ELSE 'tidak_tercatat' END", med_statin=f"CASE WHEN {R} AND k % 2 = 0 THEN 'diberikan' ELSE 'tidak_tercatat' END", med_citicoline="'tidak_tercatat'"))
+    med_aspirin=f"CASE WHEN {R} THEN 'diberikan' ELSE 'tidak_tercatat' END", med_statin=f"CASE WHEN {R} AND k % 2 = 0 THEN 'diberikan' ELSE 'tidak_tercatat' END", med_citicoline="'tidak_tercatat'", med_clopidogrel="'tidak_tercatat'"))
 def drug_flags(t: Tables):
-    return wide(t, K.drug_flags(clinical_notes(t)), ["med_aspirin", "med_statin", "med_citicoline"])
+    return wide(t, K.drug_flags(clinical_notes(t)), ["med_aspirin", "med_statin", "med_citicoline", "med_clopidogrel"])
 
 
 OUTCOME = dict(
@@ -319,11 +324,11 @@ def clinical_variables(t: Tables):
     return N.clinical_variables(typed_notes(t)).select("patient_id", *VARIABLES)
 
 
-@query("E-34", expect(diagnosis_stroke=VARIABLES["diagnosis_stroke"], kondisi_pulang=VARIABLES["kondisi_pulang"], statin=VARIABLES["statin"], mrs="''"))
+@query("E-34", expect(antihipertensi="''", **{n: VARIABLES[n] for n in ("diagnosis_stroke", "lama_rawat", "kondisi_pulang", "mrs", "terapi_antiplatelet", "statin")}))
 def resume_rows(t: Tables):
     from ..operators import nested as N
 
-    return N.resume_rows(N.clinical_variables(typed_notes(t))).select("patient_id", "diagnosis_stroke", "kondisi_pulang", "statin", "mrs")
+    return N.resume_rows(N.clinical_variables(typed_notes(t)))
 
 
 AUDITED = [
