@@ -17,13 +17,13 @@ from ..operators.merge import keep_last
 def read_new_files(
     spark: SparkSession, folder: str, schema: StructType, fmt: str = "parquet", glob: str | None = None, files_per_batch: int | None = None
 ) -> DataFrame:
-    """Files that no earlier run of the same checkpoint has seen."""
+    """Files that no earlier run of the same checkpoint has seen.  ``glob`` names what
+    is read in the folder: files, or folders of files (a table may be either)."""
     reader = spark.readStream.format(fmt).schema(schema)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.load(folder)
+    # the braces make a plain name a pattern, which may match a file as well as a folder
+    return reader.load(f"{folder.rstrip('/')}/{{{glob}}}" if glob else folder)
 
 
 def run_available(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str) -> None:

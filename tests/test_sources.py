@@ -171,3 +171,13 @@ def test_latest_rows_and_compaction(spark, tmp_path):
     assert {(r["id"], r["v"]) for r in I.latest_rows(spark, out, ["id"], ["o"]).collect()} == {(1, "c"), (2, "b")}
     I.compact(spark, out, str(tmp_path / "c"), ["id"], ["o"])
     assert spark.read.parquet(str(tmp_path / "c")).count() == 2
+
+
+def test_a_table_as_file_or_folder_is_read_as_new_files(spark, tmp_path):
+    d = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "k int, text string")
+    d.repartition(3).write.parquet(str(tmp_path / "in/folder.parquet"))
+    d.limit(2).toPandas().to_parquet(tmp_path / "in/file.parquet")
+    for name, n in (("folder.parquet", 6), ("file.parquet", 2)):
+        out = str(tmp_path / name)
+        I.append_batches(I.read_new_files(spark, str(tmp_path / "in"), d.schema, glob=name), out, str(tmp_path / f"state-{name}"))
+        assert spark.read.parquet(out).count() == n
