@@ -118,3 +118,12 @@ def test_later_category_wins(spark):
         long = run_profile(d, Profile("t", categories))
         if len([c for c in categories if c.fields]) == 2:
             assert {r["patient_id"]: r["value"] for r in long.collect()} == want
+
+
+def test_mail_addresses_in_either_case(spark):
+    from notewarden.operators import redact as X
+    from notewarden.plans.run_queries import RULES
+
+    cases = {"John.Doe@Example.COM 7": "[SUREL] [ANGKA]", "A@B": "[SUREL]", "ſam@Kelvin.org": "[SUREL]", "ıx@İy.z": "ıx@İy.z", "Ü.x@Ä.de": "Ü.x@Ä.de"}
+    d = X.apply_rules(spark.createDataFrame([(k, k) for k in cases], "id string, text string"), RULES)
+    assert {r["id"]: r["text"] for r in d.collect()} == cases
