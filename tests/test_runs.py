@@ -127,3 +127,14 @@ def test_mail_addresses_in_either_case(spark):
     cases = {"John.Doe@Example.COM 7": "[SUREL] [ANGKA]", "A@B": "[SUREL]", "ſam@Kelvin.org": "[SUREL]", "ıx@İy.z": "ıx@İy.z", "Ü.x@Ä.de": "Ü.x@Ä.de"}
     d = X.apply_rules(spark.createDataFrame([(k, k) for k in cases], "id string, text string"), RULES)
     assert {r["id"]: r["text"] for r in d.collect()} == cases
+
+
+def test_joined_drug_dictionary_reads_a_long_text_once(spark):
+    import time
+
+    text = "".join(f"w{i} " for i in range(60_000)) + "hein 500mg"
+    d = spark.createDataFrame([("p", 1, text)], "patient_id string, doc_id int, text string")
+    start = time.time()
+    got = {r["drug_key"]: (r["value"], r["dose"]) for r in E.medications(d, {"med_a": ["hein"], "med_b": ["xy"]}, order="doc_id", max_terms=1).collect()}
+    assert got == {"med_a": ("ada", "hein 500mg"), "med_b": ("tidak", "")}
+    assert time.time() - start < 20
