@@ -181,3 +181,15 @@ def test_a_table_as_file_or_folder_is_read_as_new_files(spark, tmp_path):
         out = str(tmp_path / name)
         I.append_batches(I.read_new_files(spark, str(tmp_path / "in"), d.schema, glob=name), out, str(tmp_path / f"state-{name}"))
         assert spark.read.parquet(out).count() == n
+
+
+def test_small_files_are_spread_in_parts_of_bounded_size(spark, monkeypatch):
+    from notewarden.plans import registry
+
+    t = registry.Tables(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(registry, "ROWS_PER_TASK", 5)
+    sizes = [len(p) for p in t.spread("customer").select("c_custkey").rdd.glom().collect()]
+    assert sum(sizes) == t.customer.count() and len(sizes) == 30 and max(sizes) <= 10
+    # a table of enough splits is read as it is
+    monkeypatch.setattr(registry, "TASKS_PER_CORE", 0)
+    assert t.spread("customer").rdd.getNumPartitions() == t.customer.rdd.getNumPartitions()
