@@ -24,11 +24,11 @@ def empty_counts() -> Column:
     return F.create_map().cast(COUNTS_TYPE)
 
 
-def has_needle(text: Column, rule: Rule) -> Column | None:
+def has_needle(text: Column, rule: Rule, low: Column | None = None) -> Column | None:
     """Necessary condition for a hit: one of the needles, then the gate."""
     tests = []
     if rule.needles:
-        tests.append(T.any_contains(F.lower(text), rule.needles))
+        tests.append(T.any_contains(F.lower(text), rule.needles) if low is None else T.any_contains(low, rule.needles, singly=12))
     if rule.gate:
         tests.append(text.rlike("(?id)" + rule.gate))
     return reduce(lambda a, b: a & b, tests) if tests else None
@@ -69,22 +69,47 @@ class _Chain:
         self.df, self.text, self.active = df, text, active
         self.counters: list[tuple[str, str]] = []
         self.keyed = False
+        #: columns that tell whether the text changed after ``__low`` was taken from it
+        self.changes: list[str] | None = None
+        self.relabelled: list[str] = []
 
     def _guard(self, condition: Column | None) -> Column | None:
         parts = [c for c in (F.col(self.active) if self.active else None, condition) if c is not None]
         return reduce(lambda a, b: a & b, parts) if parts else None
 
+    def _lowered(self) -> Column:
+        """The text in lower case, taken again only in rows that a rule has changed."""
+        low = F.lower(F.col(self.text))
+        if self.changes is None:
+            return low if self.active is None else F.when(F.col(self.active), low)
+        if not self.changes:
+            return F.col("__low")
+        return F.when(reduce(lambda a, b: a | b, [F.col(c) > 0 for c in self.changes]), low).otherwise(F.col("__low"))
+
+    def _test(self, rule: Rule) -> tuple[Column | None, dict[str, Column]]:
+        """The rule's guard, and the column of lower-cased text it needs."""
+        if not rule.needles:
+            return self._guard(has_needle(F.col(self.text), rule)), {}
+        low = self._lowered()
+        self.changes = []
+        return self._guard(has_needle(F.col(self.text), rule, low)), {"__low": low}
+
+    def _changed(self, name: str) -> None:
+        if self.changes is not None:
+            self.changes.append(name)
+
     def rule(self, rule: Rule) -> None:
         name = f"__n{len(self.counters)}"
         t = F.col(self.text)
         hits = F.regexp_count(t, F.lit(rule.java))
-        guard = self._guard(has_needle(t, rule))
+        guard, lowered = self._test(rule)
         n = hits if guard is None else F.when(guard, hits).otherwise(F.lit(0))
-        # one projection per rule; the count is a common subexpression of both
+        # one projection per rule; the count and the lower-cased text are common subexpressions
         self.df = self.df.withColumns(
-            {name: n, self.text: F.when(n > 0, F.regexp_replace(t, rule.java, rule.replacement)).otherwise(t)}
+            {**lowered, name: n, self.text: F.when(n > 0, F.regexp_replace(t, rule.java, rule.replacement)).otherwise(t)}
         )
         self.counters.append((rule.key, name))
+        self._changed(name)
 
     def labelled(self, rule: Rule, described: Column) -> None:
         """Replacement and counter key computed per match: ``described`` maps the
@@ -95,7 +120,7 @@ class _Chain:
         t = F.col(self.text)
         none = F.array().cast("array<struct<label:string,key:string>>")
         hits = F.regexp_extract_all(t, F.lit(rule.java), F.lit(0))
-        guard = self._guard(has_needle(t, rule))
+        guard, lowered = self._test(rule)
         if guard is not None:
             hits = F.when(guard, hits).otherwise(F.array().cast("array<string>"))
         keys = F.col("__keys") if self.keyed else F.array().cast("array<string>")
@@ -107,20 +132,29 @@ class _Chain:
             "",
         )
         counted = F.filter(F.col("__marks.key"), lambda k: k.isNotNull())
-        self.df = self.df.withColumn("__hits", hits)
+        self.df = self.df.withColumns({**lowered, "__hits": hits})
         self.df = self.df.withColumn("__marks", F.when(some, described).otherwise(none))
+        changed = f"__changed{len(self.relabelled)}"
         self.df = self.df.withColumns(
             {
                 "__keys": F.when(some, F.concat(keys, counted)).otherwise(keys),
                 self.text: F.when(some, interleaved).otherwise(t),
+                changed: F.size("__hits"),
             }
         )
         self.keyed = True
+        self.relabelled.append(changed)
+        self._changed(changed)
+
+    def rewrite(self, value: Column) -> None:
+        """A change of the text that is not counted."""
+        self.df = self.df.withColumn(self.text, value if self.active is None else F.when(F.col(self.active), value).otherwise(F.col(self.text)))
+        self.changes = None
 
     def finish(self, counts: str) -> DataFrame:
         columns = self.df.columns
         merged = F.col(counts) if counts in columns else empty_counts()
-        drop = {n for _, n in self.counters} | {"__hits", "__marks", "__keys", counts}
+        drop = {n for _, n in self.counters} | {"__hits", "__marks", "__keys", "__low", *self.relabelled, counts}
         if self.counters:
             by_key: dict[str, Column] = {}
             for key, name in self.counters:
@@ -235,10 +269,7 @@ def note_header_stage(chain: _Chain) -> None:
 def cleanup_stage(chain: _Chain) -> None:
     for rule in R.CLEANUP_RULES:
         chain.rule(rule)
-    trimmed = F.regexp_replace(F.col(chain.text), "[ \t]+\n", "\n")
-    chain.df = chain.df.withColumn(
-        chain.text, trimmed if chain.active is None else F.when(F.col(chain.active), trimmed).otherwise(F.col(chain.text))
-    )
+    chain.rewrite(F.regexp_replace(F.col(chain.text), "[ \t]+\n", "\n"))
 
 
 def split_line_stage(chain: _Chain) -> None:

@@ -189,3 +189,15 @@ def test_identities_go_at_every_length(spark, repeat):
     out = X.route_by_length(docs, X.full_stages([]), X.light_stages([])).first()
     assert out["route"] == ("long" if repeat > 1 else "short")
     assert not any(x in out["text"] for x in ("00123", "3273012345678901", "081234567890", "a@b.cd"))
+
+
+def test_needles_are_sought_in_a_text_lowered_once(spark):
+    import time
+
+    rules = [Rule(f"k{i}", rf"\bzq{i}\w+", f"[Z{i}] zq{i + 1}x", needles=(f"zq{i}", f"zr{i}", f"zs{i}", f"zt{i}")) for i in range(40)]
+    d = spark.range(40).repartition(4).select("id", F.concat(F.repeat(F.lit("Kéluhan püsing berkurang, makan baik.\n"), 25_000), F.when(F.col("id") == 7, "ZQ0X").otherwise("")).alias("text"))
+    start = time.time()
+    got = {r["id"]: r for r in X.apply_rules(d, rules).select("id", F.substring("text", -30, 30).alias("end"), "counts").collect()}
+    # each rule sees what its predecessor wrote, in either case
+    assert got[7]["end"].endswith("[Z39] zq40x") and got[7]["counts"] == {f"k{i}": 1 for i in range(40)} and got[8]["counts"] == {}
+    assert time.time() - start < 30
