@@ -166,3 +166,19 @@ def test_fever_and_lab_dates(spark):
     assert fever == {"demam_saat_masuk": "tidak", "demam_selama_rawat": "ada", "suhu_tertinggi": "38.4"}
     dates = {r["field"]: r["value"] for r in K.lab_dates(d).collect()}
     assert dates == {"lab_tanggal_igd": "2026-05-06", "lab_tanggal_ranap": "2026-05-05", "lab_tanggal_pertama": "2026-05-05"}
+
+
+def test_lab_values_of_any_wanted_length(spark):
+    d = spark.createDataFrame([("lab_1", "Trombosit 250000 /uL\nLeukosit 5400123 /uL\nUreum 33 mg/dL")], "stem string, text string")
+    def names(**kw):
+        return [r["nama"] for r in N.extract_nested(d, ["stem"], **kw).first()["laboratorium"]["items"]]
+
+    assert names() == ["Ureum"] and names(lab_digits=6) == ["Trombosit", "Ureum"] and names(lab_digits=7) == ["Trombosit", "Leukosit", "Ureum"]
+
+
+def test_nested_extract_query_on_large_keys(spark, tmp_path):
+    from notewarden.plans import load_all
+
+    spark.range(5_400_000, 5_400_020).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = load_all()["nested_extract"].run(spark, str(tmp_path)).filter("stem = 'lab_1'").collect()
+    assert len(rows) == 20 and all(f"Leukosit={5000 + r['patient_id']} /uL" in r["items"] for r in rows)
