@@ -220,8 +220,8 @@ WITH l AS (SELECT doc_id, i AS line_no, lines[i] AS line FROM (SELECT doc_id, li
 f AS (SELECT doc_id, line_no, unnest(regexp_extract_all(line, '{CAPITAL}', 1)) AS c FROM l WHERE {CONTEXT_WORDS} OR length(trim(line)) <= 60)
 SELECT doc_id, line_no, trim(c) AS value FROM f WHERE NOT {_not_name("trim(c)")}""")
 def capital_names(t: Tables):
-    d = L.review_lines(ascii_documents(t), ["doc_id"])
-    return d.filter(F.col("type") == "NAMA_KAPITAL_MUNGKIN_BOCOR").select("doc_id", F.col("line_no").cast("long").alias("line_no"), "value")
+    d = L.review_lines(ascii_documents(t), ["doc_id"], kinds=["NAMA_KAPITAL_MUNGKIN_BOCOR"])
+    return d.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "value")
 
 
 @query("X-25", f"""

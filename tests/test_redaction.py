@@ -201,3 +201,12 @@ def test_needles_are_sought_in_a_text_lowered_once(spark):
     # each rule sees what its predecessor wrote, in either case
     assert got[7]["end"].endswith("[Z39] zq40x") and got[7]["counts"] == {f"k{i}": 1 for i in range(40)} and got[8]["counts"] == {}
     assert time.time() - start < 30
+
+
+def test_line_review_seeks_only_the_wanted_kinds(spark):
+    d = frame(spark, "Budi Santoso\nmail a@rs.example.id\ndr. Siti Aminah, 1234567890123456", "dokter Rina Wati")
+    whole = {tuple(r) for r in L.review_lines(d, ["id"]).collect()}
+    kind = "NAMA_KAPITAL_MUNGKIN_BOCOR"
+    assert {tuple(r) for r in L.review_lines(d, ["id"], kinds=[kind]).collect()} == {r for r in whole if kind in r} != set()
+    with pytest.raises(ValueError):
+        L.review_lines(d, ["id"], kinds=["x"])
