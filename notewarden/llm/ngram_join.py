@@ -4,14 +4,15 @@ Every shingle gets a 64-bit key whose top byte is its frequency class in the
 corpus, so that sorting a document's keys puts rare shingles first.  Documents with
 equal sets are one class.  Two sets that are similar enough share a key among the
 first few of each (prefix filter), have similar sizes (length filter), and cannot
-share too little after that key (positional filter); pairs that pass are checked
-by a suffix filter and then verified once on their whole sets.
+share too little after that key (positional filter).  A sketch of each set then shows
+most pairs to differ too much (see `sketches`), before any text is moved; pairs that
+pass are checked by a suffix filter and then verified once on their whole sets.
 
 Large groups of near copies do not make all their pairs: in a first round a set is
 only paired with the smallest and with the most central set of its prefix key and
 size band, and what is linked then is known to be one component.  The second round takes the pairs that are
 not in one component yet and may still be linked (see `open_pairs`), so no link is
-lost."""
+lost; only its links are then joined to the components of the first."""
 
 from __future__ import annotations
 
@@ -19,12 +20,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import importable, packed, slices, small_batches, stored, tally, unpack, with_arrow
+from .common import give_back, importable, packed, slices, small_batches, stored, unpack, with_arrow
 from .hashing import LOWER, U64, Words, mix, ngrams, raw_bytes
 
-SLICE = 1_000_000
+SLICE = 250_000
 #: Buckets in which shingle frequencies are counted; grow it with the corpus.
 COUNT_BUCKETS = 1 << 20
+#: Sets of a key and size band up to which its pairs are made as they are; a set meets
+#: fewer others there than it has keys that its hub may lack.
+SMALL_GROUP = 64
 LOW = U64((1 << 56) - 1)
 
 
@@ -54,16 +58,23 @@ def shingles(data: np.ndarray, edges: np.ndarray, width: int) -> tuple[np.ndarra
 def frequency_classes(docs: DataFrame, width: int, buckets: int = COUNT_BUCKETS) -> np.ndarray:
     """Class 0 to 255 of each bucket of shingles, by the logarithm of its count."""
 
-    def make():
-        def add(text):
-            _, grams = shingles(*raw_bytes(text), width)
-            n = np.bincount((grams % U64(buckets)).astype(np.int64), minlength=buckets)
-            return np.stack([n, np.zeros_like(n)])
-
-        return add
-
-    counts = tally(docs, ["text"], buckets, make, slice_bytes=SLICE)[0]
-    return np.minimum(255, np.round(6 * np.log2(np.maximum(counts, 1)))).astype(np.uint8)
+    def run(batches):
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            for part in slices(batch, SLICE):
+                _, grams = shingles(*raw_bytes(part.column(0)), width)
+                np.add.at(total, (grams % U64(buckets)).astype(np.int64), 1)
+        for at in range(0, buckets, 1 << 16):
+            k = np.flatnonzero(total[at : at + (1 << 16)]) + at
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(total[k])], names=["k", "n"])
+        batch = part = total = grams = None
+        give_back()
+
+    counts = docs.select("text").mapInArrow(run, "k int, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    found = counts.select("k", F.least(F.lit(255), F.rint(6 * F.log2("n"))).cast("short").alias("class")).toArrow()
+    out = np.zeros(buckets, np.uint8)
+    out[found["k"].to_numpy()] = found["class"].to_numpy()
+    return out
 
 
 def ordered_keys(data: np.ndarray, edges: np.ndarray, width: int, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,6 +91,28 @@ def set_hash(keys: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return mix(total[bounds[1:]] - total[bounds[:-1]] + mix(np.diff(bounds).astype(U64))).view(np.int64)
 
 
+def sketches(keys: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """For each row's set of n keys at least n bits, a power of two, each the parity of
+    the keys that fall on it.  Keys in only one of two sets turn one bit each, so the
+    sets differ in no fewer keys than their sketches differ in bits."""
+    n = np.diff(bounds)
+    bits = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(n, 1)))).astype(np.int64)
+    starts = np.append(0, np.cumsum(bits))
+    row = np.repeat(np.arange(len(n)), n)
+    at = starts[row] + (keys & LOW & (bits[row] - 1).astype(U64)).astype(np.int64)
+    data = np.packbits((np.bincount(at, minlength=starts[-1]) & 1).astype(np.uint8), bitorder="little")
+    return pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((starts // 8).astype(np.int32)), pa.py_buffer(data)])
+
+
+def may_be_similar(x: bytes, y: bytes, n: int, m: int, percent: int) -> bool:
+    """Whether sets of n and m keys with these sketches can be similar."""
+    most = n + m - 2 * -(-percent * (n + m) // (100 + percent))
+    p, q = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    while len(q) > len(p):  # the same keys on half the bits
+        q = q[: len(q) // 2] ^ q[len(q) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum()) <= most
+
+
 def least_share(n: int | np.ndarray, percent: int):
     """Keys that a set of n keys must share with any similar set."""
     return (n * percent + 99) // 100
@@ -96,18 +129,18 @@ class Joiner:
         self.classes = self.spark.sparkContext.broadcast(frequency_classes(self.docs, width, buckets))
 
     def sets(self, docs: DataFrame) -> DataFrame:
-        """`docs` plus n_shingles and set_id (null for an empty set)."""
+        """`docs` plus n_shingles, set_id (null for an empty set) and sketch."""
         classes, width = self.classes, self.width
 
         def make():
             def fn(text):
                 keys, bounds = ordered_keys(*raw_bytes(text), width, classes.value)
                 n = np.diff(bounds)
-                return [pa.array(n, pa.int64()), pa.array(set_hash(keys, bounds), pa.int64(), mask=n == 0)]
+                return [pa.array(n, pa.int64()), pa.array(set_hash(keys, bounds), pa.int64(), mask=n == 0), sketches(keys, bounds)]
 
             return fn
 
-        return with_arrow(docs, ["text"], {"n_shingles": "long", "set_id": "long"}, make, drop=("text",), slice_bytes=SLICE)
+        return with_arrow(docs, ["text"], {"n_shingles": "long", "set_id": "long", "sketch": "binary"}, make, drop=("text",), slice_bytes=SLICE)
 
     def prefixes(self) -> DataFrame:
         """`key, set_id, n, pos`: the prefix keys of each distinct set; sets that
@@ -129,6 +162,8 @@ class Joiner:
                     for s in range(0, len(row), 50_000):
                         t = slice(s, s + 50_000)
                         yield pa.RecordBatch.from_arrays([pa.array(chosen[t]), pa.array(ids[row[t]]), pa.array(n[row[t]], pa.int32()), pa.array(pos[t], pa.int32())], names=["key", "set_id", "n", "pos"])
+            batch = part = keys = bounds = n = ids = once = take = row = pos = chosen = None
+            give_back()
 
         return self.docs.select("text").mapInArrow(run, "key long, set_id long, n int, pos int")
 
@@ -148,11 +183,12 @@ class Joiner:
         return (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (F.least(n - F.col(f"{a}.pos"), m - F.col(f"{b}.pos")) >= needed)
 
     def hub_rows(self) -> DataFrame:
-        """`key, band, set_id, n, pos, hub, near, mid`: each prefix entry with the smallest
+        """`key, band, set_id, n, pos, sets, hub, near, mid`: each prefix entry with the smallest
         set of its key in its size band and in the band below; similar sets lie in one
         band or in neighbouring ones.  `near`: the two may be similar.  `mid` is the
         set in which the key stands first, if it may be similar: the text that others
-        are copies of has no rare shingles of its own before the key.
+        are copies of has no rare shingles of its own before the key.  `sets`: how many
+        the key and band have.
 
         One shuffle by key serves all steps; their windows stream through sorted rows."""
         band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / self.percent))).cast("int")
@@ -163,28 +199,72 @@ class Joiner:
         hubs = sides.withColumns({
             "hub": F.min(F.when(at_home, F.struct("n", "set_id", "pos"))).over(group),
             "mid": F.min(F.when(at_home, F.struct("pos", "n", "set_id"))).over(group),
+            "sets": F.count("*").over(group),
         }).withColumn("own", F.struct("n", "pos", "set_id"))
         rows = hubs.filter(F.col("set_id") != F.col("hub.set_id"))
         other = (F.col("mid.set_id") != F.col("set_id")) & (F.col("mid.set_id") != F.col("hub.set_id")) & self.may_link("own", "mid")
-        columns = ["key", "band", "set_id", "n", "pos", F.col("hub.set_id").alias("hub"), self.may_link("own", "hub").alias("near"), F.when(other, F.col("mid.set_id")).alias("mid")]
+        columns = ["key", "band", "set_id", "n", "pos", "sets", F.col("hub.set_id").alias("hub"), self.may_link("own", "hub").alias("near"), F.when(other, F.col("mid.set_id")).alias("mid")]
         return stored(rows.select(*columns), "sides")
 
+    def hub_pairs(self, rows: DataFrame) -> DataFrame:
+        """`a, b, large`: each set of `rows` with its hubs and central sets; `large`: b is
+        the hub of a in a group for which `open_pairs` needs what a has outside b."""
+        met = rows.select(F.col("set_id").alias("a"), "hub", "sets", F.explode(F.array_compact(F.array(F.when(F.col("near"), F.col("hub")), "mid"))).alias("b"))
+        return met.groupBy("a", "b").agg(F.max((F.col("b") == F.col("hub")) & (F.col("sets") > SMALL_GROUP)).alias("large"))
+
+    def chosen(self, members: DataFrame, rows: DataFrame) -> DataFrame:
+        """`set_id, uid, n, sketch`: one row of each set that meets another in `rows`."""
+        met = rows.select("set_id").union(rows.select("hub")).distinct()
+        found = members.filter("set_id IS NOT NULL").join(met, "set_id", "left_semi")
+        return stored(found.groupBy("set_id").agg(F.min("uid").alias("uid"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "chosen")
+
+    def sift(self, pairs: DataFrame, chosen: DataFrame) -> DataFrame:
+        """`pairs` (a, b) plus `may`: whether their sketches let them be similar."""
+        percent = self.percent
+        side = lambda x: chosen.select(F.col("set_id").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+
+        def make():
+            def fn(*columns):
+                return [pa.array([may_be_similar(*r, percent) for r in zip(*(c.to_pylist() for c in columns))], pa.bool_())]
+
+            return fn
+
+        inputs = ["sa", "sb", "na", "nb"]
+        return with_arrow(pairs.join(side("a"), "a").join(side("b"), "b"), inputs, {"may": "boolean"}, make, drop=tuple(inputs), slice_bytes=SLICE)
+
     def open_pairs(self, rows: DataFrame, labels: DataFrame, first: DataFrame) -> DataFrame:
         """Pairs of different components that may be linked and are not verified.
 
-        Similar sets share a prefix key, and so a hub that is no larger than either.
-        If both were verified against it and they share nothing outside it, then
-        what they share with it already links them both to it.  So they either
-        share one of the first keys that the hub lacks (`added`), or one of them
-        was not near the hub; only such pairs are made, the latter at the first key
-        that they share (`begins`)."""
-        marked = stored(rows.drop("mid").join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "marked")
+        Similar sets share a prefix key, and so a group of key and band.  A small group
+        (up to SMALL_GROUP sets) makes the pairs that can begin there (`begins`).  In a
+        large one there is a hub that is no larger than either.  If both were verified
+        against it and they share nothing outside it, then what they share with it
+        already links them both to it.  So they either share one of the first keys that
+        the hub lacks (`added`), or one of them was not near the hub; only such pairs
+        are made, the latter at the first key that they share."""
+        of_two = rows.filter("sets > 2").drop("mid")  # a hub and one other are done
+        marked = stored(of_two.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id")), "marked")
         groups = marked.groupBy("key", "band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("key", "band")
         left = stored(marked.join(stored(groups, "groups"), ["key", "band"]), "open")
+        small, left = left.filter(F.col("sets") <= SMALL_GROUP), left.filter(F.col("sets") > SMALL_GROUP)
+        parted = F.col("a.label") != F.col("b.label")
+        few = small.alias("a").join(small.alias("b"), ["key", "band"]).filter((F.col("a.set_id") < F.col("b.set_id")) & parted & self.begins("a", "b"))
+        found = self.ends(few)
+        if not left.isEmpty():
+            found = found.union(self.large_pairs(left, first))
+        done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return found.distinct().join(done, ["a", "b"], "left_anti")
+
+    @staticmethod
+    def ends(pairs: DataFrame) -> DataFrame:
+        return pairs.select(F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b"))
+
+    def large_pairs(self, left: DataFrame, first: DataFrame) -> DataFrame:
+        """The pairs of large groups for :meth:`open_pairs`."""
         met = stored(left.filter("near").select(F.col("set_id").alias("a"), F.col("hub").alias("b"), "n", "label").distinct(), "met")
         parted = met.groupBy("b").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("b")
         met = met.join(parted, "b")
-        extra = met.join(first.filter(F.size("added") > 0).select("a", "b", "added", "inside", "outside"), ["a", "b"]).select(
+        extra = met.join(first.filter(F.col("large") & (F.size("added") > 0)).select("a", "b", "added", "inside", "outside"), ["a", "b"]).select(
             F.col("a").alias("set_id"), F.col("b").alias("hub"), "n", "label", "inside", "outside", F.posexplode("added").alias("at", "key")
         )
         extra = extra.withColumn("at_key", F.xxhash64("hub", "key")).drop("hub", "key")  # a collision is one more pair to verify
@@ -196,17 +276,15 @@ class Joiner:
         sizes &= room >= F.ceil((F.col("a.n") + F.col("b.n")) * self.percent / (100 + self.percent))
         one = extra.alias("a").join(extra.alias("b"), "at_key").filter((F.col("a.label") < F.col("b.label")) & sizes)
         late = left.filter(~F.col("near")).alias("a").join(left.alias("b"), ["key", "band"]).filter((F.col("a.label") != F.col("b.label")) & self.begins("a", "b"))
-        ends = [F.least("a.set_id", "b.set_id").alias("a"), F.greatest("a.set_id", "b.set_id").alias("b")]
-        done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        return one.select(*ends).union(late.select(*ends)).distinct().join(done, ["a", "b"], "left_anti")
+        return self.ends(one).union(self.ends(late))
 
-    def texts(self, members: DataFrame, rows: DataFrame) -> DataFrame:
-        """`set_id, packed`: one text of each set that meets another in `rows`."""
-        met = rows.select("set_id").union(rows.select("hub")).distinct()
-        chosen = members.filter("set_id IS NOT NULL").groupBy("set_id").agg(F.min("uid").alias("uid")).join(met, "set_id", "left_semi")
+    def texts(self, chosen: DataFrame, pairs: DataFrame) -> DataFrame:
+        """`set_id, packed, early`: one text of each chosen set; `early`: it is in `pairs`."""
+        early = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct().withColumn("early", F.lit(True))
+        wanted = chosen.select("set_id", "uid").join(early, "set_id", "left")
         # equal rows share a uid; one of them is enough, found where the join needs it
-        found = packed(self.docs, "text").repartition("uid").dropDuplicates(["uid"]).join(chosen, "uid")
-        return stored(found.select("set_id", "packed"), "texts")
+        found = packed(self.docs, "text").repartition("uid").dropDuplicates(["uid"]).join(wanted, "uid")
+        return stored(found.select("set_id", "packed", "early"), "texts")
 
     def verify(self, pairs: DataFrame, texts: DataFrame, added: bool = False) -> DataFrame:
         """`pairs` (a, b) plus `linked`, by the suffix filter and the whole sets.
@@ -277,17 +355,20 @@ def against_hub(x: np.ndarray, hub: np.ndarray, percent: int) -> tuple[bool, np.
     return linked, outside[: max(0, len(outside) - most + 1)], shared, len(outside)
 
 
+def starred(edges: DataFrame) -> bool:
+    """Whether each `a` of the edges (a > b) has one b, which is no a itself."""
+    ends = edges.select("a", F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("a").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up = 1 AND down = 1").isEmpty()
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """`set_id, label` for every end of an `a, b` edge: the least id of its connected
     component, by alternating large and small stars.  Minima are combined on the
     map side and joined back, so that a hub is never gathered in one task."""
-    now = stored(edges.select("a", "b").filter("a <> b").distinct(), "edges")
-    before = None
+    now = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     for _ in range(rounds):
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if before == tuple(state):
+        if starred(now):
             break
-        before = tuple(state)
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
@@ -300,6 +381,17 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     return labels.union(now.select("b", "b").distinct())
 
 
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels that :func:`components` gives for the edges of `labels` and `links`
+    together, from those it gave before and the few that the links join."""
+    named = lambda x: labels.select(F.col("set_id").alias(x), F.col("label").alias(f"l{x}"))
+    between = links.join(named("a"), "a", "left").join(named("b"), "b", "left")
+    again = stored(components(between.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))), "joined")
+    moved = labels.join(again.select(F.col("set_id").alias("label"), F.col("label").alias("least")), "label", "left")
+    alone = again.join(labels.select("set_id"), "set_id", "left_anti")
+    return moved.select("set_id", F.coalesce("least", "label").alias("label")).unionByName(alone)
+
+
 def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame, DataFrame]:
     """Membership and links of near copies among `doc_id, text` rows.
 
@@ -316,16 +408,19 @@ def join(docs: DataFrame, percent: int = 80, width: int = 5) -> tuple[DataFrame,
     joiner = Joiner(keyed, percent, width)
     members = stored(joiner.sets(keyed), "members")
     rows = joiner.hub_rows()
-    texts = joiner.texts(members, rows)
-    met = rows.select(F.col("set_id").alias("a"), F.explode(F.array_compact(F.array(F.when(F.col("near"), F.col("hub")), "mid"))).alias("b")).distinct()
-    first = stored(joiner.verify(met, texts, added=True), "pairs")
+    chosen = joiner.chosen(members, rows)
+    tested = stored(joiner.sift(joiner.hub_pairs(rows), chosen).filter("may OR large").drop("may"), "tested")
+    texts = joiner.texts(chosen, tested)
+    first = stored(joiner.verify(tested, texts.filter("early").drop("early"), added=True), "pairs")
     links = first.filter("linked").select("a", "b")
     labels = components(links)
-    pairs = stored(joiner.open_pairs(rows, labels, first), "open-pairs")
+    pairs = stored(joiner.sift(joiner.open_pairs(rows, labels, first), chosen).filter("may").drop("may"), "open-pairs")
     ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).distinct()
-    second = joiner.verify(pairs, stored(texts.join(stored(ends, "ends"), "set_id", "left_semi"), "open-texts"))
-    links = stored(links.union(second.filter("linked").select("a", "b")), "links")
-    labels = stored(components(links), "labels")
+    open_texts = texts.drop("early").join(stored(ends, "ends"), "set_id", "left_semi")
+    more = stored(joiner.verify(pairs, stored(open_texts, "open-texts")).filter("linked").select("a", "b"), "links")
+    if not more.isEmpty():
+        links, labels = links.union(more), joined_labels(labels, more)
+    labels = stored(labels, "labels")
     labelled = members.join(labels, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = labelled.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     placed = labelled.join(least, "label", "left")

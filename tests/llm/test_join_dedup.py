@@ -51,6 +51,54 @@ def test_components(spark):
     assert got == {a: find(a) for a in parent}
 
 
+def test_joined_labels(spark):
+    rng = np.random.default_rng(3)
+    labelled = lambda df: {r.set_id: r.label for r in df.collect()}
+    frame = lambda edges: spark.createDataFrame(edges, "a long, b long")
+    first = [tuple(map(int, rng.integers(0, 80, 2))) for _ in range(40)]
+    more = [tuple(map(int, rng.integers(0, 100, 2))) for _ in range(15)]
+    assert labelled(ngram_join.joined_labels(ngram_join.components(frame(first)), frame(more))) == labelled(ngram_join.components(frame(first + more)))
+
+
+def test_sketches():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        x = np.unique(rng.integers(0, 1 << 60, rng.integers(1, 400))).astype(np.uint64)
+        y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.choice([0, 0.5, 0.9])], rng.integers(0, 1 << 60, rng.integers(1, 40)).astype(np.uint64)]))
+        one, two = ngram_join.sketches(np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])).to_pylist()
+        may = ngram_join.may_be_similar(one, two, len(x), len(y), 80)
+        assert may or not ngram_join.similar(x, y, 80)
+    apart = rng.integers(0, 1 << 60, 600).astype(np.uint64)
+    one, two, none = ngram_join.sketches(apart, np.array([0, 300, 600, 600])).to_pylist()
+    assert not ngram_join.may_be_similar(one, two, 300, 300, 80) and ngram_join.may_be_similar(one, one, 300, 300, 80) and not any(none)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_join_of_large_groups(docs_of, monkeypatch, seed):
+    monkeypatch.setattr(ngram_join, "SMALL_GROUP", 2)
+    rows = corpus(seed)
+    got = ngram_join.join(docs_of(rows))[0].collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == sorted(similar_components(rows), key=repr)
+
+
+def test_chance_meetings_move_no_text(docs_of, monkeypatch):
+    """Texts that share some rare shingles only are told apart by their sketches."""
+    rng = np.random.default_rng(7)
+    passages = [prose(rng, 12, 4000) for _ in range(6)]
+    rows = [(i, prose(rng, 60, 4000) + " " + passages[i % 6] + " " + prose(rng, 60, 4000)) for i in range(60)]
+    counts, stored = {}, ngram_join.stored
+
+    def counted(df, name):
+        out = stored(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    got = ngram_join.join(docs_of(rows))[0].collect()
+    assert sorted(r.component_id for r in got) == list(range(60))
+    assert counts["sides"] > 0 and counts["pairs"] <= 3 and counts["open-pairs"] <= 3 and "added" not in counts
+
+
 @pytest.mark.parametrize("entries", [1, 4_000_000])
 def test_suffix_order(monkeypatch, entries):
     monkeypatch.setattr(induced_sort, "QUEUE_ENTRIES", entries)
