@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import importable, packed, slices, small_batches, stored, unpack, with_arrow
+from .common import give_back, importable, packed, slices, small_batches, stored, unpack, with_arrow
 from .hashing import U64, mix, raw_bytes, rolling, span_hash
 from .induced_sort import suffix_order
 
@@ -31,7 +31,8 @@ GRAM, KEY = 8, 64
 SHARD_BYTES = 1_500_000
 #: Largest key that a shard takes.
 KEY_BYTES = 3_000_000
-SLICE = 1_000_000
+#: Bytes of text whose hashes a worker holds at a time.
+SLICE = 250_000
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
@@ -87,6 +88,8 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
                         [part.column(0).take(pa.array(row[t])), pa.array(key[t]), pa.array(context[t]), pa.array(first[t], pa.int32()), pa.array(last[t], pa.int32())],
                         names=["uid", "key", "context", "first", "last"],
                     )
+        batch = part = data = edges = row = first = last = key = context = None
+        give_back()
 
     return docs.select("uid", "text").mapInArrow(run, "uid long, key long, context long, first int, last int")
 
@@ -110,6 +113,8 @@ def cut_contexts(wanted: DataFrame, docs: DataFrame, length: int) -> DataFrame:
                             yield pa.RecordBatch.from_pylist(rows, schema)
                             rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema)
+        batch = part = rows = text = None
+        give_back()
 
     return asked.join(packed(docs.select("uid", "text"), "text"), "uid").select("packed", "asked").mapInArrow(run, "key long, context long, copies long, body binary")
 
@@ -156,6 +161,8 @@ def shard_ranges(contexts: DataFrame, length: int) -> DataFrame:
                 size += len(r[3])
         if held:
             yield sort_shard(held)
+        batch = columns = held = None
+        give_back()
 
     sharded = contexts.repartition("key").sortWithinPartitions("key")
     return sharded.mapInArrow(run, "key long, context long, lo int, hi int")

@@ -2,12 +2,16 @@
 
 import collections
 import itertools
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from notewarden.llm import decontaminate, induced_sort, ngram_join, suffix_dedup
+from notewarden.llm.common import slices
+from notewarden.llm.hashing import raw_bytes
 
 from .helpers import ALNUM, corpus, hit_words, low, prose, similar_components, without_repeats
 
@@ -227,3 +231,13 @@ def test_proximity_by_brute_force(spark, docs_of, rarest):
                     want.add((d, item, lo, lo + width))
     assert {(r.uid, r.item_id, r.lo, r.hi) for r in found} == want
     assert rarest != 3 or (1, 2, 50, 62) in want
+
+
+def test_anchors_of_a_batch_take_little_memory():
+    batch = pa.RecordBatch.from_arrays([pa.array([prose(np.random.default_rng(i), 800, 4000) for i in range(700)])], names=["text"])
+    tracemalloc.start()
+    for part in slices(batch, suffix_dedup.SLICE):
+        suffix_dedup.anchors(*raw_bytes(part.column(0)), 200)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40_000_000
