@@ -31,7 +31,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the byte strings of 200 and more that occur twice;
     n_chars is the length of what is left."""
-    cut = suffix_dedup.decoded(suffix_dedup.remove_repeats(docs))
+    cut = suffix_dedup.remove_repeats(docs, as_text="text")
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return same_columns(cut, docs)
@@ -47,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and the digest of what they decode to."""
     vocabulary = public_tokenizers.path(WORD_VOCABULARY)
     named = docs.select("doc_id", "lang", "source", "text")
-    coded = bpe.decode_ids(bpe.encode_texts(named, vocabulary).drop("text"), vocabulary)
+    coded = bpe.encode_and_decode(named, vocabulary)
     return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

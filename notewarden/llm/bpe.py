@@ -17,10 +17,13 @@ import regex
 from pyspark.sql import DataFrame
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from .common import model_bytes, texts_of, with_arrow
+from .common import give_back, model_bytes, texts_of, with_arrow
 
 #: Pre-tokens a worker remembers; then it starts anew.
 CACHE_ENTRIES = 300_000
+#: Bytes of text, or of ids, that a worker handles at a time: the strings of pre-tokens
+#: take many times the bytes they are cut from.
+SLICE = 250_000
 #: Texts with none of these need no library call for normal form and classes (a test tries all code points).
 _UNUSUAL = regex.compile("[^\\x00-ɏ‐-⁄]")
 
@@ -44,14 +47,15 @@ class ForcedBoundaryBpe:
         spec = json.loads(text)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.vocab: dict[str, int] = model["vocab"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.inner = models.BPE(vocab=self.vocab, merges=merges)
-        self.last = models.BPE(vocab=self.vocab, merges=merges, end_of_word_suffix=self.suffix) if self.suffix else self.inner
-        self.library = Tokenizer.from_str(text)
+        self.inner = models.BPE(vocab=model["vocab"], merges=merges)
+        self.last = models.BPE(vocab=model["vocab"], merges=merges, end_of_word_suffix=self.suffix) if self.suffix else self.inner
+        # only its normal form is asked of the library, so it holds no third copy of the vocabulary
+        bare = spec | {"model": model | {"vocab": {}, "merges": [], "unk_token": None}, "added_tokens": [], "post_processor": None}
+        self.normalizer = Tokenizer.from_str(json.dumps(bare)).normalizer
         letters = byte_letters()
         self.letters = {i: c for i, c in enumerate(letters)}
-        self.joined = self.seen_pairs({c: i for i, c in enumerate(letters)})
+        self.joined = self.seen_pairs(model["vocab"], {c: i for i, c in enumerate(letters)})
         specials = spec["added_tokens"]
         if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in specials):
             raise ValueError("special tokens must be plain strings")
@@ -62,10 +66,10 @@ class ForcedBoundaryBpe:
         self.split = pre_tokenizers.Split(Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
         self.cache: dict[str, bytes] = {}
 
-    def seen_pairs(self, byte_of: dict[str, int]) -> np.ndarray:
+    def seen_pairs(self, vocab: dict[str, int], byte_of: dict[str, int]) -> np.ndarray:
         """[a, b]: whether byte a is followed by byte b inside some token."""
         seen = np.zeros((256, 256), bool)
-        for token in self.vocab:
+        for token in vocab:
             body = token.removesuffix(self.suffix) if self.suffix and token != self.suffix else token
             codes = [byte_of[c] for c in body if c in byte_of]
             seen[codes[:-1], codes[1:]] = True
@@ -111,7 +115,7 @@ class ForcedBoundaryBpe:
 
     def pre_tokens(self, text: str) -> list[str]:
         if _UNUSUAL.search(text):
-            return [w for w, _ in self.split.pre_tokenize_str(self.library.normalizer.normalize_str(text))]
+            return [w for w, _ in self.split.pre_tokenize_str(self.normalizer.normalize_str(text))]
         return self.words.findall(text.lower())
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
@@ -144,7 +148,23 @@ def _names(data: bytes) -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def _codec(data: bytes) -> ForcedBoundaryBpe:
-    return ForcedBoundaryBpe(data.decode())
+    codec = ForcedBoundaryBpe(data.decode())
+    give_back()  # what the parsed file took
+    return codec
+
+
+def id_lists(codec: ForcedBoundaryBpe, column: pa.Array) -> pa.Array:
+    """The ids of each text of a column; a null text has none."""
+    found = codec.encode_all(texts_of(column))
+    ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+
+
+def decoded_lists(names: dict[int, str], column: pa.Array) -> pa.Array:
+    """The text of each id array of a column; a null array gives an empty text."""
+    ends = np.concatenate([[0], np.cumsum(np.array(column.value_lengths().fill_null(0)))])
+    flat = column.flatten().to_pylist()
+    return pa.array([decode(names, flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())
 
 
 def encode_texts(df: DataFrame, vocabulary_path: str, text: str = "text", out: str = "ids") -> DataFrame:
@@ -156,15 +176,9 @@ def encode_texts(df: DataFrame, vocabulary_path: str, text: str = "text", out: s
 
     def make():
         codec = _codec(data.value)
+        return lambda column: [id_lists(codec, column)]
 
-        def encode(column):
-            found = codec.encode_all(texts_of(column))
-            ends = np.cumsum([0, *(len(x) // 4 for x in found)], dtype=np.int32)
-            return [pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))]
-
-        return encode
-
-    return with_arrow(df, [text], {out: "array<int>"}, make)
+    return with_arrow(df, [text], {out: "array<int>"}, make, slice_bytes=SLICE)
 
 
 def decode_ids(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -173,12 +187,24 @@ def decode_ids(df: DataFrame, vocabulary_path: str, ids: str = "ids", out: str =
 
     def make():
         names = _names(data.value)
+        return lambda column: [decoded_lists(names, column)]
+
+    return with_arrow(df, [ids], {out: "string"}, make, slice_bytes=SLICE)
+
+
+def encode_and_decode(df: DataFrame, vocabulary_path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """`df` with the ids of each whole text and what they decode to instead of the
+    text: :func:`decode_ids` of :func:`encode_texts`, in one Python worker a task
+    instead of two that hold their tables side by side."""
+    data = model_bytes(df.sparkSession, vocabulary_path)
+
+    def make():
+        codec, names = _codec(data.value), _names(data.value)
 
-        def fn(column):
-            ends = np.concatenate([[0], np.cumsum(np.array(column.value_lengths().fill_null(0)))])
-            flat = column.flatten().to_pylist()
-            return [pa.array([decode(names, flat[a:b]) for a, b in zip(ends[:-1], ends[1:])], pa.string())]
+        def both(column):
+            coded = id_lists(codec, column)
+            return [coded, decoded_lists(names, coded)]
 
-        return fn
+        return both
 
-    return with_arrow(df, [ids], {out: "string"}, make)
+    return with_arrow(df, [text], {ids: "array<int>", decoded: "string"}, make, drop=(text,), slice_bytes=SLICE)

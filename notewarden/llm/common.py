@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 from ..session import broadcast_if_small, ensure_checkpoint_dir
+from .hashing import forget_powers
 
 #: Bytes of the mapped columns that a Python worker handles at a time.
 SLICE_BYTES = 2_000_000
@@ -131,6 +132,7 @@ def with_arrow(df: DataFrame, inputs: list[str], outs: dict[str, str], make: Cal
 def give_back() -> None:
     """Memory that a task no longer needs goes back to the system, so that workers that
     wait for later stages hold none of it."""
+    forget_powers()
     gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it

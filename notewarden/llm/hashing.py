@@ -46,6 +46,11 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return made[0], made[1]
 
 
+def forget_powers() -> None:
+    """Let the powers go; the next task makes its own."""
+    _POWERS["up"] = _POWERS["down"] = np.ones(1, U64)
+
+
 def rolling(data: np.ndarray) -> np.ndarray:
     """Prefix sums from which `span_hash` gives the hash of any span of bytes."""
     up, _ = powers(len(data) + 1)

@@ -39,7 +39,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     vocabulary = public_tokenizers.path(WORD_VOCABULARY)
-    coded = bpe.decode_ids(bpe.encode_texts(docs, vocabulary).drop("text"), vocabulary)
+    coded = bpe.encode_and_decode(docs, vocabulary)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

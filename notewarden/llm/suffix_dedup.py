@@ -232,9 +232,10 @@ def repeated_ranges(docs: DataFrame, length: int = 200, largest: int = KEY_BYTES
     return hit.select("uid", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi") - 1 + length).alias("hi"))
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text", as_text: str | None = None) -> DataFrame:
     """`docs` with `kept` (binary: the bytes that are left), `n_bytes`, `n_removed`
-    and `n_spans` (maximal removed runs).
+    and `n_spans` (maximal removed runs).  With `as_text`, what is left comes as text in
+    a column of that name instead, as :func:`decoded` gives it, without workers of its own.
 
     Strings are judged on the input.  Null texts are empty; rows that repeat,
     with or without the same id, remove each other's text as any copies do; a table
@@ -262,20 +263,25 @@ def remove_repeats(docs: DataFrame, length: int = 200, text: str = "text") -> Da
                 sizes.append(len(body))
                 gone.append(int(out.sum()))
                 spans.append(int((np.diff(np.append(0, out.astype(np.int8))) == 1).sum()))
-            return [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (sizes, gone, spans))]
+            left = strings(kept) if as_text else pa.array(kept, pa.binary())
+            return [left, *(pa.array(x, pa.int64()) for x in (sizes, gone, spans))]
 
         return fn
 
     joined = packed(keyed.drop(text), "body").join(ranges, "uid", "left")
-    outs = {"kept": "binary", "n_bytes": "long", "n_removed": "long", "n_spans": "long"}
+    outs = {**({as_text: "string"} if as_text else {"kept": "binary"}), "n_bytes": "long", "n_removed": "long", "n_spans": "long"}
     return with_arrow(joined, ["packed", "ranges"], outs, make, drop=("uid", "packed", "ranges"), slice_bytes=SLICE)
 
 
+def strings(kept: list[bytes | None]) -> pa.Array:
+    return pa.array([(b or b"").decode("utf-8", "ignore") for b in kept], pa.string())
+
+
 def decoded(df: DataFrame, kept: str = "kept", out: str = "text") -> DataFrame:
     """`df` with the kept bytes as text; what is left of a character that a cut went
     through is dropped."""
 
     def make():
-        return lambda column: [pa.array([(b or b"").decode("utf-8", "ignore") for b in column.to_pylist()], pa.string())]
+        return lambda column: [strings(column.to_pylist())]
 
     return with_arrow(df, [kept], {out: "string"}, make, drop=(kept,))

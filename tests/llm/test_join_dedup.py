@@ -9,8 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from notewarden.llm import decontaminate, induced_sort, ngram_join, suffix_dedup
-from notewarden.llm.common import slices
+from notewarden.llm import decontaminate, hashing, induced_sort, ngram_join, suffix_dedup
+from notewarden.llm.common import give_back, slices
 from notewarden.llm.hashing import raw_bytes
 
 from .helpers import ALNUM, corpus, hit_words, low, prose, similar_components, without_repeats
@@ -153,6 +153,23 @@ def test_large_keys_meet_by_windows(docs_of, monkeypatch, largest):
     assert [len(covered.get(i, ())) for i in range(len(texts_))] == want and sizes and sizes[0] > 2
 
 
+def test_remove_repeats_as_text(docs_of):
+    df = docs_of(corpus())
+    want = suffix_dedup.decoded(suffix_dedup.remove_repeats(df))
+    got = suffix_dedup.remove_repeats(df, as_text="text")
+    last = lambda d: d._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+    assert last(got) == last(want) - 1
+    columns = ["doc_id", "text", "n_bytes", "n_removed", "n_spans"]
+    assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect())) and sorted(got.columns) == sorted(columns)
+
+
+def test_tasks_keep_no_powers():
+    hashing.powers(100_000)
+    give_back()
+    assert len(hashing._POWERS["up"]) == len(hashing._POWERS["down"]) == 1
+    assert hashing.powers(3)[0].tolist() == [1, hashing._BASE, hashing._BASE**2 % 2**64]
+
+
 def test_remove_repeats_small(docs_of):
     assert suffix_dedup.remove_repeats(docs_of([])).collect() == []
     got = suffix_dedup.remove_repeats(docs_of([(1, "a" * 199), (2, "a" * 199), (3, None)])).collect()

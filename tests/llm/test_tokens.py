@@ -73,3 +73,33 @@ def test_encode_decode(spark, docs_of, library):
         assert r.ids == ids and r.decoded == library.decode(ids, skip_special_tokens=False)
     assert len(got) == len(rows)
     assert bpe.decode_ids(spark.createDataFrame([(None,), ([],)], "ids array<int>"), path).collect()[0]["decoded"] == ""
+
+
+def python_maps(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("MapInArrow")
+
+
+def test_round_trip_in_one_worker(docs_of, library):
+    path = public_tokenizers.path(WORD_VOCABULARY)
+    rows = corpus()
+    coded = bpe.encode_and_decode(docs_of(rows), path)
+    assert python_maps(coded) == 1 and coded.columns == ["doc_id", "ids", "decoded"]
+    ids = [library.encode(t or "", add_special_tokens=False).ids for _, t in rows]
+    want = [(d, x, library.decode(x, skip_special_tokens=False)) for (d, _), x in zip(rows, ids)]
+    assert sorted(map(repr, ((r.doc_id, r.ids, r.decoded) for r in coded.collect()))) == sorted(map(repr, want))
+
+
+def test_stages_hold_one_worker_a_task(spark, docs_of):
+    import corpus_pipeline
+
+    docs = docs_of(corpus()).selectExpr("doc_id", "'en' AS lang", "'s' AS source", "text")
+    assert python_maps(corpus_pipeline.tokens(spark, docs, "")) == 1
+
+
+def test_codec_handles_small_slices(library):
+    """A batch of many texts holds the pre-tokens of a small part at a time."""
+    assert bpe.SLICE <= 250_000
+    with open(public_tokenizers.path(WORD_VOCABULARY), "rb") as f:
+        codec = bpe.ForcedBoundaryBpe(f.read().decode())
+    assert not hasattr(codec, "library") and not hasattr(codec, "vocab")  # no further copies of the vocabulary
+    assert codec.normalizer.normalize_str("ÀÉ ﬁ  x") == library.normalizer.normalize_str("ÀÉ ﬁ  x")
