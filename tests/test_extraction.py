@@ -126,6 +126,21 @@ def test_diagnosis_lead_matches_the_plain_pattern(spark):
         assert got.get(str(i)) == want
 
 
+def test_diagnosis_query_reads_every_note(spark, monkeypatch, tmp_path):
+    """Evidence of a patient without a resume stands in other notes."""
+    from notewarden.plans import clinical_queries as Q
+
+    spark.range(1, 5).withColumnRenamed("id", "c_custkey").write.parquet(str(tmp_path / "customer.parquet"))
+    rows = [
+        ("1", "rad_ct.txt", "radiology", "KESIMPULAN: infark lama di thalamus"), ("2", "cppt_igd.txt", "cppt_igd", "Diagnosis: stroke hemoragik"),
+        ("3", "resume.txt", "resume", "Diagnosis: stroke hemoragik"), ("3", "rad_ct.txt", "radiology", "KESIMPULAN: infark"),
+    ]
+    notes = docs(spark, *rows).selectExpr("cast(patient_id as long) patient_id", "source_file", "doc_type", "text")
+    monkeypatch.setattr(Q, "clinical_notes", lambda t: notes)
+    got = {r["patient_id"]: r["stroke_type"] for r in Q.diagnosis(Q.Tables(spark, str(tmp_path))).collect()}
+    assert got == {1: "INFARK", 2: "HEMORAGIK", 3: "HEMORAGIK", 4: None}
+
+
 def test_soft_paragraphs_brute_force(spark):
     rnd = random.Random(1)
     texts = ["\n".join(rnd.choice(["a", "b.", "", "c d", "e;"]) for _ in range(rnd.randint(0, 30))) for _ in range(20)]
