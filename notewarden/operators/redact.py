@@ -16,6 +16,7 @@ from ..functions import text as T
 from ..rules import Rule
 from ..session import MAX_RULE_ROWS
 from . import names
+from .untouched import lines_above, parted
 
 COUNTS_TYPE = "map<string,int>"
 
@@ -193,14 +194,30 @@ def label_rules_keep_field(fields: dict[str, tuple[str, str]]) -> list[Rule]:
 
 # ---------------------------------------------------------------------------
 # Stages of the full pipeline.  A stage is (chain) -> None, so that the list of
-# stages - the chain's shape - is plain data.
+# stages - the chain's shape - is plain data.  ``rules`` names all that it can
+# match; a stage without it is taken to change any text.
 # ---------------------------------------------------------------------------
 Stage = Callable[[_Chain], None]
 
 
+def staged(rules: Iterable[Rule]) -> Callable[[Stage], Stage]:
+    def mark(stage: Stage) -> Stage:
+        stage.rules = list(rules)
+        return stage
+
+    return mark
+
+
+def rules_of(stages: list[Stage]) -> list[Rule] | None:
+    if not all(hasattr(s, "rules") for s in stages):
+        return None
+    return [r for s in stages for r in s.rules]
+
+
 def rules_stage(rules: Iterable[Rule]) -> Stage:
     fixed = list(rules)
 
+    @staged(fixed)
     def run(chain: _Chain) -> None:
         for rule in fixed:
             chain.rule(rule)
@@ -208,6 +225,7 @@ def rules_stage(rules: Iterable[Rule]) -> Stage:
     return run
 
 
+@staged(R.DOCTOR_RULES)
 def doctor_stage(chain: _Chain) -> None:
     def describe(hit: Column) -> Column:
         # one-element arrays name the role and the kept prefix inside the lambda
@@ -235,6 +253,7 @@ def _header_role(joined: Column) -> Column:
     return chosen
 
 
+@staged([R.NOTE_HEADER])
 def note_header_stage(chain: _Chain) -> None:
     java = R.NOTE_HEADER.java
 
@@ -266,12 +285,17 @@ def note_header_stage(chain: _Chain) -> None:
     chain.labelled(R.NOTE_HEADER, F.transform(F.col("__hits"), describe))
 
 
+SPACE_AT_LINE_END = Rule("", "[ \t]+\n", "\n", "")
+
+
+@staged([*R.CLEANUP_RULES, SPACE_AT_LINE_END])
 def cleanup_stage(chain: _Chain) -> None:
     for rule in R.CLEANUP_RULES:
         chain.rule(rule)
-    chain.rewrite(F.regexp_replace(F.col(chain.text), "[ \t]+\n", "\n"))
+    chain.rewrite(F.regexp_replace(F.col(chain.text), SPACE_AT_LINE_END.pattern, SPACE_AT_LINE_END.replacement))
 
 
+@staged(R.SPLIT_LINE_RULES)
 def split_line_stage(chain: _Chain) -> None:
     """Doctor names on one line with the degree on the next."""
     described = F.transform(
@@ -397,10 +421,19 @@ def route_by_length(
     df: DataFrame, short: list[Stage], long: list[Stage], limit: int = R.LONG_DOCUMENT_CHARS, text: str = "text", counts: str = "counts"
 ) -> DataFrame:
     """Long texts take the lighter stages, the others the full ones.  Both chains
-    run over the same scan; each touches only the rows of its route."""
+    run over the same scan; each touches only the rows of its route, and of these
+    only the text from a few lines above the first place where a rule may match."""
     size = F.coalesce(F.length(text), F.lit(0))
     out = df.withColumns({"__short": size <= limit, "__long": size > limit})
+    rules = [rules_of(short), rules_of(long)]
+    trimmed = None not in rules and any(rules)
+    if trimmed:
+        lines = F.when(F.col("__short"), lines_above(rules[0])).otherwise(lines_above(rules[1]))
+        out = out.withColumn("__parts", parted(F.col(text), rules[0] + rules[1], lines))
+        out = out.withColumns({"__above": F.col("__parts.above"), text: F.col("__parts.rest")}).drop("__parts")
     out = run_stages(run_stages(out, short, text, counts, "__short"), long, text, counts, "__long")
+    if trimmed:
+        out = out.withColumn(text, F.concat("__above", text)).drop("__above")
     return out.withColumn("route", F.when(F.col("__long"), "long").otherwise("short")).drop("__short", "__long")
 
 

@@ -247,7 +247,7 @@ def long_text_identity(t: Tables):
     d = t.spread("customer").select("c_custkey", T.normalize(planted).alias("text"))
     out = X.route_by_length(d, X.full_stages([]), X.light_stages([]))
     found = F.array_join(F.regexp_extract_all("text", F.lit(r"\[[A-Z_]+\]"), F.lit(0)), ",")
-    leaks = F.col("text").rlike(r"\d{8,}|@|\d{2}-\d{2}-\d{2}-\d{2}")
+    leaks = F.col("text").contains("@") | F.col("text").rlike(r"\d(?:\d{7}|\d-\d{2}-\d{2}-\d{2})")
     return out.select("c_custkey", "route", found.alias("masked"), leaks.alias("leaks"))
 
 
