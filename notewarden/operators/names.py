@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..rows import explode_rows
 from ..rules import Rule
 from ..session import MAX_RULE_ROWS, bounded_rows, broadcast_if_small
+from . import token_pairs
 
 SEPARATOR = r"(?:\s|,|\.|\-|_)+"
 MIN_VARIANT_CHARS = 7
@@ -192,8 +193,44 @@ def _letter_pattern(ch: Column) -> Column:
     )
 
 
+def name_index(variants: DataFrame) -> DataFrame:
+    """``(role, name, pair, chars)``: the variants by the pair of tokens they begin with."""
+    spelt = variants.select("role", F.length("variant").alias("chars"), F.regexp_replace(F.trim(folded(F.col("variant"))), r"(?U)\s+", " ").alias("name"))
+    return spelt.select("role", "name", F.concat_ws(" ", F.slice(name_words(F.col("name")), 1, 2)).alias("pair"), "chars")
+
+
+def pair_hashes(index: DataFrame, max_hashes: int = MAX_PAIR_HASHES):
+    """The hashes of the pairs that names begin with, 8 bytes each, or None
+    when there are more than ``max_hashes``."""
+
+    found = index.select(F.arrow_udf(lambda pairs: token_pairs.pair_hash(pairs), "long")("pair").alias("h")).distinct().limit(max_hashes + 1).toArrow()["h"]
+    return None if len(found) > max_hashes else found.to_numpy()
+
+
+def may_hold_name(text: Column, hashes) -> Column:
+    """Whether a pair of the text's tokens has the hash of one that a name begins with:
+    true wherever a name stands, and where hashes are equal by chance."""
+    return F.arrow_udf(lambda texts: token_pairs.holds_pair(texts, hashes), "boolean")(text)
+
+
+def known_pairs(docs: DataFrame, index: DataFrame, hashes, key: str, text: str = "text") -> DataFrame:
+    """``(key, pair)``: the documents' distinct pairs of tokens, as far as a name may
+    begin with one of them.  Few documents hold any; without ``hashes`` pairs of all
+    documents meet the index."""
+    few = docs if hashes is None else docs.filter(may_hold_name(F.col(text), hashes))
+    words = few.select(key, name_words(F.col(text)).alias("__w"))
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size("__w") - 1, F.lit(1))),
+        lambda i: F.concat_ws(" ", F.try_element_at("__w", i), F.try_element_at("__w", i + 1)),
+    )
+    pairs_of = explode_rows(words, [key], F.array_distinct(F.concat(pairs, F.col("__w"), F.array(F.lit("")))), "pair")
+    # pairs no name starts with (nearly all) leave before the shuffle
+    known = index.select(F.xxhash64("pair").alias("__h")).distinct()
+    return pairs_of.withColumn("__h", F.xxhash64("pair")).join(broadcast_if_small(known, MAX_PAIR_HASHES), "__h", "left_semi").drop("__h")
+
+
 def redact_staff_join(
-    docs: DataFrame, variants: DataFrame, key: str, text: str = "text", counts: str = "counts"
+    docs: DataFrame, variants: DataFrame, key: str, text: str = "text", counts: str = "counts", index: DataFrame | None = None, hashes=None, active: str | None = None
 ) -> DataFrame:
     """Dictionary redaction for a dictionary of any size.
 
@@ -203,27 +240,21 @@ def redact_staff_join(
     distinct pairs of tokens are equi-joined with the variants' leading pair (their
     only token, or "", where a variant has no more); only variants that can occur in
     a document reach it.  Per document and role they become an alternation that tries
-    them in the order of the compiled way."""
-    words = docs.select(key, name_words(F.col(text)).alias("__w"))
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.size("__w") - 1, F.lit(1))),
-        lambda i: F.concat_ws(" ", F.try_element_at("__w", i), F.try_element_at("__w", i + 1)),
-    )
-    pairs_of = explode_rows(words, [key], F.array_distinct(F.concat(pairs, F.col("__w"), F.array(F.lit("")))), "pair")
-    spelt = variants.select("variant", "role", F.regexp_replace(F.trim(folded(F.col("variant"))), r"(?U)\s+", " ").alias("name"))
-    keyed = spelt.select(
-        "role",
-        # a longer name before its beginning, else by letters: the order of alternation()
-        F.concat("name", F.lit("\uffff")).alias("rank"),
-        F.concat_ws(" ", F.slice(name_words(F.col("name")), 1, 2)).alias("pair"),
-        F.array_join(F.transform(F.split("name", ""), _letter_pattern), "").alias("alt"),
-    )
-    # pairs no name starts with (nearly all) leave before the shuffle
-    known = keyed.select(F.xxhash64("pair").alias("__h")).distinct()
-    pairs_of = pairs_of.withColumn("__h", F.xxhash64("pair")).join(broadcast_if_small(known, MAX_PAIR_HASHES), "__h", "left_semi").drop("__h")
-    longest = variants.groupBy("role").agg(F.max(F.length("variant")).alias("longest"))
+    them in the order of the compiled way.  ``index`` and ``hashes`` are the variants'
+    name index and its hashes, where they are at hand; ``active`` names a column that
+    tells which texts to search."""
+    index = name_index(variants) if index is None else index
+    longest = index.groupBy("role").agg(F.max("chars").alias("longest"))
     found = (
-        pairs_of.join(keyed, "pair")
+        known_pairs(docs.filter(active) if active else docs, index, hashes, key, text)
+        .join(index.select("role", "name", "pair"), "pair")
+        .select(
+            key,
+            "role",
+            # a longer name before its beginning, else by letters: the order of alternation()
+            F.concat("name", F.lit("\uffff")).alias("rank"),
+            F.array_join(F.transform(F.split("name", ""), _letter_pattern), "").alias("alt"),
+        )
         .join(broadcast_if_small(longest), "role")
         .groupBy(key, "role", "longest")
         .agg(F.array_sort(F.collect_set(F.struct("rank", "alt"))).alias("alts"))

@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import rules as R
 from ..functions import text as T
 from ..rules import Rule
-from ..session import MAX_RULE_ROWS
+from ..session import MAX_RULE_ROWS, materialise
 from . import names
-from .untouched import lines_above, parted
+from .untouched import lines_above, parted, touched
 
 COUNTS_TYPE = "map<string,int>"
+#: Texts that go through the chain and its joins: parts for each core, and rows of a part.
+PARTS_PER_CORE, ROWS_PER_PART = 4, 5_000
 
 
 def empty_counts() -> Column:
@@ -397,24 +399,60 @@ def redact(
     if rules is None and key is None:
         raise ValueError("a dictionary of more than max_rows variants needs the documents' key")
     stages = full_stages(rules or [])
+    fixed = rules_of([*stages[:1], *stages[2:]]) + R.LEFTOVER_RULES
     out = df.withColumn(text, T.normalize(text))
+    if rules is None:
+        return _redact_joined(out, variants, stages, fixed, passes, text, counts, key)
+    t, open_ = F.col(text), F.col("__open")
+    named = [has_needle(t, r) & t.rlike(r.java) if r.needles else t.rlike(r.java) for r in rules]
+    out = out.withColumn("__open", reduce(lambda a, b: a | b, named, touched(t, fixed)))
+    out = out.withColumns({"__kept": F.when(~open_, t), text: F.when(open_, t).when(t.isNotNull(), "")}).drop("__open")
     for number in range(passes):
-        before = f"__before{number}"
-        active = f"__active{number}" if number else None
-        if active:
-            previous = f"__before{number - 1}"
-            out = out.withColumn(active, F.col(text) != F.col(previous)).drop(previous)
+        out = _pass(out, number, passes, text, lambda d, active: run_stages(d, stages, text, counts, active))
+    return scan_leftovers(out, text=text).withColumn(text, F.coalesce("__kept", text)).drop("__kept")
+
+
+def _pass(df: DataFrame, number: int, passes: int, text: str, run: Callable[[DataFrame, str | None], DataFrame]) -> DataFrame:
+    """One pass; from the second on over texts that the one before has changed."""
+    before, active, out = f"__before{number}", f"__active{number}" if number else None, df
+    if active:
+        previous = f"__before{number - 1}"
+        out = out.withColumn(active, F.col(text) != F.col(previous)).drop(previous)
+    if number + 1 < passes:
+        out = out.withColumn(before, F.col(text))
+    out = run(out, active)
+    return out.drop(active) if active else out
+
+
+def _redact_joined(
+    df: DataFrame, variants: DataFrame, stages: list[Stage], fixed: list[Rule], passes: int, text: str, counts: str, key: str
+) -> DataFrame:
+    """Texts that hold neither a pair of words with which a name begins nor a place where
+    a rule may match are left as they are; only the others go through the chain and its
+    joins.  What a join reads twice is stored first."""
+    index = materialise(names.name_index(variants))
+    hashes = names.pair_hashes(index)
+    named = F.lit(True) if hashes is None else names.may_hold_name(F.col(text), hashes)
+    flagged = df.withColumn("__open", touched(F.col(text), fixed) | named)
+    out = materialise(flagged.filter("__open").drop("__open"))
+    parts = max(PARTS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-out.count() // ROWS_PER_PART))
+    out = out.repartition(parts, key)
+
+    def run(d: DataFrame, active: str | None) -> DataFrame:
+        d = materialise(run_stages(d, stages[:1], text, counts, active))
+        d = names.redact_staff_join(d, variants, key, text, counts, index, hashes, active)
+        # the parts of the join are even by bytes, but few
+        return run_stages(d.repartition(parts, key), stages[2:], text, counts, active)
+
+    for number in range(passes):
+        out = _pass(out, number, passes, text, run)
         if number + 1 < passes:
-            out = out.withColumn(before, F.col(text))
-        if rules is None:
-            out = run_stages(out, stages[:1], text, counts, active)
-            out = names.redact_staff_join(out, variants, key, text, counts)
-            out = run_stages(out, stages[2:], text, counts, active)
-        else:
-            out = run_stages(out, stages, text, counts, active)
-        if active:
-            out = out.drop(active)
-    return scan_leftovers(out, text=text)
+            out = materialise(out)
+    idle = flagged.filter("not __open").drop("__open")
+    if counts not in df.columns:
+        idle = idle.withColumn(counts, empty_counts())
+    empty = {"leftovers": empty_counts(), "leftover_examples": F.create_map().cast("map<string,array<string>>"), "needs_manual_review": F.lit(False)}
+    return scan_leftovers(out, text=text).unionByName(idle.withColumns(empty))
 
 
 def route_by_length(

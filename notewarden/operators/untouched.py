@@ -45,6 +45,29 @@ def trigger(rule: Rule) -> str:
     return f"(?{''.join(f for f in flags if f in 'ims')}:{''.join(parts)})"
 
 
+def any_trigger(rules: Iterable[Rule]) -> str:
+    return "|".join(dict.fromkeys(trigger(r) for r in rules))
+
+
+def touched(text: Column, rules: Iterable[Rule]) -> Column:
+    """Whether any of the rules may match; a text for which this is false stays as it
+    is under a chain of them, in whatever order and however often."""
+    pattern = any_trigger(rules)
+
+    def found(texts):
+        # self-contained: workers need nothing of this package
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        try:
+            texts.validate(full=True)
+        except pa.ArrowInvalid:  # bytes that are no UTF-8
+            return pc.is_valid(texts)
+        return pc.match_substring_regex(texts, pattern).fill_null(False)
+
+    return F.arrow_udf(found, "boolean")(text)
+
+
 def lines_above(rules: Iterable[Rule]) -> int:
     """Full lines (of more than ``OWN_WORDS`` letters and digits) above the first
     trigger that the chain may come to change.
@@ -64,7 +87,7 @@ def lines_above(rules: Iterable[Rule]) -> int:
 def parted(text: Column, rules: list[Rule], lines: Column) -> Column:
     """STRUCT<above, rest>: ``rest`` is the text that the rules may change, from the
     start of a line ``lines`` full lines above the first trigger; '' without a trigger."""
-    pattern = "|".join(dict.fromkeys(trigger(r) for r in rules))
+    pattern = any_trigger(rules)
     full = rb"(?:[^0-9A-Za-z]*[0-9A-Za-z]){%d}" % (OWN_WORDS + 1)
 
     def part(texts, lines):

@@ -370,7 +370,7 @@ def staff_table(t: Tables):
     third entry and inferred for the others."""
     s = F.col("s_suppkey")
     name = F.concat_ws(" ", first_name(s), word_of("Mir", s), word_of("Nur", s))
-    return t.supplier.select(
+    return t.spread("supplier").select(
         F.when(s % 3 == 0, F.concat(F.lit("dr. "), name, F.lit(", Sp.N"))).when(s % 3 == 1, F.concat(F.lit("drg. "), name)).otherwise(name).alias("name"),
         F.when(s % 3 == 2, "PERAWAT").otherwise("").alias("role"),
     )

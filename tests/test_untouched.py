@@ -1,6 +1,7 @@
 """What is left out of a chain is what the chain would not have changed."""
 
 import random
+import re
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from notewarden import rules as R
 from notewarden.functions import text as T
-from notewarden.operators import redact as X, untouched as U
+from notewarden.operators import names as N, redact as X, token_pairs, untouched as U
 
 PIECES = [
     "No. RM", "No", "RM", "Rekam", "Medis", ":", " ", "\n", "\n\n", ",", ".", "-", "12-34-56-78", "NIK", "3273012000000001", "SEP", "No Reg", "AB123", "Lab",
@@ -77,7 +78,61 @@ def test_little_is_left_to_the_chain(spark):
 def test_normalize_brute_force(spark):
     sample = texts(3, 3000, 6)
     d = spark.createDataFrame([(t,) for t in sample], "text string").select("text", T.normalize("text").alias("n"))
-    import re
-
     for r in d.collect():
         assert r["n"] == re.sub("[ \t]+", " ", r["text"].replace("\r\n", "\n").replace("\r", "\n").replace(" ", " "))
+
+
+def staff(spark):
+    names = ["dr. Budi Mirza Nurhadi, Sp.N", "drg. Siti Édna", "Ælfrida Ÿsolde Kusumo", "Wati Nur-Hayati"]
+    return N.staff_variants(spark.createDataFrame([(n, "PERAWAT" if i > 1 else "") for i, n in enumerate(names)], "name string, role string"))
+
+
+def test_token_pairs_against_a_plain_loop():
+    fold = str.maketrans(N.CAPITALS, N.SMALL)
+    rnd = random.Random(1)
+
+    def pairs(t):
+        words = re.findall(N.NAME_TOKEN, t.translate(fold))
+        return ["", *words, *map(" ".join, zip(words, words[1:]))]
+
+    for trial in range(200):
+        texts_ = ["".join(rnd.choice("abcXYZé ÉßŸÿ÷×  .,-\nñΩK") for _ in range(rnd.randint(0, 12))) for _ in range(20)] + [None]
+        every = sorted({p for t in texts_[:5] for p in pairs(t)} - {""})
+        known = rnd.sample(every, min(3, len(every))) + ([""] if trial % 10 == 0 else [])
+        hashes = token_pairs.pair_hash(pa.array(known, pa.string())).to_numpy()
+        assert len(set(hashes.tolist())) == len(known)
+        got = token_pairs.holds_pair(pa.array(texts_), hashes).to_pylist()
+        assert all(g or not set(pairs(t)) & set(known) for t, g in zip(texts_[:20], got))
+        # alone, so that the last token has no neighbour in the next text
+        assert all(token_pairs.holds_pair(pa.array([t]), hashes).to_pylist() == [bool(set(pairs(t)) & set(known))] for t in texts_[:3])
+
+
+def test_redaction_is_the_same_with_texts_left_out(spark):
+    variants = staff(spark).localCheckpoint()
+    said = ["Budi Mirza", "MIRZA, NURHADI", "siti édna", "Ælfrida\nŸsolde", "ÆLFRIDA ŸSOLDE", "Wati Nur Hayati", "Budi", "Édna", "nurhadi"]
+    rnd = random.Random(9)
+    rows = [(i, t + rnd.choice(["", rnd.choice(said), "x" + rnd.choice(said), rnd.choice(said) + "é"])) for i, t in enumerate(texts(4, 250, 3) + texts(6, 50, 25))]
+    rows += [(900, None), (901, ""), (902, "tetap\n"), (903, "tetap \nsaja")]
+    d = spark.createDataFrame(rows, "id long, text string").localCheckpoint()
+    rules = N.compile_staff(variants)
+    plain = d.withColumn("text", T.normalize("text"))
+    for number in range(2):
+        plain = X.run_stages(plain, X.full_stages(rules)).localCheckpoint()
+    want = {r["id"]: r.asDict() for r in X.scan_leftovers(plain).collect()}
+    for got in (X.redact(d, variants), X.redact(d, variants, key="id", max_rows=1)):
+        assert {r["id"]: r.asDict() for r in got.collect()} == want
+    assert sum(any(k.startswith("staff_csv") for k in r["counts"]) for r in want.values()) > 30
+
+
+def test_texts_left_out_meet_no_name_join(spark, monkeypatch):
+    """Only texts with a place for a rule or a pair of name words go through the joins."""
+    seen = []
+    join = N.redact_staff_join
+
+    def counted(docs, *rest):
+        seen.append(docs.count())
+        return join(docs, *rest)
+
+    monkeypatch.setattr(N, "redact_staff_join", counted)
+    d = spark.createDataFrame([(i, "tetap saja" if i else "lapor Budi Mirza Nurhadi") for i in range(50)], "id long, text string")
+    assert X.redact(d, staff(spark), key="id", max_rows=1).count() == 50 and seen == [1, 1]
